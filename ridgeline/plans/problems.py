@@ -6,12 +6,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.operators import spatial, timestamps
+from ridgeline.operators import schema_drift, spatial, timestamps
 from ridgeline.sources.tables import table
 
 NEAR_KM = 4.0
 
 
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.changes(table(spark, sf_dir, "analysis"), table(spark, sf_dir, "store_file"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changes(spark, sf_dir).select("export_file", "doc_kind", "change_kind", "field_name", "new_value")
+
+
+def p1_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All analyses under one schema, whatever keys and types their files used."""
+    renames = _changes(spark, sf_dir).filter("change_kind = 'renamed'")
+    rows = table(spark, sf_dir, "analysis").select("analysis_id", "export_file", "content_hash", "payload", "raw_response")
+    return schema_drift.consistent(rows, schema_drift.aliases(renames))
+
+
+def p1_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per file and payload field: documents with the key, and with a value."""
+    rows = table(spark, sf_dir, "analysis").select("export_file", "payload", F.lit(None).cast("string").alias("raw_response"))
+    return schema_drift.profile(schema_drift.documents(rows)).filter("key <> ''").select("export_file", F.col("key").alias("field_name"), "n", "filled")
+
+
 def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timestamps.normalise(timestamps.stacked(table(spark, sf_dir, "analysis")), table(spark, sf_dir, "store_file"))
 
@@ -33,9 +54,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return close.select("record_id", F.lit("peak").alias("target_kind"), F.col("peak_id").alias("target_id")).unionByName(inside.select("record_id", F.lit("area").alias("target_kind"), F.col("area_id").alias("target_id")))
 
 
-QUERIES = {"p3_found": p3_found, "p3_normalised": p3_normalised, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p1_table": p1_table, "p1_fields": p1_fields, "p3_found": p3_found, "p3_normalised": p3_normalised, "p7_found": p7_found}
 
 SQL = {
+    "p1_fields": """
+WITH docs AS (SELECT export_file, payload::JSON AS j FROM analysis WHERE json_valid(payload)),
+pairs AS (SELECT export_file, j, unnest(json_keys(j)) AS field_name FROM docs WHERE json_type(j) = 'OBJECT')
+SELECT export_file, field_name, count(*) AS n, count(*) FILTER (json_type(j, '$."' || field_name || '"') <> 'NULL') AS filled FROM pairs GROUP BY ALL
+""",
     "p7_found": """
 WITH pts AS (SELECT record_id, latitude AS y, longitude AS x FROM photo_analysis WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180),
 near AS (SELECT record_id, peak_id FROM pts JOIN peaks ON lat IS NOT NULL AND lon IS NOT NULL AND abs(lat - y) < 0.04
