@@ -1,4 +1,56 @@
-"""Queries of the training-text problems, with the SQL of those that SQL can express."""
+"""Queries of the training-text problems, with the SQL of those that SQL can express. Each takes (spark, sf_dir) and runs over its whole tables."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ridgeline.llm import components, survivorship
+from ridgeline.sources.tables import table
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivorship.survivors(table(spark, sf_dir, "dup_group"), table(spark, sf_dir, "photos"))
+
+
+def p5_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivorship.golden_records(table(spark, sf_dir, "dup_group"), table(spark, sf_dir, "photos"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matches = table(spark, sf_dir, "match_pair").filter("verdict = 'match'")
+    return components.components(matches, "hash_a", "hash_b").select(F.col("vertex").alias("content_hash"), F.col("label").alias("group_hash"))
+
+
+def p6_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many groups there are of each size."""
+    sizes = p6_found(spark, sf_dir).groupBy("group_hash").agg(F.count("*").alias("size"))
+    return sizes.groupBy("size").agg(F.count("*").alias("groups"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_golden": p5_golden, "p6_found": p6_found, "p6_sizes": p6_sizes}
+
+_P5 = """
+WITH g AS (SELECT group_id, arg_max(photos, found_at) AS photos FROM dup_group GROUP BY group_id),
+m AS (SELECT DISTINCT group_id, source_path FROM (SELECT group_id, unnest(photos) AS source_path FROM g) WHERE source_path IS NOT NULL),
+s AS (SELECT * FROM photos QUALIFY row_number() OVER (PARTITION BY source_path ORDER BY scanned_at DESC NULLS LAST, scan_row_id DESC) = 1),
+r AS (SELECT m.group_id, s.*, row_number() OVER (PARTITION BY m.group_id ORDER BY coalesce(width::BIGINT * height, 0) DESC, coalesce(size_bytes, -1) DESC,
+  (coalesce(timestamp_source, '') = 'exif')::INT DESC, (lat IS NOT NULL AND lon IS NOT NULL)::INT DESC, source_path) AS k,
+  CASE timestamp_source WHEN 'exif' THEN 0 WHEN 'filename' THEN 1 WHEN 'mtime' THEN 2 WHEN 'none' THEN 3 ELSE 4 END AS o FROM m JOIN s USING (source_path)),
+f AS (SELECT group_id, arg_min(source_path, k) AS record, arg_min(source_path, k) FILTER (lat IS NOT NULL AND lon IS NOT NULL) AS position,
+  arg_min(source_path, k) FILTER (trim(camera_model) <> '') AS camera_model, arg_min(source_path, o * 1000000 + k) FILTER (taken_ts IS NOT NULL) AS taken_ts FROM r GROUP BY group_id)
+"""
+_P6 = """
+WITH RECURSIVE e AS (SELECT hash_a AS a, hash_b AS b FROM match_pair WHERE verdict = 'match' AND hash_a IS NOT NULL AND hash_b IS NOT NULL),
+arcs AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)),
+reach(v, w) AS (SELECT a, a FROM arcs UNION SELECT r.v, arcs.b FROM reach r JOIN arcs ON arcs.a = r.w),
+labels AS (SELECT v AS content_hash, min(w) AS group_hash FROM reach GROUP BY v)
+"""
+SQL = {
+    "p5_found": _P5 + """SELECT group_id, 'record' AS field_name, record AS source_path FROM f WHERE record IS NOT NULL
+UNION ALL SELECT group_id, 'position', position FROM f WHERE position IS NOT NULL
+UNION ALL SELECT group_id, 'camera_model', camera_model FROM f WHERE camera_model IS NOT NULL
+UNION ALL SELECT group_id, 'taken_ts', taken_ts FROM f WHERE taken_ts IS NOT NULL""",
+    "p6_found": _P6 + "SELECT content_hash, group_hash FROM labels",
+    "p6_sizes": _P6 + "SELECT size, count(*) AS groups FROM (SELECT count(*) AS size FROM labels GROUP BY group_hash) GROUP BY size",
+}
