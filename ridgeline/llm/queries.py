@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import components, survivorship
+from ridgeline.llm import components, leakage, neighbours, survivorship
 from ridgeline.sources.tables import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.pairs(neighbours.nearest(neighbours.usable(table(spark, sf_dir, "clip_embedding")), 5))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivorship.survivors(table(spark, sf_dir, "dup_group"), table(spark, sf_dir, "photos"))
 
@@ -28,7 +32,16 @@ def p6_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.groupBy("size").agg(F.count("*").alias("groups"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_golden": p5_golden, "p6_found": p6_found, "p6_sizes": p6_sizes}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each leaked run stands in the text, and its number of words."""
+    return leakage.spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_golden": p5_golden, "p6_found": p6_found, "p6_sizes": p6_sizes, "p9_found": p9_found, "p9_spans": p9_spans}
 
 _P5 = """
 WITH g AS (SELECT group_id, arg_max(photos, found_at) AS photos FROM dup_group GROUP BY group_id),
@@ -46,7 +59,15 @@ arcs AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM e UNION ALL SELECT b, a FRO
 reach(v, w) AS (SELECT a, a FROM arcs UNION SELECT r.v, arcs.b FROM reach r JOIN arcs ON arcs.a = r.w),
 labels AS (SELECT v AS content_hash, min(w) AS group_hash FROM reach GROUP BY v)
 """
+_P4 = """
+WITH l AS (SELECT content_hash, max({'t': made_at, 'm': model, 'd': dims, 'v': vector::DOUBLE[]}) AS r FROM clip_embedding WHERE content_hash IS NOT NULL GROUP BY content_hash),
+u AS (SELECT content_hash AS h, r.m AS m, r.v AS v FROM l WHERE r.v IS NOT NULL AND len(r.v) = r.d AND NOT list_bool_or([isnan(x) OR x IS NULL FOR x IN r.v]) AND list_bool_or([x <> 0 FOR x IN r.v])),
+p AS (SELECT a.h AS a, b.h AS b, round(list_cosine_similarity(a.v, b.v), 9) AS c FROM u a JOIN u b ON a.m = b.m AND a.h <> b.h),
+t AS (SELECT a, b FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS hash_a, greatest(a, b) AS hash_b FROM t
+"""
 SQL = {
+    "p4_found": _P4,
     "p5_found": _P5 + """SELECT group_id, 'record' AS field_name, record AS source_path FROM f WHERE record IS NOT NULL
 UNION ALL SELECT group_id, 'position', position FROM f WHERE position IS NOT NULL
 UNION ALL SELECT group_id, 'camera_model', camera_model FROM f WHERE camera_model IS NOT NULL
