@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.session import cut
+
 BUCKET = 4096
 HASHES = 8
 TYPES = ["string", "integer", "number", "boolean", "array", "object"]
@@ -217,16 +219,17 @@ def changes(rows: DataFrame, files: DataFrame, threshold: float = 0.5) -> DataFr
     prof = profile(documents(rows.select("export_file", "payload", "raw_response")))
     files = files.select("export_file", "store_id", "file_seq").dropDuplicates(["export_file"])
     key = ["store_id", "doc_kind", "file_seq"]
-    # the profile is read several times; it is a fraction of the rows
-    prof = prof.join(files, "export_file").persist()
-    seen = _previous(prof.filter("key = ''").select("export_file", *key, F.col("n").alias("docs")))
+    # the profile is a fraction of the rows and read several times: its lineage is cut, so that plans stay small
+    prof = cut(prof.join(files, "export_file"))
+    seen = cut(_previous(prof.filter("key = ''").select("export_file", *key, F.col("n").alias("docs"))))
     fields = prof.filter("key <> ''").join(seen.select(*key, "docs", "prev_seq"), key).filter(F.col("n") * 2 > F.col("docs")).withColumn("type", _majority())
+    fields = cut(fields)
     slim = fields.select("export_file", *key, "key", "type", "prev_seq")
     before = slim.select("store_id", "doc_kind", "key", F.col("file_seq").alias("prev_seq"), F.lit(True).alias("_there"))
-    slim = slim.join(before, ["store_id", "doc_kind", "key", "prev_seq"], "left").withColumn("added", F.col("_there").isNull()).drop("_there")
+    slim = cut(slim.join(before, ["store_id", "doc_kind", "key", "prev_seq"], "left").withColumn("added", F.col("_there").isNull()).drop("_there"))
     following = seen.filter("prev_seq is not null").select("export_file", "store_id", "doc_kind", F.col("file_seq").alias("next_seq"), F.col("prev_seq").alias("file_seq"))
     removed = slim.select(*key, "key").join(following, key).join(slim.select("store_id", "doc_kind", "key", F.col("file_seq").alias("next_seq")), ["store_id", "doc_kind", "key", "next_seq"], "left_anti")
-    removed = removed.select("export_file", "store_id", "doc_kind", F.col("next_seq").alias("file_seq"), "key")
+    removed = cut(removed.select("export_file", "store_id", "doc_kind", F.col("next_seq").alias("file_seq"), "key"))
     added = slim.filter("added and prev_seq is not null").select("export_file", *key, "key")
 
     # the last earlier type since the field was there: inside a bucket, else from the buckets before
@@ -253,7 +256,7 @@ def changes(rows: DataFrame, files: DataFrame, threshold: float = 0.5) -> DataFr
             out = [(e, s, k, q, o, n, v) for e, s, k, q, old, new in zip(b.export_file, b.store_id, b.doc_kind, b.file_seq, b.old, b.new) for o, n, v in flood(list(old), list(new), threshold)]
             yield pd.DataFrame(out, columns=["export_file", "store_id", "doc_kind", "file_seq", "old_key", "new_key", "score"])
 
-    renamed = both.select("export_file", *key, "old", "new").mapInPandas(match, "export_file string, store_id string, doc_kind string, file_seq int, old_key string, new_key string, score double").persist()
+    renamed = cut(both.select("export_file", *key, "old", "new").mapInPandas(match, "export_file string, store_id string, doc_kind string, file_seq int, old_key string, new_key string, score double"))
     where = ["export_file", *key]
     gone = removed.join(renamed.select(*where, F.col("old_key").alias("key")), [*where, "key"], "left_anti")
     come = added.join(renamed.select(*where, F.col("new_key").alias("key")), [*where, "key"], "left_anti")
