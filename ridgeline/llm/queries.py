@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import components, leakage, neighbours, survivorship
+from ridgeline.llm import components, language, leakage, neighbours, packing, survivorship
 from ridgeline.sources.tables import table
 
 
@@ -32,6 +32,20 @@ def p6_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.groupBy("size").agg(F.count("*").alias("groups"))
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacities = [(r.target_name, r.capacity_tokens) for r in table(spark, sf_dir, "pack_capacity").limit(100).collect()]
+    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")), capacities)
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)
+
+
+def p8_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows, tokens and share of room used per target."""
+    return packing.utilisation(_packed(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
@@ -41,7 +55,27 @@ def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_golden": p5_golden, "p6_found": p6_found, "p6_sizes": p6_sizes, "p9_found": p9_found, "p9_spans": p9_spans}
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language.train(documents, table(spark, sf_dir, "lang_sample"))
+    return language.segment(documents, model, names=language.gazetteer_words(table(spark, sf_dir, "peaks")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.doubtful(_segments(spark, sf_dir))
+
+
+def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's main language with its confidence."""
+    return language.document_languages(_segments(spark, sf_dir))
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence with language, with its confidence."""
+    return _segments(spark, sf_dir)
+
+
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_golden": p5_golden, "p6_found": p6_found, "p6_sizes": p6_sizes, "p8_packed": p8_packed, "p8_utilisation": p8_utilisation, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_documents": p10_documents, "p10_segments": p10_segments}
 
 _P5 = """
 WITH g AS (SELECT group_id, arg_max(photos, found_at) AS photos FROM dup_group GROUP BY group_id),
