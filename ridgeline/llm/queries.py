@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import components, language, leakage, neighbours, packing, survivorship
+from ridgeline.llm import components, language, leakage, neighbours, ocr, packing, survivorship
 from ridgeline.sources.tables import table
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    pages = ocr.pages_of(("ocr_text", table(spark, sf_dir, "ocr_text"), "read_id", "text"), ("photo_analysis", table(spark, sf_dir, "photo_analysis"), "record_id", "visible_text"))
+    peaks = table(spark, sf_dir, "peaks")
+    names = peaks.select(F.explode(F.concat(F.array("peak_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
+    return pages, table(spark, sf_dir, "documents").select("text"), names
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.noise(*_pages(spark, sf_dir))
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as continuous paragraphs."""
+    return ocr.repaired(*_pages(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.pairs(neighbours.nearest(neighbours.usable(table(spark, sf_dir, "clip_embedding")), 5))
 
@@ -75,7 +91,7 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(spark, sf_dir)
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_golden": p5_golden, "p6_found": p6_found, "p6_sizes": p6_sizes, "p8_packed": p8_packed, "p8_utilisation": p8_utilisation, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_documents": p10_documents, "p10_segments": p10_segments}
+QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p5_found": p5_found, "p5_golden": p5_golden, "p6_found": p6_found, "p6_sizes": p6_sizes, "p8_packed": p8_packed, "p8_utilisation": p8_utilisation, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_documents": p10_documents, "p10_segments": p10_segments}
 
 _P5 = """
 WITH g AS (SELECT group_id, arg_max(photos, found_at) AS photos FROM dup_group GROUP BY group_id),
