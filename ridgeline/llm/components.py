@@ -4,15 +4,18 @@ The giant component is peeled off first: breadth-first joins from the vertex of
 highest degree, whose frontier grows fast while it lasts. As soon as a round
 adds little (a long tail, or the component is done) the visited part is
 contracted to one vertex and taken out of the edges by an anti join. What
-remains is labelled by minimum propagation: every vertex takes the smallest of
-its neighbours, the pointers are followed to their root by jumping, and the
-edges between roots go into the next round, so that long chains take a
-logarithmic number of rounds. Labels are mapped back from the last round to the
-first, and the smallest member names each group.
-
-A vertex is never gathered with its neighbours: degrees and minima are
-aggregated with map-side combining, so a vertex with a third of all edges is no
-hot group. Each round is written to the shared checkpoint folder.
+remains is labelled by minimum propagation. Edges are dealt by their hash to
+parts of about ``part_edges`` edges; each part propagates minima among its own
+edges until nothing changes, so that a chain inside a part takes one round
+however long it is. A vertex that parts gave several minima takes the smallest
+and links the others to it; only these links go into the next round. Labels are
+mapped from the first round to the last, and the smallest member names each
+group.
+
+A vertex is never gathered with its neighbours: edges are dealt by both ends,
+degrees and minima are aggregated with map-side combining, and a vertex has at
+most one row per part, so a vertex with a third of all edges is no hot group.
+Each round is written to the shared checkpoint folder.
 
 Defined cases: null ends are ignored; a vertex paired only with itself is its
 own group; repeated and reversed pairs count once; an empty table has no rows.
@@ -20,6 +23,10 @@ own group; repeated and reversed pairs count once; an empty table has no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +37,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def peel(edges: DataFrame, *, growth: float = 0.05, rounds: int = 12) -> tuple[DataFrame | None, str | None]:
+def peel(edges: DataFrame, *, growth: float = 0.3, rounds: int = 8) -> tuple[DataFrame | None, str | None]:
     """The vertices reached from the vertex of highest degree (with their number of hops), and that vertex; stops when a round adds less than the share ``growth`` of what was reached before."""
     arcs = _both_ways(edges)
     top = arcs.groupBy("a").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a").limit(1).collect()
@@ -52,40 +59,52 @@ def peel(edges: DataFrame, *, growth: float = 0.05, rounds: int = 12) -> tuple[D
     return visited, seed
 
 
-def _jump(parents: DataFrame, rounds: int = 40) -> DataFrame:
-    """v, p with every pointer followed to its root; each round doubles the steps."""
-    for _ in range(rounds):
-        nxt = parents.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        stepped = cut(parents.join(nxt, "p", "left").select("v", F.coalesce("pp", "p").alias("p"), (F.coalesce("pp", "p") != F.col("p")).alias("moved")))
-        parents = stepped.select("v", "p")
-        if stepped.filter("moved").limit(1).count() == 0:
-            break
-    return parents
-
-
-def propagate(edges: DataFrame, rounds: int = 60) -> DataFrame | None:
+def minima(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest vertex of the component of each of n vertices: every edge hands the lesser label to the label of its other end, and labels are followed to their own, until nothing changes."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        low = np.minimum(x, y)
+        after = label.copy()
+        np.minimum.at(after, x, low)
+        np.minimum.at(after, y, low)
+        while not np.array_equal(jumped := after[after], after):
+            after = jumped
+        if np.array_equal(after, label):
+            return label
+        label = after
+
+
+def _within_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """v, m of every vertex of a part: the smallest vertex it is linked to inside the part."""
+    rows = [b for b in batches if len(b)]
+    if not rows:
+        return
+    edges = pd.concat(rows)
+    names, codes = np.unique(np.concatenate([edges.a.to_numpy(object), edges.b.to_numpy(object)]).astype(str), return_inverse=True)
+    label = minima(codes[: len(edges)], codes[len(edges) :], len(names))
+    yield pd.DataFrame({"v": names.astype(object), "m": names[label].astype(object)})
+
+
+def propagate(edges: DataFrame, *, part_edges: int = 200_000, rounds: int = 40) -> DataFrame | None:
     """v, root of every vertex of ``edges`` (a, b); roots are the same for linked vertices and only for these."""
-    levels: list[DataFrame] = []
+    labels: DataFrame | None = None
     for _ in range(rounds):
-        edges = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        if edges.limit(1).count() == 0:
+        count = edges.count()
+        if not count:
             break
-        arcs = _both_ways(edges)
-        low = arcs.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("p"))
-        level = _jump(low)
-        levels.append(level)
-        root = lambda e, c: e.join(level.select(F.col("v").alias(c), F.col("p").alias("_r")), c).drop(c).withColumnRenamed("_r", c)  # noqa: B023, E731
-        edges = root(root(edges, "a"), "b")
-    if not levels:
-        return None
-    labels = levels[-1]
-    for level in reversed(levels[:-1]):
-        # a root of this level is a vertex of the next, unless its component was done
-        labels = level.join(labels.select(F.col("v").alias("p"), F.col("p").alias("_q")), "p", "left").select("v", F.coalesce("_q", "p").alias("p"))
-    return labels.select("v", F.col("p").alias("root"))
-
-
-def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        parts = -(-count // part_edges)
+        stars = cut(edges.repartition(parts, "a", "b").mapInPandas(_within_part, "v string, m string"))
+        level = stars.groupBy("v").agg(F.min("m").alias("root"))
+        # a root of the rounds before is a vertex of this one, unless its component was done
+        labels = cut(level if labels is None else labels.join(level.select(F.col("v").alias("root"), F.col("root").alias("_r")), "root", "left").select("v", F.coalesce("_r", "root").alias("root")))
+        if parts == 1:
+            break  # one part has seen every edge
+        edges = cut(stars.join(level, "v").filter("m <> root").select(F.col("m").alias("a"), F.col("root").alias("b")).distinct())
+    return labels
+
+
+def components(pairs: DataFrame, a: str, b: str, *, part_edges: int = 200_000) -> DataFrame:
     """vertex, label: the smallest vertex linked to it directly or through others."""
     edges = pairs.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).filter("a is not null and b is not null")
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -98,9 +117,9 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     member = giant.select("v", F.lit(True).alias("_in"))
     flag = lambda e, c: e.join(member.select(F.col("v").alias(c), F.col("_in").alias(f"_{c}")), c, "left")
     rest = flag(flag(links, "a"), "b").filter(F.col("_a").isNull() | F.col("_b").isNull())
-    rest = rest.select(F.when(F.col("_a"), F.lit(seed)).otherwise(F.col("a")).alias("a"), F.when(F.col("_b"), F.lit(seed)).otherwise(F.col("b")).alias("b"))
+    rest = cut(rest.select(F.when(F.col("_a"), F.lit(seed)).otherwise(F.col("a")).alias("a"), F.when(F.col("_b"), F.lit(seed)).otherwise(F.col("b")).alias("b")).distinct())
     rooted = giant.select("v", F.lit(seed).alias("root"))
-    labels = propagate(rest)
+    labels = propagate(rest, part_edges=part_edges)
     if labels is not None:
         # the seed's own root, if the tail of the giant reached back to it
         of_seed = labels.filter(F.col("v") == seed).select(F.col("root").alias("_s"))
