@@ -100,7 +100,7 @@ def human_bytes(n: Column) -> Column:
     """A size in the largest unit below 1024."""
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for k, unit in enumerate(["KB", "MB", "GB", "TB"], 1):
-        out = out.when((n < 1024 ** (k + 1)) | (F.lit(unit) == "TB"), F.concat(F.format_string("%.1f", n / float(1024**k)), F.lit(f" {unit}")))
+        out = out.when((n < 1024 ** (k + 1)) | (F.lit(unit) == "TB"), F.concat(F.format_string("%.1f", F.round(n / float(1024**k), 1)), F.lit(f" {unit}")))
     return out
 
 

@@ -15,7 +15,7 @@ from ridgeline.sources.tables import table
 from ridgeline.streaming import live
 
 BLACKLIST = ["private", "wanted", "road", "schnee", "corda", "pierres"]
-SEARCH = "trevolegg storm"
+SEARCH = "storm after"
 
 
 def _photos(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -162,7 +162,7 @@ def filter_set(spark, sf_dir):
 
 def grade_semi_join(spark, sf_dir):
     r = search.public(_records(spark, sf_dir))
-    return search.with_grade(r, search.grade_bridge(r), "6a").select("record_id")
+    return search.with_grade(r, search.grade_bridge(r), "6b").select("record_id")
 
 
 def pending_keys(spark, sf_dir):
