@@ -144,12 +144,15 @@ def nearest(rows: DataFrame, k: int = 5, *, decimals: int = 9, group_rows: int =
     classes = cut(ranked.groupBy("_h", "_h2").agg(F.min("content_hash").alias("cid"), F.array_sort(F.collect_list("content_hash")).alias("keys"), F.any_value("model").alias("model"), F.max(F.when(F.col("_n") == 1, F.col("vector"))).alias("vector")))
     counts = classes.groupBy("model").count()
     groups = F.greatest(F.ceil(F.col("count") / group_rows), F.least(F.lit(spread), F.ceil(F.col("count") / small))).cast("int")
-    sized = classes.join(counts.select("model", groups.alias("groups")), "model").withColumn("g", F.pmod(F.xxhash64("cid"), F.col("groups")).cast("int"))
+    sizes = cut(counts.select("model", groups.alias("groups")))
+    models, tiles = sizes.agg(F.count("*"), F.sum(F.col("groups") * (F.col("groups") + 1) / 2)).first()
+    # a shuffle by model alone would put all tiles of a model into one task: few models are broadcast
+    sized = classes.join(F.broadcast(sizes) if models <= 10_000 else sizes, "model").withColumn("g", F.pmod(F.xxhash64("cid"), F.col("groups")).cast("int"))
     copies = sized.select("model", "cid", "vector", "g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("_o"))
-    copies = copies.select("model", "cid", "vector", "g", F.least("g", "_o").alias("i"), F.greatest("g", "_o").alias("j"))
-    tiles = copies.groupBy("model", "i", "j").applyInArrow(lambda t: _tiles(t, k, decimals), "cid string, near array<struct<cos:double,cid:string>>")
+    copies = copies.select("model", "cid", "vector", "g", F.least("g", "_o").alias("i"), F.greatest("g", "_o").alias("j")).repartition(int(min(4000, max(1, 3 * (tiles or 0)))), "model", "i", "j")
+    near = copies.groupBy("model", "i", "j").applyInArrow(lambda t: _tiles(t, k, decimals), "cid string, near array<struct<cos:double,cid:string>>")
     best = lambda near: F.array_sort(near, lambda x, y: F.when(x["cos"] > y["cos"], -1).when(x["cos"] < y["cos"], 1).when(x["cid"] < y["cid"], -1).when(x["cid"] > y["cid"], 1).otherwise(0))
-    merged = tiles.groupBy("cid").agg(F.flatten(F.collect_list("near")).alias("near"))  # k per pair of groups
+    merged = near.groupBy("cid").agg(F.flatten(F.collect_list("near")).alias("near"))  # k per pair of groups
     merged = merged.select("cid", F.explode(F.slice(best(F.col("near")), 1, k)).alias("n")).select("cid", "n.cos", F.col("n.cid").alias("other"))
     keys = classes.select(F.col("cid").alias("other"), "keys")
     others = merged.join(keys, "other").select("cid", F.explode("keys").alias("key"), "cos")
