@@ -28,7 +28,7 @@ TIME_SOURCES = ["exif", "filename", "mtime", "none"]
 
 def latest_groups(groups: DataFrame) -> DataFrame:
     """group_id, source_path: the members of the latest row of each group, each once."""
-    moment = F.coalesce(F.unix_micros(F.col("found_at").cast("timestamp")), F.lit(-(2**63)))
+    moment = F.coalesce(F.unix_micros(F.col("found_at").cast("timestamp")), F.lit(-(2**62)))
     members = F.array_sort(F.array_distinct(F.filter(F.coalesce("photos", F.array().cast("array<string>")), lambda p: p.isNotNull())))
     last = groups.filter("group_id is not null").groupBy("group_id").agg(F.min(F.struct((-moment).alias("m"), members.alias("photos"))).alias("g"))
     return last.select("group_id", F.explode("g.photos").alias("source_path"))
