@@ -38,7 +38,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     """Great-circle distance on a sphere of the mean radius."""
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))  # (least() would pass over a null)
 
 
 def valid_position(lat: Column, lon: Column) -> Column:
@@ -79,7 +79,7 @@ def near(points: DataFrame, targets: DataFrame, radius_km: float, *, point: tupl
     keys = ["_band", "_cell"]
     if salts > 1:
         p = p.withColumn("_salt", F.pmod(F.xxhash64("_pid"), F.lit(salts)))
-        t = t.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+        t = t.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
         keys.append("_salt")
     pairs = p.join(t, keys).withColumn("distance_km", haversine_km(F.col("_plat"), F.col("_plon"), F.col("_tlat"), F.col("_tlon")))
     return pairs.filter(F.col("distance_km") <= radius_km).select(F.col("_pid").alias(point[0]), F.col("_tid").alias(target[0]), "distance_km")

@@ -32,7 +32,8 @@ def _tokens(x: str) -> str:
     return _TOKENS.format(_WORDS.format(x), _list(fixed.STOPWORDS))
 
 
-_KM = "2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2))))"
+_H = "(pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2))"
+_KM = "2 * 6371.0088 * asin(sqrt(CASE WHEN " + _H + " > 1 THEN 1.0 ELSE " + _H + " END))"
 _km = _KM.format
 _SESSIONS = f"""{_LP},
 o AS (SELECT *, lag(taken_ts) OVER w AS prev_ts, row_number() OVER w AS rn, max((taken_ts IS NOT NULL)::INT) OVER (PARTITION BY top_folder) AS dated FROM lp WINDOW w AS (PARTITION BY top_folder ORDER BY taken_ts ASC NULLS LAST, source_path)),
