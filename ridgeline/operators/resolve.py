@@ -9,6 +9,7 @@ from ridgeline.functions import fixed
 from ridgeline.functions.geo import rough_km
 from ridgeline.functions.text import edit_ratio, name_similarity, name_tokens, normalise_name
 from ridgeline.operators.spatial import near
+from ridgeline.session import cut
 
 MIN_SCORE = 0.82
 
@@ -32,17 +33,20 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2))))
 
 
-def _prefix(text: Column, least: float) -> Column:
-    """The bigrams of which two texts of edit ratio ``least`` share at least one: every edit spoils two, so of the bigrams in one fixed order the first 2 * edits + 1 of each side meet."""
+def _prefix(text: Column, least: float, rank: Column) -> Column:
+    """The bigrams of which two texts of edit ratio ``least`` share at least one: every edit spoils two, so of the bigrams in one fixed order the first 2 * edits + 1 of each side meet. Rare bigrams come first."""
     edits = F.floor((1 - least) / least * F.length(text) + 1e-9)
-    ordered = F.sort_array(F.transform(_grams(text), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
+    ordered = F.sort_array(F.transform(_grams(text), lambda g: F.struct(F.coalesce(F.try_element_at(rank, g), F.lit(0)).alias("n"), g.alias("g"))))
     return F.transform(F.slice(ordered, F.lit(1), (2 * edits + 1).cast("int")), lambda x: x["g"])
 
 
 def similar_words(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """a, b of all distinct words (columns ``w``) with edit ratio ``least`` or more, by prefix filtering: an equi join on rare bigrams, then the exact ratio."""
-    a = left.select(F.col("w").alias("a")).distinct().select("a", F.explode(_prefix(F.col("a"), least)).alias("g"))
-    b = right.select(F.col("w").alias("b")).distinct().select("b", F.explode(_prefix(F.col("b"), least)).alias("g"))
+    """a, b of all distinct words (columns ``w``) with edit ratio ``least`` or more, by prefix filtering: an equi join on rare bigrams, then the exact ratio. Words are normalised, so there are at most some 1,500 bigrams; their counts order them."""
+    right = right.select("w").distinct()
+    counts = right.select(F.explode(_grams(F.col("w"))).alias("g")).groupBy("g").count().limit(5000).collect()
+    rank = F.create_map(*[F.lit(x) for r in counts for x in (r["g"], r["count"])]) if counts else F.create_map(F.lit(""), F.lit(0).cast("bigint"))
+    a = left.select(F.col("w").alias("a")).distinct().select("a", F.explode(_prefix(F.col("a"), least, rank)).alias("g"))
+    b = right.select(F.col("w").alias("b")).select("b", F.explode(_prefix(F.col("b"), least, rank)).alias("g"))
     close = F.abs(F.length("a") - F.length("b")) <= F.greatest(F.length("a"), F.length("b")) * (1 - least) + 1e-9
     return a.join(b, "g").filter(close).select("a", "b").distinct().filter(edit_ratio(F.col("a"), F.col("b")) >= least)
 
@@ -53,15 +57,15 @@ def fuzzy_matches(names: DataFrame, known: DataFrame, *, min_score: float = MIN_
     A pair can only reach the score if the whole names or two of their words do, so only such pairs are formed.
     """
     asked = names.select("name", normalise_name(F.col("name")).alias("q")).filter("q <> ''").distinct()
-    spelt = known.select("peak_id", "elevation", F.col("normal").alias("c"))
+    spelt = cut(known.select("peak_id", "elevation", F.col("normal").alias("c")))  # read several times below
     exact = asked.join(spelt, F.col("q") == F.col("c")).select("name", "q", "peak_id", "elevation", F.lit(1.0).alias("score"))
-    open_names = asked.join(exact.select("name").distinct(), "name", "left_anti")
+    open_names = cut(asked.join(exact.select("name").distinct(), "name", "left_anti"))
     whole = similar_words(open_names.select(F.col("q").alias("w")), spelt.select(F.col("c").alias("w")), min_score).select(F.col("a").alias("q"), F.col("b").alias("c"))
     q_words = open_names.select("q", F.explode(name_tokens(F.col("q"))).alias("w")).distinct()
     c_words = spelt.select("c", F.explode(name_tokens(F.col("c"))).alias("w")).distinct()
     words = similar_words(q_words.select("w"), c_words.select("w"), min_score)
     by_word = words.join(q_words.withColumnRenamed("w", "a"), "a").join(c_words.withColumnRenamed("w", "b"), "b").select("q", "c")
-    pairs = whole.unionByName(by_word).distinct().withColumn("score", name_similarity(F.col("q"), F.col("c"))).filter(F.col("score") >= min_score)
+    pairs = cut(whole.unionByName(by_word).distinct()).withColumn("score", name_similarity(F.col("q"), F.col("c"))).filter(F.col("score") >= min_score)
     fuzzy = open_names.join(pairs, "q").join(spelt, "c").select("name", "q", "peak_id", "elevation", "score")
     best = exact.unionByName(fuzzy).groupBy("name", "peak_id").agg(F.max("score").alias("score"), F.max(F.coalesce("elevation", F.lit(0))).alias("elevation"))
     w = Window.partitionBy("name").orderBy(F.desc("score"), F.desc("elevation"), "peak_id")
@@ -71,9 +75,13 @@ def fuzzy_matches(names: DataFrame, known: DataFrame, *, min_score: float = MIN_
 def names_in_text(texts: DataFrame, known: DataFrame, *, key: str, text: str, single: int = 8, limit: int = 5) -> DataFrame:
     """key, normal, n_words, position, rank of gazetteer names of one to four words in running text; single words need ``single`` letters; longer names first, then the earlier."""
     words = F.filter(F.split(F.col(text), "[^0-9A-Za-zÀ-ɏ]+"), lambda w: w != "")
-    rows = texts.select(key, words.alias("words")).filter(F.size("words") > 0)
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.transform(F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(n.alias("n"), i.alias("position"), F.array_join(F.slice("words", i, n), " ").alias("span")))))
-    grams = rows.select(key, F.explode(spans).alias("s")).select(key, "s.*").withColumn("normal", normalise_name(F.col("span")))
+    # each word is folded once; a span of words is looked at only where a known name's first word stands
+    rows = texts.select(key, F.transform(words, normalise_name).alias("words")).filter(F.size("words") > 0)
+    spans = F.transform("words", lambda w, i: F.struct((i + 1).alias("position"), F.slice(F.col("words"), i + 1, 4).alias("span")))
+    joined = lambda c: F.array_join(F.filter(c, lambda w: w != ""), " ")
+    at = rows.select(key, F.explode(spans).alias("s")).select(key, "s.*").withColumn("head", F.split_part(joined(F.col("span")), F.lit(" "), F.lit(1)))
+    at = at.join(known.select(F.split_part("normal", F.lit(" "), F.lit(1)).alias("head")).distinct(), "head", "left_semi")
+    grams = at.select(key, "position", "span", F.explode(F.sequence(F.lit(1), F.size("span"))).alias("n")).withColumn("normal", joined(F.slice("span", F.lit(1), F.col("n"))))
     grams = grams.filter((F.col("n") > 1) | (F.length("normal") >= single))
     found = grams.join(known.select("normal").distinct(), "normal").groupBy(key, "normal").agg(F.max("n").alias("n_words"), F.min("position").alias("position"))
     w = Window.partitionBy(key).orderBy(F.desc("n_words"), "position", "normal")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import fixed, geo, text, time
 from ridgeline.operators import classify, duplicates, fusion, resolve, schema_drift, search, sessions, spatial, store
 from ridgeline.session import ensure_checkpoint_dir
-from ridgeline.sources.tables import table
+from ridgeline.sources.tables import spread, table
 from ridgeline.streaming import live
 
 BLACKLIST = ["private", "wanted", "road", "schnee", "corda", "pierres"]
@@ -360,7 +360,7 @@ def fuzzy_resolve(spark, sf_dir):
 
 def ngram_in_text(spark, sf_dir):
     known = resolve.spellings(table(spark, sf_dir, "peaks"))
-    return resolve.names_in_text(table(spark, sf_dir, "documents"), known, key="doc_id", text="text").select("doc_id", "normal", "n_words", "position", "rank")
+    return resolve.names_in_text(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), known, key="doc_id", text="text").select("doc_id", "normal", "n_words", "position", "rank")
 
 
 def spatial_near(spark, sf_dir):

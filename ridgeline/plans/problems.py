@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.operators import schema_drift, spatial, timestamps
-from ridgeline.sources.tables import table
+from ridgeline.sources.tables import spread, table
 
 NEAR_KM = 4.0
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema_drift.changes(table(spark, sf_dir, "analysis"), table(spark, sf_dir, "store_file"))
+    return schema_drift.changes(spread(table(spark, sf_dir, "analysis").select("export_file", "payload", "raw_response")), table(spark, sf_dir, "store_file"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def p1_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timestamps.normalise(timestamps.stacked(table(spark, sf_dir, "analysis")), table(spark, sf_dir, "store_file"))
+    return timestamps.normalise(timestamps.stacked(spread(table(spark, sf_dir, "analysis").select("analysis_id", "export_file", "taken_at", "analysed_at"))), table(spark, sf_dir, "store_file"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
