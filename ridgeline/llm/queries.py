@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import components, language, leakage, neighbours, ocr, packing, survivorship
-from ridgeline.sources.tables import table
+from ridgeline.sources.tables import spread, table
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    pages = ocr.pages_of(("ocr_text", table(spark, sf_dir, "ocr_text"), "read_id", "text"), ("photo_analysis", table(spark, sf_dir, "photo_analysis"), "record_id", "visible_text"))
+    pages = ocr.pages_of(("ocr_text", spread(table(spark, sf_dir, "ocr_text")), "read_id", "text"), ("photo_analysis", spread(table(spark, sf_dir, "photo_analysis").select("record_id", "visible_text")), "record_id", "visible_text"))
     peaks = table(spark, sf_dir, "peaks")
     names = peaks.select(F.explode(F.concat(F.array("peak_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
-    return pages, table(spark, sf_dir, "documents").select("text"), names
+    return pages, spread(table(spark, sf_dir, "documents").select("text")), names
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def p6_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     capacities = [(r.target_name, r.capacity_tokens) for r in table(spark, sf_dir, "pack_capacity").limit(100).collect()]
-    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")), capacities)
+    return packing.pack(packing.token_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), capacities)
 
 
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,16 +63,16 @@ def p8_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+    return leakage.leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_item"))
 
 
 def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each leaked run stands in the text, and its number of words."""
-    return leakage.spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+    return leakage.spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_item"))
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     model = language.train(documents, table(spark, sf_dir, "lang_sample"))
     return language.segment(documents, model, names=language.gazetteer_words(table(spark, sf_dir, "peaks")))
 
