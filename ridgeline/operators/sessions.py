@@ -1,8 +1,8 @@
 """Sessions by time gap and location jump, trips, samples and rollups.
 
-Windows are per library (the partition a caller names). A library that holds a
-third of all items is cut into runs first where the operator allows it: gaps
-need only the item before, which a range-partitioned pass finds per bucket.
+A library may hold a third of all items, so session windows run over spans of
+``bucket_days`` of a library and are stitched through one row per span: the last
+time, the number of splits and the last position before it.
 """
 
 from __future__ import annotations
@@ -16,33 +16,56 @@ from pyspark.sql import functions as F
 from ridgeline.functions import fixed
 from ridgeline.functions.geo import haversine_km
 from ridgeline.functions.time import gap_label, seconds_between
+from ridgeline.session import cut
 
 
-def sessions(items: DataFrame, *, library: str, item: str, ts: str = "taken_ts", lat: str = "lat", lon: str = "lon", gap_hours: float = fixed.GAP_HOURS, jump_km: float = fixed.JUMP_KM, jump_minutes: float = fixed.JUMP_MINUTES) -> DataFrame:
-    """Adds session_no and split_reason.
+def _before(rows: DataFrame, keys: list[str], bucket: str, value) -> DataFrame:
+    """keys, bucket, _before: the sum of ``value`` in the buckets before, from one row per bucket."""
+    totals = rows.groupBy(*keys, bucket).agg(F.sum(value).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(*keys, bucket, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+
+
+def sessions(items: DataFrame, *, library: str, item: str, ts: str = "taken_ts", lat: str = "lat", lon: str = "lon", gap_hours: float = fixed.GAP_HOURS, jump_km: float = fixed.JUMP_KM, jump_minutes: float = fixed.JUMP_MINUTES, bucket_days: int = 30) -> DataFrame:
+    """Adds session_no and split_reason. ``item`` is unique within a library.
 
     An item opens a session after a gap of more than ``gap_hours``, or more than
     ``jump_km`` from the last position of the session if ``jump_minutes`` passed.
     Undated items come last; each opens one if the library has any dated item.
     Only a jump resets the last position besides a gap, and a jump happens on an
     item with a position, so two passes of windows give the sequential result.
+    A null library is a library.
     """
-    w = Window.partitionBy(library).orderBy(F.col(ts).asc_nulls_last(), item)
-    everything = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = items.withColumn("_gap", seconds_between(F.lag(ts).over(w), F.col(ts))).withColumn("_rn", F.row_number().over(w))
-    df = df.withColumn("_dated", F.max(F.col(ts).isNotNull()).over(Window.partitionBy(library)))
-    undated = F.col(ts).isNull() & (F.col("_rn") > 1) & F.col("_dated")
-    split = F.coalesce(F.col("_gap") > gap_hours * 3600, F.lit(False)) | undated
-    df = df.withColumn("_ts", split).withColumn("_seg", F.sum(F.col("_ts").cast("int")).over(everything))
+    columns = items.columns
+    df = items.withColumn("_l", F.coalesce(F.col(library).cast("string"), F.lit("\x00")))
+    # undated items follow the last span
+    df = df.withColumn("_b", F.coalesce(F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (86_400_000_000 * bucket_days)), F.lit(1 << 40)))
+    span = ["_l", "_b"]
+    order = [F.col(ts).asc_nulls_last(), F.col(item)]
+    w = Window.partitionBy(*span).orderBy(*order)
+    sofar = w.rowsBetween(Window.unboundedPreceding, 0)
+    by_span = Window.partitionBy("_l").orderBy("_b")
+    ends = df.groupBy(*span).agg(F.max(ts).alias("_max"))
+    ends = ends.select(*span, F.lag("_max").over(by_span).alias("_pmax"), (F.row_number().over(by_span) == 1).alias("_head"), F.max(F.col("_max").isNotNull()).over(Window.partitionBy("_l")).alias("_dated"))
+    df = df.withColumn("_prev", F.lag(ts).over(w)).withColumn("_rn", F.row_number().over(w)).join(ends, span)
+    df = df.withColumn("_gap", seconds_between(F.when(F.col("_rn") == 1, F.col("_pmax")).otherwise(F.col("_prev")), F.col(ts)))
+    undated = F.col(ts).isNull() & ~(F.col("_head") & (F.col("_rn") == 1)) & F.col("_dated")
+    df = df.withColumn("_ts", (F.coalesce(F.col("_gap") > gap_hours * 3600, F.lit(False)) | undated).cast("int"))
+    df = cut(df.drop("_prev", "_rn", "_pmax", "_head", "_dated"))  # read several times from here on
+    df = df.join(_before(df, ["_l"], "_b", "_ts"), span).withColumn("_seg", F.sum("_ts").over(sofar) + F.col("_before")).drop("_before")
     fix = F.when(F.col(lat).isNotNull() & F.col(lon).isNotNull(), F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon")))
-    inside = Window.partitionBy(library, "_seg").orderBy(F.col(ts).asc_nulls_last(), item).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_fix", fix).withColumn("_last", F.last("_fix", ignorenulls=True).over(inside))
+    df = df.withColumn("_fix", fix)
+    inside = Window.partitionBy(*span, "_seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    carried = df.groupBy("_l", "_seg", "_b").agg(F.max(F.when(F.col("_fix").isNotNull(), F.struct(F.col(ts).isNull(), ts, item, "_fix")))["_fix"].alias("_f"))
+    carried = carried.select("_l", "_seg", "_b", F.last("_f", ignorenulls=True).over(Window.partitionBy("_l", "_seg").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    df = df.withColumn("_in", F.last("_fix", ignorenulls=True).over(inside)).join(carried, ["_l", "_seg", "_b"]).withColumn("_last", F.coalesce("_in", "_carry"))
     km = haversine_km(F.col("_last.lat"), F.col("_last.lon"), F.col("_fix.lat"), F.col("_fix.lon"))
-    jump = F.coalesce(~F.col("_ts") & (km > jump_km) & (F.col("_gap") >= jump_minutes * 60), F.lit(False))
-    df = df.withColumn("_js", jump)
-    reason = F.when(F.col("_ts") & F.col(ts).isNull(), "no timestamp").when(F.col("_ts"), F.concat(F.lit("time gap of "), gap_label(F.col("_gap")))).when(F.col("_js"), F.lit("location jump"))
-    df = df.withColumn("session_no", F.sum((F.col("_ts") | F.col("_js")).cast("int")).over(everything) + 1).withColumn("split_reason", reason)
-    return df.drop("_gap", "_rn", "_dated", "_ts", "_seg", "_fix", "_last", "_js")
+    df = df.withColumn("_js", F.coalesce((F.col("_ts") == 0) & (km > jump_km) & (F.col("_gap") >= jump_minutes * 60), F.lit(False)))
+    gap = F.col("_ts") == 1
+    reason = F.when(gap & F.col(ts).isNull(), "no timestamp").when(gap, F.concat(F.lit("time gap of "), gap_label(F.col("_gap")))).when(F.col("_js"), F.lit("location jump"))
+    df = cut(df.withColumn("_new", (gap | F.col("_js")).cast("int")).withColumn("split_reason", reason).select(*columns, *span, "_new", "split_reason"))
+    df = df.join(_before(df, ["_l"], "_b", "_new"), span).withColumn("session_no", F.sum("_new").over(sofar) + F.col("_before") + 1)
+    return df.select(*columns, "session_no", "split_reason")
 
 
 def summaries(sessioned: DataFrame, *, library: str, item: str) -> DataFrame:
