@@ -116,8 +116,15 @@ p AS (SELECT a.h AS a, b.h AS b, round(list_cosine_similarity(a.v, b.v), 9) AS c
 t AS (SELECT a, b FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5)
 SELECT DISTINCT least(a, b) AS hash_a, greatest(a, b) AS hash_b FROM t
 """
+_WORDS = "regexp_split_to_array(trim(regexp_replace(regexp_replace(lower(strip_accents({})), '[\\p{{M}}\\p{{Cf}}]+', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
+_P9 = f"""
+WITH d AS (SELECT doc_id AS k, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT item_id AS k, {_WORDS.format("passage")} AS w FROM eval_item WHERE passage IS NOT NULL),
+dg AS (SELECT DISTINCT k, array_to_string(w[i:i + 11], ' ') AS g FROM d, unnest(range(1, len(w) - 10)) AS t(i)), eg AS (SELECT DISTINCT k, array_to_string(w[i:i + 11], ' ') AS g FROM e, unnest(range(1, len(w) - 10)) AS t(i))
+SELECT DISTINCT dg.k AS doc_id, eg.k AS item_id FROM dg JOIN eg USING (g)
+"""
 SQL = {
     "p4_found": _P4,
+    "p9_found": _P9,
     "p5_found": _P5 + """SELECT group_id, 'record' AS field_name, record AS source_path FROM f WHERE record IS NOT NULL
 UNION ALL SELECT group_id, 'position', position FROM f WHERE position IS NOT NULL
 UNION ALL SELECT group_id, 'camera_model', camera_model FROM f WHERE camera_model IS NOT NULL
