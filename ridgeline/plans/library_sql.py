@@ -74,7 +74,7 @@ SQL: dict[str, str] = {
     "timestamp_fallback": f"WITH x AS (SELECT scan_row_id, scanned_at, CASE WHEN timestamp_source = 'exif' THEN taken_ts END AS e, {_NAMED_TS} AS n FROM (SELECT *, regexp_extract(source_path, '([^/]*)$', 1) AS f FROM photos)) SELECT scan_row_id, coalesce(e, n, scanned_at) AS ts, CASE WHEN e IS NOT NULL THEN 'exif' WHEN n IS NOT NULL THEN 'filename' WHEN scanned_at IS NOT NULL THEN 'mtime' ELSE 'none' END AS source FROM x",
     "camera_labels": "WITH c AS (SELECT nullif(trim(camera_make), '') AS mk, nullif(trim(camera_model), '') AS md FROM photos) SELECT CASE WHEN mk IS NULL OR starts_with(lower(md), lower(mk)) THEN md WHEN md IS NULL THEN mk ELSE mk || ' ' || md END AS camera, count(*) AS n FROM c GROUP BY ALL",
     "dms_to_degrees": "WITH p AS (SELECT scan_row_id, lat, floor(abs(lat)) AS d, floor((abs(lat) - floor(abs(lat))) * 60) AS m FROM photos WHERE lat IS NOT NULL), q AS (SELECT *, round((abs(lat) - d - m / 60) * 3600, 3) AS s FROM p) SELECT scan_row_id, round((d + m / 60 + s / 3600) * (CASE WHEN lat < 0 THEN -1 ELSE 1 END), 6) AS degrees FROM q",
-    "gps_text": "WITH p AS (SELECT record_id, abs(latitude) AS a FROM photo_analysis WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180), q AS (SELECT *, floor(a) AS d, floor((a - floor(a)) * 60) AS m FROM p) SELECT record_id, d::BIGINT || '/1 ' || m::BIGINT || '/1 ' || round((a - d - m / 60) * 3600 * 100)::BIGINT || '/100' AS lat_text FROM q",
+    "gps_text": "WITH p AS (SELECT record_id, abs(latitude) AS a FROM photo_analysis WHERE NOT isnan(latitude) AND NOT isnan(longitude) AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180), q AS (SELECT *, floor(a) AS d, floor((a - floor(a)) * 60) AS m FROM p) SELECT record_id, d::BIGINT || '/1 ' || m::BIGINT || '/1 ' || round((a - d - m / 60) * 3600 * 100)::BIGINT || '/100' AS lat_text FROM q",
     "season_timeofday": "SELECT CASE WHEN month(taken_ts) IN (12, 1, 2) THEN 'winter' WHEN month(taken_ts) < 6 THEN 'spring' WHEN month(taken_ts) < 9 THEN 'summer' ELSE 'autumn' END AS season, CASE WHEN hour(taken_ts) < 6 OR hour(taken_ts) > 20 THEN 'night' WHEN hour(taken_ts) < 9 THEN 'early morning' WHEN hour(taken_ts) > 17 THEN 'evening' END AS part, count(*) AS n FROM photos WHERE taken_ts IS NOT NULL GROUP BY ALL",
     "name_normalise": f"WITH n AS (SELECT peak_id, peak_name, {_normal('peak_name')} AS normal FROM peaks) SELECT peak_id, normal, array_to_string({_tokens('normal')}, ' ') AS words, {_slug('peak_name')} AS slug, {_label('peak_name')} AS label FROM n",
     "specific_names": f"WITH w AS (SELECT peak_id, peak_name, list_filter([regexp_replace(x, '^[-–—]+|[-–—]+$', '', 'g') FOR x IN regexp_split_to_array(trim(peak_name), '\\s+')], lambda x: x <> '') AS ws FROM peaks) SELECT peak_id, coalesce((len(ws) >= 2 OR (len(ws) = 1 AND len(peak_name) >= 11)) AND len(list_filter(ws, lambda x: len(x) >= 5 AND lower(x) NOT IN ({_list(fixed.ARTICLES + fixed.GENERIC)}))) > 0, false) AS specific FROM w",
@@ -123,13 +123,13 @@ SELECT name, peak_id, round(score, 9) AS score, row_number() OVER (PARTITION BY
     "ngram_in_text": f"""WITH {_SPELL}, w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^0-9A-Za-zÀ-ɏ]+'), lambda x: x <> '') AS ws FROM documents), s AS (SELECT doc_id, ws, unnest(range(1, 5)) AS n FROM w), p AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS position FROM s WHERE len(ws) >= n),
 g AS (SELECT doc_id, n, position, array_to_string(ws[position:position + n - 1], ' ') AS span FROM p), f AS (SELECT doc_id, n, position, {_normal('span')} AS normal FROM g), h AS (SELECT doc_id, normal, max(n) AS n_words, min(position) AS position FROM f WHERE (n > 1 OR len(normal) >= 8) AND normal IN (SELECT normal FROM spell) GROUP BY ALL)
 SELECT doc_id, normal, n_words, position, row_number() OVER (PARTITION BY doc_id ORDER BY n_words DESC, position, normal) AS rank FROM h QUALIFY rank <= 5""",
-    "spatial_near": "WITH p AS (SELECT record_id, latitude AS a, longitude AS o FROM photo_analysis WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180), n AS (SELECT record_id, peak_id, coalesce(elevation, 0) AS elevation FROM p JOIN peaks ON lat BETWEEN a - 0.15 AND a + 0.15 AND lon IS NOT NULL WHERE sqrt(pow(radians(lon - o) * cos(radians((a + lat) / 2)), 2) + pow(radians(lat - a), 2)) * 6371.0088 <= 15) SELECT record_id, peak_id, elevation, row_number() OVER (PARTITION BY record_id ORDER BY elevation DESC, peak_id) AS rank FROM n QUALIFY rank <= 12",
+    "spatial_near": "WITH p AS (SELECT record_id, latitude AS a, longitude AS o FROM photo_analysis WHERE NOT isnan(latitude) AND NOT isnan(longitude) AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180), n AS (SELECT record_id, peak_id, coalesce(elevation, 0) AS elevation FROM p JOIN peaks ON lat BETWEEN a - 0.15 AND a + 0.15 AND lon IS NOT NULL WHERE sqrt(pow(radians(lon - o) * cos(radians((a + lat) / 2)), 2) + pow(radians(lat - a), 2)) * 6371.0088 <= 15) SELECT record_id, peak_id, elevation, row_number() OVER (PARTITION BY record_id ORDER BY elevation DESC, peak_id) AS rank FROM n QUALIFY rank <= 12",
     "nearest_place": f"WITH n AS (SELECT scan_row_id, peak_id, {_km('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS d FROM photos a JOIN peaks b ON b.lat BETWEEN a.lat - 0.1 AND a.lat + 0.1 WHERE a.lon IS NOT NULL AND b.lon IS NOT NULL) SELECT scan_row_id, peak_id, round(d, 6) AS distance_km FROM n WHERE d <= 10 QUALIFY row_number() OVER (PARTITION BY scan_row_id ORDER BY d, peak_id) = 1",
     "bounds_filter": "SELECT country, count(*) FILTER (k) AS kept, count(*) FILTER (NOT k) AS dropped FROM (SELECT country, coalesce(lat BETWEEN 35 AND 81 AND lon BETWEEN -25 AND 45, true) AS k FROM peaks) GROUP BY country",
     "centroid_bbox": f"WITH p AS (SELECT top_folder, avg(cos(radians(lat)) * cos(radians(lon))) AS x, avg(cos(radians(lat)) * sin(radians(lon))) AS y, avg(sin(radians(lat))) AS z, min(lat) AS a, min(lon) AS b, max(lat) AS c, max(lon) AS d FROM photos WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY top_folder) SELECT top_folder, round(degrees(atan2(z, sqrt(x * x + y * y))), 6) AS lat, round(degrees(atan2(y, x)), 6) AS lon, round({_km('a', 'b', 'c', 'd')}, 4) AS span_km FROM p",
     "noisy_or": f"WITH {_CLAIMS}, s AS (SELECT session, peak, {_STRENGTH} AS s FROM claims WHERE peak IS NOT NULL AND peak <> ''), r AS (SELECT session, peak, s, row_number() OVER (PARTITION BY session, peak ORDER BY s DESC) - 1 AS k FROM s) SELECT session, peak, round(1 - product(1 - s * pow(0.6::DOUBLE, k)), 6) AS probability, count(*) AS n_claims FROM r GROUP BY session, peak",
     "contradiction_filter": f"WITH {_CLAIMS}, an AS (SELECT DISTINCT session, peak AS name, lat, lon FROM claims WHERE basis IN ('sign_in_scene', 'printed_page') AND peak IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL), m AS (SELECT record_id, min({_km('c.lat', 'c.lon', 'an.lat', 'an.lon')}) AS d, bool_or(c.peak = an.name) AS named FROM claims c JOIN an USING (session) WHERE c.peak IS NOT NULL AND c.lat IS NOT NULL AND c.lon IS NOT NULL AND NOT coalesce(basis IN ('sign_in_scene', 'printed_page'), false) GROUP BY record_id) SELECT record_id, round(d, 6) AS nearest_km FROM m WHERE d > 30 AND NOT named",
-    "consensus_location": f"""WITH {_CLAIMS}, p AS (SELECT session, record_id, latitude AS a, longitude AS o FROM claims WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180), pr AS (SELECT x.session, x.record_id AS seed, y.record_id AS other, y.a, y.o FROM p x JOIN p y USING (session) WHERE {_km('x.a', 'x.o', 'y.a', 'y.o')} <= 25),
+    "consensus_location": f"""WITH {_CLAIMS}, p AS (SELECT session, record_id, latitude AS a, longitude AS o FROM claims WHERE NOT isnan(latitude) AND NOT isnan(longitude) AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180), pr AS (SELECT x.session, x.record_id AS seed, y.record_id AS other, y.a, y.o FROM p x JOIN p y USING (session) WHERE {_km('x.a', 'x.o', 'y.a', 'y.o')} <= 25),
 sz AS (SELECT session, seed, count(*) AS agreeing FROM pr GROUP BY ALL), tot AS (SELECT session, count(*) AS considered FROM p GROUP BY session), b AS (SELECT * FROM sz QUALIFY row_number() OVER (PARTITION BY session ORDER BY agreeing DESC, seed) = 1), ch AS (SELECT * FROM b JOIN tot USING (session) WHERE agreeing >= 2 AND agreeing / considered >= 0.4),
 mem AS (SELECT ch.session, agreeing, considered, other, a, o FROM ch JOIN pr ON pr.session = ch.session AND pr.seed = ch.seed), co AS (SELECT x.session, x.agreeing, x.considered, x.other, x.a, x.o, sum({_km('x.a', 'x.o', 'y.a', 'y.o')}) AS d FROM mem x JOIN mem y USING (session) GROUP BY ALL)
 SELECT session, a AS lat, o AS lon, agreeing, considered FROM co QUALIFY row_number() OVER (PARTITION BY session ORDER BY CASE WHEN agreeing <= 2 THEN 0 ELSE round(d, 9) END, other) = 1""",

@@ -63,7 +63,7 @@ pairs AS (SELECT export_file, j, unnest(json_keys(j)) AS field_name FROM docs WH
 SELECT export_file, field_name, count(*) AS n, count(*) FILTER (json_type(j, '$."' || field_name || '"') <> 'NULL') AS filled FROM pairs GROUP BY ALL
 """,
     "p7_found": """
-WITH pts AS (SELECT record_id, latitude AS y, longitude AS x FROM photo_analysis WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180),
+WITH pts AS (SELECT record_id, latitude AS y, longitude AS x FROM photo_analysis WHERE NOT isnan(latitude) AND NOT isnan(longitude) AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180),
 near AS (SELECT record_id, peak_id FROM pts JOIN peaks ON lat IS NOT NULL AND lon IS NOT NULL AND abs(lat - y) < 0.04
   AND 2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(lat - y) / 2), 2) + cos(radians(y)) * cos(radians(lat)) * pow(sin(radians(lon - x) / 2), 2)))) <= 4.0),
 rings AS (SELECT area_id, ring_no, is_hole, ring_lat AS la, ring_lon AS lo, len(ring_lat) AS n FROM areas),
