@@ -211,12 +211,13 @@ def flood(old: list[dict], new: list[dict], threshold: float = 0.5, rounds: int
 # --- changes --------------------------------------------------------------
 
 
-def changes(rows: DataFrame, files: DataFrame, threshold: float = 0.5) -> DataFrame:
+def changes(rows: DataFrame, files: DataFrame, threshold: float = 0.5, prof: DataFrame | None = None) -> DataFrame:
     """export_file, store_id, file_seq, doc_kind, change_kind, field_name, new_value of every change against the store's file before.
 
-    ``rows`` has export_file, payload and raw_response; ``files`` has export_file (unique), store_id and file_seq.
+    ``rows`` has export_file, payload and raw_response; ``files`` has export_file (unique), store_id and file_seq; ``prof`` is the profile of the rows' documents if there is one already.
     """
-    prof = profile(documents(rows.select("export_file", "payload", "raw_response")))
+    if prof is None:
+        prof = profile(documents(rows.select("export_file", "payload", "raw_response")))
     files = files.select("export_file", "store_id", "file_seq").dropDuplicates(["export_file"])
     key = ["store_id", "doc_kind", "file_seq"]
     # the profile is a fraction of the rows and read several times: its lineage is cut, so that plans stay small
@@ -271,13 +272,16 @@ _DOUBLES = "latitude longitude verified_lat verified_lon peak_probability runner
 _INTS = "elevation_m people_count aesthetic_score eyes_closed_count schema_version peak_agreement peak_considered"
 _BOOLEANS = "is_indoor is_guidebook_page is_personal_document"
 _ARRAYS = "climbing_grades keywords place_names_visible landmarks gear_visible"
-#: The consistent schema: field and type of every column.
+#: Fields that the consistent schema always has, and their types where no document fills them.
 TARGET = {n: t for names, t in ((_STRINGS, "string"), (_DOUBLES, "double"), (_INTS, "int"), (_BOOLEANS, "boolean"), (_ARRAYS, "array<string>")) for n in names.split()}
 
 
-def aliases(renames: DataFrame, target: dict[str, str] | None = None, rounds: int = 4, limit: int = 20_000) -> dict[str, list[str]]:
-    """Other keys under which each field of ``target`` was found, by following renames either way; a key that leads to several fields goes to the one it leads to most often. One row per pair of keys is read by the driver: there are no more than pairs of field names, and more than ``limit`` is an error."""
-    names = target or TARGET
+#: Most columns besides those of TARGET; the values of further fields stand in other_fields.
+MORE_COLUMNS = 400
+
+
+def _links(renames: DataFrame, limit: int) -> dict[str, dict[str, int]]:
+    """How often each key is one with each other key, either way."""
     pairs = renames.groupBy("field_name", "new_value").count().limit(limit + 1).collect()
     if len(pairs) > limit:
         raise ValueError(f"more than {limit} pairs of renamed keys: the renames are no schema changes")
@@ -285,6 +289,10 @@ def aliases(renames: DataFrame, target: dict[str, str] | None = None, rounds: in
     for a, b, n in pairs:
         links.setdefault(a, {})[b] = links.setdefault(a, {}).get(b, 0) + n
         links.setdefault(b, {})[a] = links.setdefault(b, {}).get(a, 0) + n
+    return links
+
+
+def _follow(links: dict[str, dict[str, int]], names: dict[str, str], rounds: int) -> dict[str, list[str]]:
     known = {n: n for n in names}
     for _ in range(rounds):
         votes: dict[str, dict[str, int]] = {}
@@ -305,23 +313,80 @@ def aliases(renames: DataFrame, target: dict[str, str] | None = None, rounds: in
     return out
 
 
+def aliases(renames: DataFrame, target: dict[str, str] | None = None, rounds: int = 4, limit: int = 20_000) -> dict[str, list[str]]:
+    """Other keys under which each field of ``target`` was found, by following renames either way; a key that leads to several fields goes to the one it leads to most often. One row per pair of keys is read by the driver: there are no more than pairs of field names, and more than ``limit`` is an error."""
+    return _follow(_links(renames, limit), target or TARGET, rounds)
+
+
+def _kind(n: dict[str, int], default: str) -> str:
+    """The column type of a field by its values per type: that of most values, numbers together and as wide as the widest, texts in a tie; objects are JSON text."""
+    if not sum(n.values()):
+        return default
+    whole = "double" if n["number"] or default == "double" else "bigint"
+    votes = {"string": n["string"], whole: n["integer"] + n["number"], "boolean": n["boolean"], "array<string>": n["array"]}
+    return max(votes, key=lambda t: votes[t]) if max(votes.values()) >= n["object"] else "string"
+
+
+def schema(prof: DataFrame, renames: DataFrame, reserved: list[str], rounds: int = 4, limit: int = 20_000) -> tuple[dict[str, str], dict[str, list[str]]]:
+    """The consistent schema and the other keys of its fields: those of TARGET and every other field with a value that the profile has, each with the type of most of its values under all its keys.
+
+    Renamed keys are one field, named as TARGET does, else by its most frequent key. No column have keys that are no plain names or equal but for case a column or a name in ``reserved``, and fields beyond the ``MORE_COLUMNS`` most frequent; ``consistent`` keeps their values in other_fields. At most the ``limit`` most frequent keys are read by the driver.
+    """
+    links = _links(renames, limit)
+    other = _follow(links, TARGET, rounds)
+    sums = prof.filter("key <> ''").groupBy("key").agg(F.sum("filled").alias("filled"), *[F.sum(f"n_{t}").alias(t) for t in TYPES])
+    counts = {r["key"]: r.asDict() for r in sums.filter("filled > 0").orderBy(F.desc("filled"), "key").limit(limit).collect()}
+    target = dict(TARGET)
+    taken = {*TARGET, *(k for keys in other.values() for k in keys)}
+    names = {n.lower() for n in [*TARGET, *reserved, "from_doc", "other_fields"]}
+    for key in counts:
+        if key in taken or key.lower() in names or not re.fullmatch(r"[A-Za-z][A-Za-z0-9_]*", key) or len(target) >= len(TARGET) + MORE_COLUMNS:
+            continue
+        same, todo = {key}, [key]
+        while todo:
+            more = links.get(todo.pop(), {}).keys() - taken - same
+            same |= more
+            todo += sorted(more)
+        taken |= same
+        names.add(key.lower())
+        target[key] = "string"
+        if len(same) > 1:
+            other[key] = sorted(same - {key})
+    total = lambda field, t: sum(counts[k][t] for k in [field, *other.get(field, [])] if k in counts)
+    return {f: _kind({t: total(f, t) for t in TYPES}, kind) for f, kind in target.items()}, other
+
+
+def _cast(value: Column, kind: str) -> Column:
+    got = F.try_variant_get(value, "$", kind)
+    if kind != "array<string>":
+        return got
+    text = F.when(~F.schema_of_variant(value).startswith("OBJECT"), F.try_variant_get(value, "$", "string"))
+    return F.coalesce(got, F.when(F.length(text) > 0, F.transform(F.split(text, r"\s*[,;]\s*"), F.trim)))
+
+
+def _cell(document: str, keys: list[str], kind: str) -> Column:
+    """value and key of the first of ``keys`` under which a document has a value of this type."""
+    values = [(k, _cast(F.try_element_at(document, F.lit(k)), kind)) for k in keys]
+    return F.coalesce(*[F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(k).alias("key"))) for k, v in values])
+
+
+def _rest(document: Column, done: Column) -> Column:
+    """The entries, as text, of a document's keys that are not in ``done``; nulls are left out."""
+    left = F.transform(F.array_except(F.map_keys(document), done), lambda k: F.struct(k.alias("key"), F.try_variant_get(F.try_element_at(document, k), "$", "string").alias("value")))
+    return F.map_from_entries(F.filter(left, lambda e: e["value"].isNotNull()))
+
+
 def consistent(rows: DataFrame, other_keys: dict[str, list[str]], target: dict[str, str] | None = None) -> DataFrame:
-    """``rows`` without payload and raw_response, with one column per field of ``target``, cast to its type, and ``from_doc`` (payload, reply or null).
+    """``rows`` without payload and raw_response, with one column per field of ``target``, cast to its type, ``from_doc`` (payload, reply or null) and ``other_fields``.
 
-    A field is read under its own key, else under one of ``other_keys``; from the payload if that is readable, else from the reply. Values that cannot be cast are null; a text where a list is due is split at commas. Clashing columns of ``rows`` are replaced.
+    A field is read under its own key, else under one of ``other_keys``; from the payload if that is readable, else from the reply. A text where a list is due is split at commas. Values that went into no column, as theirs is of a field without a column, cannot be cast or stands beside another key of its field, are kept in ``other_fields``, as text by key. Clashing columns of ``rows`` are replaced.
     """
     target = target or TARGET
-    keep = [c for c in rows.columns if c not in target and c not in ("payload", "raw_response", "from_doc")]
+    keep = [c for c in rows.columns if c not in target and c not in ("payload", "raw_response", "from_doc", "other_fields")]
     as_object = lambda c: F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>")
     df = rows.select(*keep, as_object(F.col("payload")).alias("_p"), "raw_response")
     df = df.withColumn("_r", F.when(F.col("_p").isNull(), as_object(reply_object(F.col("raw_response"))))).drop("raw_response")
     df = df.select(*keep, F.coalesce("_p", "_r").alias("_m"), F.when(F.col("_p").isNotNull(), "payload").when(F.col("_r").isNotNull(), "reply").alias("from_doc"))
-    columns = []
-    for field, kind in target.items():
-        value = F.coalesce(*[F.try_element_at("_m", F.lit(k)) for k in [field, *other_keys.get(field, [])]])
-        got = F.try_variant_get(value, "$", kind)
-        if kind == "array<string>":
-            text = F.try_variant_get(value, "$", "string")
-            got = F.coalesce(got, F.when(F.length(text) > 0, F.transform(F.split(text, r"\s*[,;]\s*"), F.trim)))
-        columns.append(got.alias(field))
-    return df.select(*keep, "from_doc", *columns)
+    df = df.select(*keep, "from_doc", "_m", *[_cell("_m", [f, *other_keys.get(f, [])], kind).alias(f"_c_{f}") for f, kind in target.items()])
+    used = F.array_compact(F.array(*[F.col(f"_c_{f}.key") for f in target]))
+    return df.select(*keep, "from_doc", *[F.col(f"_c_{f}.value").alias(f) for f in target], _rest(F.col("_m"), used).alias("other_fields"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.operators import schema_drift, spatial, timestamps
+from ridgeline.session import cut
 from ridgeline.sources.tables import spread, table
 
 NEAR_KM = 4.0
@@ -21,10 +22,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All analyses under one schema, whatever keys and types their files used."""
-    renames = _changes(spark, sf_dir).filter("change_kind = 'renamed'")
+    """All analyses under one schema, whatever keys and types their files used, with every field that any file has."""
     rows = table(spark, sf_dir, "analysis").select("analysis_id", "export_file", "content_hash", "payload", "raw_response")
-    return schema_drift.consistent(rows, schema_drift.aliases(renames))
+    # read by the changes and by the schema
+    prof = cut(schema_drift.profile(schema_drift.documents(spread(rows.select("export_file", "payload", "raw_response")))))
+    renames = schema_drift.changes(rows, table(spark, sf_dir, "store_file"), prof=prof).filter("change_kind = 'renamed'")
+    target, other_keys = schema_drift.schema(prof, renames, rows.columns)
+    return schema_drift.consistent(rows, other_keys, target)
 
 
 def p1_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

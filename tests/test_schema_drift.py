@@ -72,5 +72,17 @@ def test_consistent_table(spark):
     assert out[2].caption == "from the reply" and out[2].from_doc == "reply" and out[3].caption is None
 
 
+def test_every_field_of_the_profiles_is_kept(spark):
+    docs = [{"caption": "c", "people_count": i, "snow_cover_pct": i * 10} for i in range(6)] + [{"caption": "c", "people_count": "two", "snow_pct": 7.5, "tags_seen": ["x"], "odd key": {"a": 1}, "Caption": "C", "analysis_id": 9}]
+    a = spark.createDataFrame([(i, "f", json.dumps(d), None) for i, d in enumerate(docs)], "analysis_id int, export_file string, payload string, raw_response string")
+    renames = spark.createDataFrame([("snow_cover_pct", "snow_pct")], "field_name string, new_value string")
+    target, names = D.schema(D.profile(D.documents(a)), renames, a.columns)
+    assert (target["snow_cover_pct"], target["people_count"], target["tags_seen"], target["latitude"]) == ("double", "bigint", "array<string>", "double") and names == {"snow_cover_pct": ["snow_pct"]}
+    out = {r.analysis_id: r for r in D.consistent(a, names, target).collect()}
+    assert out[2].snow_cover_pct == 20 and out[2].people_count == 2 and out[2].other_fields == {}
+    assert out[6].snow_cover_pct == 7.5 and out[6].tags_seen == ["x"]
+    assert out[6].other_fields == {"people_count": "two", "odd key": '{"a":1}', "Caption": "C", "analysis_id": "9"}
+
+
 def test_empty(spark):
     assert run(spark, {"s-1": [None]}, 1) == set()
