@@ -278,6 +278,8 @@ TARGET = {n: t for names, t in ((_STRINGS, "string"), (_DOUBLES, "double"), (_IN
 
 #: Most columns besides those of TARGET; the values of further fields stand in other_fields.
 MORE_COLUMNS = 400
+#: Columns of the consistent table about its values.
+_ABOUT = ("from_doc", "from_reply", "other_fields")
 
 
 def _links(renames: DataFrame, limit: int) -> dict[str, dict[str, int]]:
@@ -338,7 +340,7 @@ def schema(prof: DataFrame, renames: DataFrame, reserved: list[str], rounds: int
     counts = {r["key"]: r.asDict() for r in sums.filter("filled > 0").orderBy(F.desc("filled"), "key").limit(limit).collect()}
     target = dict(TARGET)
     taken = {*TARGET, *(k for keys in other.values() for k in keys)}
-    names = {n.lower() for n in [*TARGET, *reserved, "from_doc", "other_fields"]}
+    names = {n.lower() for n in [*TARGET, *reserved, *_ABOUT]}
     for key in counts:
         if key in taken or key.lower() in names or not re.fullmatch(r"[A-Za-z][A-Za-z0-9_]*", key) or len(target) >= len(TARGET) + MORE_COLUMNS:
             continue
@@ -361,7 +363,7 @@ def _cast(value: Column, kind: str) -> Column:
     if kind != "array<string>":
         return got
     text = F.when(~F.schema_of_variant(value).startswith("OBJECT"), F.try_variant_get(value, "$", "string"))
-    return F.coalesce(got, F.when(F.length(text) > 0, F.transform(F.split(text, r"\s*[,;]\s*"), F.trim)))
+    return F.coalesce(got, F.when(F.trim(text) == "", F.array().cast(kind)).otherwise(F.transform(F.split(text, r"\s*[,;]\s*"), F.trim)))
 
 
 def _cell(document: str, keys: list[str], kind: str) -> Column:
@@ -377,16 +379,24 @@ def _rest(document: Column, done: Column) -> Column:
 
 
 def consistent(rows: DataFrame, other_keys: dict[str, list[str]], target: dict[str, str] | None = None) -> DataFrame:
-    """``rows`` without payload and raw_response, with one column per field of ``target``, cast to its type, ``from_doc`` (payload, reply or null) and ``other_fields``.
+    """``rows`` without payload and raw_response, with one column per field of ``target``, cast to its type, ``from_doc`` (payload, reply, both, or null if neither is readable), ``from_reply`` and ``other_fields``.
 
-    A field is read under its own key, else under one of ``other_keys``; from the payload if that is readable, else from the reply. A text where a list is due is split at commas. Values that went into no column, as theirs is of a field without a column, cannot be cast or stands beside another key of its field, are kept in ``other_fields``, as text by key. Clashing columns of ``rows`` are replaced.
+    Each field is read from the payload, else from the reply, in either under its own key, else under one of ``other_keys``; ``from_doc`` is both if the payload is readable and the reply gave a value besides. ``from_reply`` lists the fields that the reply gave. A text where a list is due is split at commas, a blank one is an empty list. Values that went into no column, as theirs is of a field without a column, cannot be cast or stands beside another key of its field, are kept in ``other_fields``, as text by key, the payload's before the reply's; the reply's values of a field that is filled are not. Clashing columns of ``rows`` are replaced.
     """
     target = target or TARGET
-    keep = [c for c in rows.columns if c not in target and c not in ("payload", "raw_response", "from_doc", "other_fields")]
+    keep = [c for c in rows.columns if c not in target and c not in ("payload", "raw_response", *_ABOUT)]
     as_object = lambda c: F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>")
-    df = rows.select(*keep, as_object(F.col("payload")).alias("_p"), "raw_response")
-    df = df.withColumn("_r", F.when(F.col("_p").isNull(), as_object(reply_object(F.col("raw_response"))))).drop("raw_response")
-    df = df.select(*keep, F.coalesce("_p", "_r").alias("_m"), F.when(F.col("_p").isNotNull(), "payload").when(F.col("_r").isNotNull(), "reply").alias("from_doc"))
-    df = df.select(*keep, "from_doc", "_m", *[_cell("_m", [f, *other_keys.get(f, [])], kind).alias(f"_c_{f}") for f, kind in target.items()])
-    used = F.array_compact(F.array(*[F.col(f"_c_{f}.key") for f in target]))
-    return df.select(*keep, "from_doc", *[F.col(f"_c_{f}.value").alias(f) for f in target], _rest(F.col("_m"), used).alias("other_fields"))
+    df = rows.select(*keep, as_object(F.col("payload")).alias("_p"), as_object(reply_object(F.col("raw_response"))).alias("_r"))
+    keys = {f: [f, *other_keys.get(f, [])] for f in target}
+    cells = [_cell(d, keys[f], kind).alias(f"{d}_{f}") for d in ("_p", "_r") for f, kind in target.items()]
+    df = df.select(*keep, "_p", "_r", *cells)
+    used = F.array_compact(F.array(*[F.col(f"_p_{f}.key") for f in target]))
+    filled = F.flatten(F.array(*[F.when(F.col(f"_p_{f}").isNotNull() | F.col(f"_r_{f}").isNotNull(), F.array(*[F.lit(k) for k in keys[f]])).otherwise(F.array().cast("array<string>")) for f in target]))
+    by_reply = F.array_compact(F.array(*[F.when(F.col(f"_p_{f}").isNull() & F.col(f"_r_{f}").isNotNull(), F.lit(f)) for f in target]))
+    none = F.create_map().cast("map<string,string>")
+    of_payload, of_reply = F.coalesce(_rest(F.col("_p"), used), none), F.coalesce(_rest(F.col("_r"), filled), none)
+    df = df.select(*keep, "_p", "_r", *[F.coalesce(f"_p_{f}.value", f"_r_{f}.value").alias(f) for f in target], by_reply.alias("from_reply"), of_payload.alias("_op"), of_reply.alias("_or"))
+    other = F.map_concat("_op", F.map_filter("_or", lambda k, v: ~F.map_contains_key("_op", k)))
+    more = (F.size("from_reply") > 0) | (F.size(F.map_filter("_or", lambda k, v: ~F.map_contains_key("_op", k))) > 0)
+    from_doc = F.when(F.col("_p").isNotNull() & more, "both").when(F.col("_p").isNotNull(), "payload").when(F.col("_r").isNotNull(), "reply")
+    return df.select(*keep, from_doc.alias("from_doc"), "from_reply", *target, F.when(F.col("_p").isNotNull() | F.col("_r").isNotNull(), other).alias("other_fields"))

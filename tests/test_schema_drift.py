@@ -84,5 +84,16 @@ def test_every_field_of_the_profiles_is_kept(spark):
     assert out[6].other_fields == {"people_count": "two", "odd key": '{"a":1}', "Caption": "C", "analysis_id": "9"}
 
 
+def test_fields_that_the_payload_lacks_come_from_the_reply(spark):
+    reply = {"caption": "r", "setting": "hut", "people_count": 5, "season": "winter", "odd": 1, "extra": 2}
+    a = spark.createDataFrame([(1, json.dumps({"caption": "p", "scene": None, "people_count": "many", "odd": 3}), json.dumps(reply)), (2, json.dumps({"caption": "p", "keywords": ""}), json.dumps({"caption": "r", "keywords": []})), (3, None, json.dumps(reply))], "analysis_id long, payload string, raw_response string")
+    out = {r.analysis_id: r for r in D.consistent(a, {"scene": ["setting"]}).collect()}
+    assert (out[1].caption, out[1].scene, out[1].people_count, out[1].season) == ("p", "hut", 5, "winter")
+    assert out[1].from_doc == "both" and sorted(out[1].from_reply) == ["people_count", "scene", "season"]
+    assert out[1].other_fields == {"people_count": "many", "odd": "3", "extra": "2"}
+    assert out[2].keywords == [] and out[2].from_doc == "payload" and out[2].from_reply == [] and out[2].other_fields == {}
+    assert out[3].from_doc == "reply" and out[3].scene == "hut" and out[3].other_fields == {"odd": "1", "extra": "2"}
+
+
 def test_empty(spark):
     assert run(spark, {"s-1": [None]}, 1) == set()
