@@ -170,21 +170,20 @@ def page_words(lines: list[str], forms: list[str]) -> Iterator[tuple]:
 # --- vocabulary and candidates ---------------------------------------------
 
 
-def clean_words(texts: DataFrame, text: str) -> DataFrame:
-    """doc words in their order, as one array per text, in lower case without punctuation at their edges."""
+def clean_words(texts: DataFrame, text: str, *keep: str) -> DataFrame:
+    """doc words in their order, as one array per text, in lower case without punctuation at their edges; and the columns ``keep``."""
     tokens = F.split(F.lower(F.regexp_replace(F.col(text), "\\p{Cf}", "")), r"[\s ]+")
     edge = f"^[{''.join(chr(92) + c if c in '[]-^' + chr(92) else c for c in EDGE)}!]+|[{''.join(chr(92) + c if c in '[]-^' + chr(92) else c for c in EDGE)}!]+$"
-    return texts.filter(F.col(text).isNotNull()).select(F.filter(F.transform(tokens, lambda t: F.regexp_replace(t, edge, "")), lambda t: t != "").alias("words"))
+    return texts.filter(F.col(text).isNotNull()).select(F.filter(F.transform(tokens, lambda t: F.regexp_replace(t, edge, "")), lambda t: t != "").alias("words"), *keep)
 
 
 def vocabulary(words: DataFrame, names: DataFrame, share: float = 2e-7, least: int = 3) -> DataFrame:
-    """word, n of the words of clean texts whose count is at least ``least`` and ``share`` of all, and of names (at least once each)."""
+    """word, n of the words of clean texts whose count is at least ``least`` and ``share`` of all, and of all names, which count once more than they stand in the texts."""
     counts = cut(words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
     total = counts.agg(F.sum("n").alias("t")).first()["t"] or 0
-    known = counts.filter(F.col("n") >= max(least, int(share * total)))
-    named = clean_words(names, "name").select(F.explode("words").alias("word")).distinct().withColumn("n", F.lit(1).cast("bigint"))
-    both = known.unionByName(named).groupBy("word").agg(F.sum("n").alias("n"))
-    return cut(both.filter(F.length("word") <= 64))
+    named = clean_words(names, "name").select(F.explode("words").alias("word")).distinct().withColumn("_named", F.lit(1).cast("bigint"))
+    both = counts.join(named, "word", "full").filter((F.col("n") >= max(least, int(share * total))) | F.col("_named").isNotNull())
+    return cut(both.filter(F.length("word") <= 64).select("word", (F.coalesce("n", F.lit(0)) + F.coalesce("_named", F.lit(0))).alias("n")))
 
 
 class Trie:
@@ -366,11 +365,17 @@ def analyse(pages: DataFrame, clean: DataFrame, names: DataFrame, *, frequent: i
     own = broken.filter("own").select(*page, "line_no", "next_line", (F.col("cut") + 1).alias("cut"), F.col("hyphened").alias("word"), "sign", "before", "after")
     spots = whole.unionByName(joined).unionByName(own).filter("length(word) between 2 and 64")
     spots = cut(spots.join(vocab.select("word"), "word", "left_anti"))
-    unknown = spots.groupBy("word").agg(F.count("*").alias("seen"))
-    near = candidates(unknown, vocab, limit=limit).join(unknown, "word")
-    # a word that reads otherwise must be far more frequent than the form on the pages, but for names and odd characters
+    # texts that have it: copies of a page are no further evidence
+    copy = F.xxhash64("text").alias("copy")
+    unknown = cut(spots.select(*page, "word").distinct().join(pages.select(*page, copy), page).groupBy("word").agg(F.count_distinct("copy").alias("seen")))
+    near = cut(candidates(unknown, vocab, limit=limit).join(unknown, "word"))
+    # a word that reads otherwise must be far more frequent, in the clean texts and where it is read right on the pages, than the form on the pages, but for names and odd characters; up to 3 texts are too few to tell
     odd = F.col("word").rlike(r"[0-9!]")
-    near = cut(near.filter(odd | (F.col("n") >= ratio * F.col("seen")) | ((F.col("cost") <= 1) & (F.col("seen") <= F.greatest(F.lit(3), F.col("n"))))))
+    enough = lambda n: odd | (n >= ratio * F.col("seen")) | ((F.col("cost") <= 1) & (F.col("seen") <= F.greatest(F.lit(3), n)))
+    asked_for = near.filter(~enough(F.col("n"))).select("candidate").distinct()
+    read = clean_words(pages.select("text", copy), "text", "copy").select("copy", F.explode(F.array_distinct("words")).alias("candidate"))
+    read = read.join(asked_for, "candidate", "left_semi").groupBy("candidate").agg(F.count_distinct("copy").alias("n_read"))
+    near = cut(near.join(read, "candidate", "left").filter(enough(F.col("n") + F.coalesce("n_read", F.lit(0)))).drop("n_read"))
     # context: how often the candidate follows the word before, and precedes the word after, in the clean texts
     asked = spots.join(near.select("word", "candidate", "cost", "n"), "word").filter("length(word) >= 2")
     several = Window.partitionBy(*page, "line_no", "word", "before", "after")

@@ -37,6 +37,28 @@ def test_cases_and_repair(spark):
     assert out[0].endswith("Three of us carried the ropes along a well-worn track at the foot of Ruskhorn.")
 
 
+def misread_rows(spark, texts):
+    return {r.row_key for r in O.noise(*inputs(spark, texts)).collect() if r.noise_kind == "misread"}
+
+
+def test_misread_names_are_found_however_many_there_are(spark):
+    right = [f"Early in the morning, the guide checked every knot near Ruskhorn.\nThe snow was soft near the old hut {k}." for k in range(5, 10)]
+    wrong = [t.replace("Ruskhorn", "Ruskborn") for t in right]
+    assert misread_rows(spark, wrong[:2]) == {0, 1}
+    # with the name read right elsewhere on the pages
+    assert misread_rows(spark, wrong + right) == set(range(5))
+    # copies of one page count once
+    assert misread_rows(spark, wrong[:1] * 6) == set(range(6))
+    # a form of many texts of which no page has the name is a word of its own
+    assert misread_rows(spark, wrong) == set()
+
+
+def test_names_count_as_often_as_they_stand_in_the_clean_texts(spark):
+    words = spark.createDataFrame([(["alpha"] * 2 + ["beta"] * 2 + ["gamma"] * 5,)], "words array<string>")
+    names = spark.createDataFrame([("Alpha",), ("Delta",), ("Gamma",)], "name string")
+    assert {r.word: r.n for r in O.vocabulary(words, names).collect()} == {"alpha": 3, "gamma": 6, "delta": 1}
+
+
 def test_empty(spark):
     args = inputs(spark, [None])
     assert O.noise(*args).count() == 0 and O.repaired(*args).count() == 0
