@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import merge
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,24 +61,44 @@ def near_pairs(items: DataFrame, *, item: str, phash: str, ts: str, bits: int =
     return pairs.select(F.least("a", "b").alias("item_a"), F.greatest("a", "b").alias("item_b"), "bits")
 
 
+def near_pieces(rows: DataFrame, window: int) -> DataFrame:
+    """``rows`` (band, t) with ``piece``: runs of a band's rows that can share no group, being more than ``window`` apart in time. A band with a row of unknown time, which passes with any, is one piece, null."""
+    rows = rows.withColumn("_s", F.expr(f"t div {window}L"))
+    w = Window.partitionBy("band").orderBy("_s")
+    # two spans with an empty one between them are more than the window apart
+    spans = rows.filter("t is not null").select("band", "_s").distinct().withColumn("_from", F.when(F.coalesce(F.col("_s") - F.lag("_s").over(w) >= 2, F.lit(True)), F.col("_s")))
+    spans = spans.select("band", "_s", F.max("_from").over(w).alias("piece"))
+    untimed = rows.filter("t is null").select("band").distinct().withColumn("_u", F.lit(True))
+    rows = rows.join(spans, ["band", "_s"], "left").join(untimed, "band", "left")
+    return rows.withColumn("piece", F.when(F.col("_u").isNull(), F.col("piece"))).drop("_s", "_u")
+
+
 def near_groups(items: DataFrame, *, item: str, phash: str, ts: str, bits: int = fixed.NEAR_BITS, hours: float = fixed.NEAR_WINDOW_HOURS) -> DataFrame:
-    """item, seed: greedy complete linkage within a band, in order of ``item``: a member is within the limits of every member before it. Bands are bounded by the hash's spread; a band's rows are folded one at a time against the groups so far."""
+    """item, seed: greedy complete linkage within a band, in order of ``item``: a member is within the limits of every member before it.
+
+    A band is split where no two rows are near in time; a piece's rows are folded one at a time, against the groups whose seed is near in time. The order decides, so a piece is one task: one hash at every time of a library, or rows of unknown time, make it large.
+    """
+    window = max(1, int(hours * 3.6e9))
     rows = items.select(F.col(item).alias("item"), F.col(phash).alias("h"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).filter(F.col("h").isNotNull() & usable_hash(F.col("h"))).withColumn("band", F.shiftrightunsigned("h", 48))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("item")
         groups: list[list[tuple]] = []
+        by_span: dict[int | None, list[int]] = {}
         for r in rows.itertuples(index=False):
-            for g in groups:
+            span = None if pd.isna(r.t) else int(r.t // window)
+            near = range(len(groups)) if span is None else merge(*[by_span.get(x, ()) for x in (None, span - 1, span, span + 1)])
+            for g in (groups[i] for i in near):
                 if all(bin((r.h ^ h) & (2**64 - 1)).count("1") <= bits and (pd.isna(r.t) or pd.isna(t) or abs(r.t - t) <= hours * 3.6e9) for _, h, t in g):
                     g.append((r.item, r.h, r.t))
                     break
             else:
+                by_span.setdefault(span, []).append(len(groups))
                 groups.append([(r.item, r.h, r.t)])
         return pd.DataFrame([(m[0], g[0][0]) for g in groups if len(g) > 1 for m in g], columns=["item", "seed"])
 
     kind = dict(rows.dtypes)["item"]
-    return rows.groupBy("band").applyInPandas(fold, f"item {kind}, seed {kind}")
+    return near_pieces(rows, window).groupBy("band", "piece").applyInPandas(fold, f"item {kind}, seed {kind}")
 
 
 def photographic_order() -> list[Column]:

@@ -87,6 +87,28 @@ def test_near_groups_are_complete(spark):
     assert (1, 2) in pairs and (1, 4) not in pairs and (4, 7) in pairs and not any(5 in p or 6 in p for p in pairs)
 
 
+def test_near_groups_split_a_band_in_time(spark):
+    import random
+
+    rng = random.Random(5)
+    base = 0x00FF_00FF_00FF_00FF
+    times = [T0 + timedelta(hours=rng.choice([0, 200, 400, -60000 * 24]) + rng.uniform(0, 70)) for _ in range(300)]
+    for untimed in (0, 20):
+        rows = [(i, base ^ rng.choice([0, 1, 3, 7, 0b11110000, 0b111111]), None if i < untimed else t) for i, t in enumerate(times)]
+        df = spark.createDataFrame(rows, "item long, h long, ts timestamp_ntz")
+        groups = []
+        for i, h, t in rows:
+            fits = (g for g in groups if all((h ^ b).bit_count() <= 4 and (t is None or u is None or abs(t - u) <= timedelta(hours=24)) for _, b, u in g))
+            g = next(fits, None)
+            if g is None:
+                groups.append(g := [])
+            g.append((i, h, t))
+        got = {(r.item, r.seed) for r in duplicates.near_groups(df, item="item", phash="h", ts="ts").collect()}
+        assert got == {(m[0], g[0][0]) for g in groups if len(g) > 1 for m in g}
+        pieces = duplicates.near_pieces(df.selectExpr("1 AS band", "unix_micros(CAST(ts AS timestamp)) AS t"), 24 * 3_600_000_000)
+        assert pieces.count() == 300 and pieces.select("piece").distinct().count() == (1 if untimed else 4)
+
+
 def test_text_functions(spark):
     names = {"Aiguille Dibona": True, "Salbitschijen": True, "Aiguille": False, "Le Toit": False, "Am Berg": False, "Hochschneid - La Cresta": True, "Sé Pé": False, "": False}
     df = spark.createDataFrame([(k,) for k in names], "n string")
