@@ -40,3 +40,11 @@ def test_only_loops_and_empty(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "a")], "a string, b string")
     assert [(r.vertex, r.label) for r in C.components(df, "a", "b").collect()] == [("a", "a")]
     assert C.components(df.limit(0), "a", "b").count() == 0
+
+
+def test_chain_in_order_of_names_over_many_parts(spark):
+    edges = spark.createDataFrame([(f"{i:04d}", f"{i + 1:04d}") for i in range(300)], "a string, b string")
+    got = C.propagate(edges, part_edges=10, rounds=20).collect()
+    assert len(got) == 301 and len({r.root for r in got}) == 1
+    with pytest.raises(RuntimeError):
+        C.propagate(edges, part_edges=10, rounds=1)
