@@ -21,6 +21,7 @@ between types keeps the type before; repeated rows count as often as they stand.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -294,9 +295,9 @@ def _links(renames: DataFrame, limit: int) -> dict[str, dict[str, int]]:
     return links
 
 
-def _follow(links: dict[str, dict[str, int]], names: dict[str, str], rounds: int) -> dict[str, list[str]]:
+def _follow(links: dict[str, dict[str, int]], names: dict[str, str], rounds: int | None) -> dict[str, list[str]]:
     known = {n: n for n in names}
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         votes: dict[str, dict[str, int]] = {}
         for key, to in links.items():
             if key in known:
@@ -315,8 +316,8 @@ def _follow(links: dict[str, dict[str, int]], names: dict[str, str], rounds: int
     return out
 
 
-def aliases(renames: DataFrame, target: dict[str, str] | None = None, rounds: int = 4, limit: int = 20_000) -> dict[str, list[str]]:
-    """Other keys under which each field of ``target`` was found, by following renames either way; a key that leads to several fields goes to the one it leads to most often. One row per pair of keys is read by the driver: there are no more than pairs of field names, and more than ``limit`` is an error."""
+def aliases(renames: DataFrame, target: dict[str, str] | None = None, rounds: int | None = None, limit: int = 20_000) -> dict[str, list[str]]:
+    """Other keys under which each field of ``target`` was found, by following renames either way, through ``rounds`` renames or to the end; a key that leads to several fields goes to the one it leads to most often. One row per pair of keys is read by the driver: there are no more than pairs of field names, and more than ``limit`` is an error."""
     return _follow(_links(renames, limit), target or TARGET, rounds)
 
 
@@ -329,7 +330,7 @@ def _kind(n: dict[str, int], default: str) -> str:
     return max(votes, key=lambda t: votes[t]) if max(votes.values()) >= n["object"] else "string"
 
 
-def schema(prof: DataFrame, renames: DataFrame, reserved: list[str], rounds: int = 4, limit: int = 20_000) -> tuple[dict[str, str], dict[str, list[str]]]:
+def schema(prof: DataFrame, renames: DataFrame, reserved: list[str], rounds: int | None = None, limit: int = 20_000) -> tuple[dict[str, str], dict[str, list[str]]]:
     """The consistent schema and the other keys of its fields: those of TARGET and every other field with a value that the profile has, each with the type of most of its values under all its keys.
 
     Renamed keys are one field, named as TARGET does, else by its most frequent key. No column have keys that are no plain names or equal but for case a column or a name in ``reserved``, and fields beyond the ``MORE_COLUMNS`` most frequent; ``consistent`` keeps their values in other_fields. At most the ``limit`` most frequent keys are read by the driver.

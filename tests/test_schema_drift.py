@@ -95,5 +95,11 @@ def test_fields_that_the_payload_lacks_come_from_the_reply(spark):
     assert out[3].from_doc == "reply" and out[3].scene == "hut" and out[3].other_fields == {"odd": "1", "extra": "2"}
 
 
+def test_long_chains_of_renames_are_followed(spark):
+    chain = ["caption", *(f"caption_{i}" for i in range(1, 8))]
+    renames = spark.createDataFrame(list(zip(chain, chain[1:])), "field_name string, new_value string")
+    assert D.aliases(renames) == {"caption": chain[1:]}
+
+
 def test_empty(spark):
     assert run(spark, {"s-1": [None]}, 1) == set()
