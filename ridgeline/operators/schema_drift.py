@@ -4,11 +4,11 @@ JSON documents are read as variants and profiled per file and field (types,
 nulls, place in the document, a min-hash of the values) by one aggregation with
 map-side combining. Additions, removals and type changes follow from equi joins
 of a file's fields with those of the previous file of its store. Where a file
-both loses and gains fields, similarity flooding decides which of them are one
+both loses and gains fields, similarity flooding ranks which of them may be one
 field under a new key: names, types, contents and nesting give the first
 scores of field pairs, scores flow along the edges that both schemas share
-(next sibling, type, parent and child) until they converge, and a consistent
-set of mutually best pairs is kept.
+(next sibling, type, parent and child) until they converge, and a greedy pass in
+the order of the scores keeps the pairs that a fixed formula accepts.
 
 Windows run over buckets of ``BUCKET`` file numbers and are stitched through
 one row per bucket, so that a store with a third of all files is no hot task.
@@ -130,7 +130,7 @@ def content_similarity(a: dict, b: dict) -> float:
 def flood(old: list[dict], new: list[dict], threshold: float = 0.5, rounds: int = 200, tol: float = 1e-6) -> list[tuple[str, str, float]]:
     """Fields of ``old`` that go on under another key in ``new``: (old key, new key, score).
 
-    The nodes of the pairwise graph are the fields that both have under one key, the pairs of a lost and a gained field, and the pairs of their types. Edges of one label (sibling before or after, nearest kept sibling, type, children) carry scores both ways, divided among the edges of that label; each round adds what flows in to the first scores and divides by the largest. A pair is kept if each is the other's best, its score relative to the best score possible at its place is at least ``threshold`` and its contents do not contradict.
+    The nodes of the pairwise graph are the fields that both have under one key, the pairs of a lost and a gained field, and the pairs of their types. Edges of one label (sibling before or after, nearest kept sibling, type, children) carry scores both ways, divided among the edges of that label; each round adds what flows in to the first scores and divides by the largest. The scores only order the pairs: in that order, a pair of which neither key is taken is kept if a fixed formula of its names, contents and kept neighbours gives at least ``threshold``, which is the score returned, and its contents do not contradict.
     """
     old, new = sorted(old, key=lambda f: (f["pos"], f["key"])), sorted(new, key=lambda f: (f["pos"], f["key"]))
     at_old, at_new = {f["key"]: i for i, f in enumerate(old)}, {f["key"]: j for j, f in enumerate(new)}
