@@ -1,14 +1,15 @@
 """Schemas that drift between files: a list of every change, one consistent table.
 
-JSON documents are read as variants and profiled per file and field (types,
-nulls, place in the document, a min-hash of the values) by one aggregation with
-map-side combining. Additions, removals and type changes follow from equi joins
-of a file's fields with those of the previous file of its store. Where a file
-both loses and gains fields, similarity flooding ranks which of them may be one
-field under a new key: names, types, contents and nesting give the first
-scores of field pairs, scores flow along the edges that both schemas share
-(next sibling, type, parent and child) until they converge, and a greedy pass in
-the order of the scores keeps the pairs that a fixed formula accepts.
+JSON documents are read as variants, once, and counted per file and field (keys,
+types, nulls) by one aggregation with map-side combining; a second one makes a
+row per file, whose fields are compared as arrays with those of the store's file
+before. Where a file both loses and gains fields, its documents and those of the
+file before are read again for what tells contents apart (place, length,
+children, a min-hash of the values), and similarity flooding decides which of
+the fields are one field under a new key: names, types, contents and nesting
+give the first scores of field pairs, scores flow along the edges that both
+schemas share (kept sibling before and after, next sibling, type, children)
+until they converge, and the converged scores alone choose the pairs.
 
 Windows run over buckets of ``BUCKET`` file numbers and are stitched through
 one row per bucket, so that a store with a third of all files is no hot task.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -45,11 +47,14 @@ def strip_fence(text: Column) -> Column:
 
 def reply_object(raw: Column) -> Column:
     """JSON text of the analysis object inside a reply: a batch line, a bare response or the object itself. Null if the reply is null, unreadable or holds no candidate."""
-    whole = F.try_parse_json(raw)
-    text = lambda path: F.try_variant_get(whole, path, "string")
-    wrapped = F.coalesce(text("$.response.candidates[0].content.parts[0].text"), text("$.candidates[0].content.parts[0].text"))
-    is_wrapped = F.coalesce(text("$.response"), text("$.candidates")).isNotNull()
-    return F.when(wrapped.isNotNull(), strip_fence(wrapped)).when(~is_wrapped & whole.isNotNull(), raw)
+    def inside(whole: Column) -> Column:
+        text = lambda path: F.try_variant_get(whole, path, "string")
+        wrapped = F.coalesce(text("$.response.candidates[0].content.parts[0].text"), text("$.candidates[0].content.parts[0].text"))
+        is_wrapped = F.coalesce(text("$.response"), text("$.candidates")).isNotNull()
+        return F.when(wrapped.isNotNull(), strip_fence(wrapped)).when(~is_wrapped & whole.isNotNull(), raw)
+
+    # bound to a variable, so that the reply is parsed once
+    return F.transform(F.array(F.try_parse_json(raw)), inside).getItem(0)
 
 
 def documents(rows: DataFrame) -> DataFrame:
@@ -63,20 +68,32 @@ def _type_of(value: Column) -> Column:
     return F.when(kind == "STRING", "string").when(kind == "BIGINT", "integer").when(kind == "BOOLEAN", "boolean").when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").when(kind == "VOID", None).when(kind.isNotNull(), "number")
 
 
+def _as_object(json: Column) -> Column:
+    return F.try_variant_get(F.try_parse_json(json), "$", "map<string,variant>")
+
+
 def profile(docs: DataFrame) -> DataFrame:
-    """One row per export_file, doc_kind and field: n, its counts per type, mean place, mean length, nulls, child keys of objects and min-hashes of its values. The field '' counts the readable documents."""
-    d = docs.select("export_file", "doc_kind", "json", F.try_variant_get(F.try_parse_json("json"), "$", "map<string,variant>").alias("m")).filter(F.col("m").isNotNull())
-    d = d.select("export_file", "doc_kind", "m", F.posexplode(F.concat(F.array(F.lit("")), F.coalesce(F.json_object_keys("json"), F.array().cast("array<string>")))).alias("pos", "key"))
-    d = d.withColumn("v", F.when(F.col("key") != "", F.try_element_at("m", F.col("key")))).drop("m")
-    d = d.select("*", _type_of(F.col("v")).alias("type"), F.lower(F.try_variant_get("v", "$", "string")).alias("text"))
+    """One row per export_file, doc_kind and field: n, filled (not null) and its counts per type. The field '' counts the readable documents."""
+    entry = lambda e: F.struct(e["key"].alias("key"), _type_of(e["value"]).alias("type"))
+    whole = F.array(F.struct(F.lit("").alias("key"), F.lit(None).cast("string").alias("type")))
+    # an unreadable document is null and so has no entries: no filter, which would be pushed below and parse twice
+    d = docs.select("export_file", "doc_kind", _as_object(F.col("json")).alias("m"))
+    d = d.select("export_file", "doc_kind", F.explode(F.concat(whole, F.transform(F.map_entries("m"), entry))).alias("e")).select("export_file", "doc_kind", "e.*")
+    return d.groupBy("export_file", "doc_kind", "key").agg(F.count("*").alias("n"), F.count("type").alias("filled"), *[F.count_if(F.col("type") == t).alias(f"n_{t}") for t in TYPES])
+
+
+def contents(docs: DataFrame) -> DataFrame:
+    """One row per export_file, doc_kind and field: mean place in the document, mean length of the values as text, a hash of the child keys of objects and min-hashes of the values (h0, h1 and so on)."""
+    # an expression inside a lambda would be evaluated per key: values and places are listed apart, each by one pass
+    value = lambda e: F.struct(e["key"].alias("key"), F.lit(None).cast("int").alias("pos"), _type_of(e["value"]).alias("type"), F.lower(F.try_variant_get(e["value"], "$", "string")).alias("text"))
+    at = lambda k, i: F.struct(k.alias("key"), i.alias("pos"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("text"))
+    d = docs.select("export_file", "doc_kind", F.explode(F.concat(F.transform(F.map_entries(_as_object(F.col("json"))), value), F.transform(F.json_object_keys("json"), at))).alias("e")).select("export_file", "doc_kind", "e.*")
+    nested = F.when(F.col("type") == "object", F.xxhash64(F.array_join(F.sort_array(F.json_object_keys(F.col("text"))), ",")))
     return d.groupBy("export_file", "doc_kind", "key").agg(
-        F.count("*").alias("n"),
-        F.count("type").alias("filled"),
-        *[F.count_if(F.col("type") == t).alias(f"n_{t}") for t in TYPES],
         F.avg("pos").alias("pos"),
         F.avg(F.length("text")).alias("len"),
-        F.max(F.when(F.col("type") == "object", F.array_join(F.sort_array(F.json_object_keys(F.col("text"))), ","))).alias("children"),
-        F.array(*[F.min(F.when(F.col("type").isNotNull(), F.xxhash64(F.lit(i), "text"))) for i in range(HASHES)]).alias("hashes"),
+        F.max(nested).alias("children"),
+        *[F.min(F.when(F.col("type").isNotNull(), F.xxhash64(F.lit(i), "text"))).alias(f"h{i}") for i in range(HASHES)],
     )
 
 
@@ -87,14 +104,22 @@ def _majority() -> Column:
     return F.when((first["n"] > 0) & (first["n"] > second["n"]), first["t"])
 
 
-def _previous(files: DataFrame) -> DataFrame:
-    """Adds prev_seq, the number of the store's file before, by windows over buckets."""
+def file_schemas(prof: DataFrame, files: DataFrame) -> DataFrame:
+    """export_file, store_id, doc_kind, file_seq, fields: the fields (key, type, n, filled) of each file that has readable documents, in the order of their keys. A file has a field if more than half of these carry it."""
+    entry = F.when(F.col("key") != "", F.struct("key", _majority().alias("type"), "n", "filled"))
+    rows = prof.groupBy("export_file", "doc_kind").agg(F.max(F.when(F.col("key") == "", F.col("n"))).alias("docs"), F.array_sort(F.collect_list(entry)).alias("all"))
+    rows = rows.select("export_file", "doc_kind", F.filter("all", lambda f: f["n"] * 2 > F.col("docs")).alias("fields"))
+    return rows.join(files, "export_file").select("export_file", "store_id", "doc_kind", "file_seq", "fields")
+
+
+def with_previous(schemas: DataFrame) -> DataFrame:
+    """Adds before (export_file, fields) of the store's file before, by windows over buckets."""
     keys = ["store_id", "doc_kind"]
-    files = files.withColumn("_b", F.floor(F.col("file_seq") / BUCKET))
-    inside = files.withColumn("_p", F.lag("file_seq").over(Window.partitionBy(*keys, "_b").orderBy("file_seq")))
-    ends = files.groupBy(*keys, "_b").agg(F.max("file_seq").alias("_e"))
-    ends = ends.withColumn("_e", F.lag("_e").over(Window.partitionBy(*keys).orderBy("_b")))
-    return inside.join(ends, [*keys, "_b"]).withColumn("prev_seq", F.coalesce("_p", "_e")).drop("_b", "_p", "_e")
+    own = F.struct("export_file", "fields")
+    w = Window.partitionBy(*keys, "_b").orderBy("file_seq", "export_file")
+    rows = schemas.withColumn("_b", F.floor(F.col("file_seq") / BUCKET)).select("*", F.lag(own).over(w).alias("_p"), F.lead("export_file").over(w).isNull().alias("_last"))
+    ends = rows.filter("_last").select(*keys, "_b", F.lag(own).over(Window.partitionBy(*keys).orderBy("_b")).alias("_e"))
+    return rows.join(ends, [*keys, "_b"]).withColumn("before", F.coalesce("_p", "_e")).drop("_b", "_p", "_e", "_last")
 
 
 # --- similarity flooding --------------------------------------------------
@@ -127,143 +152,151 @@ def content_similarity(a: dict, b: dict) -> float:
     return 0.5 * kind + 0.2 * min(1.0, 2 * values) + 0.15 * nulls + 0.15 * length
 
 
-def flood(old: list[dict], new: list[dict], threshold: float = 0.5, rounds: int = 200, tol: float = 1e-6) -> list[tuple[str, str, float]]:
-    """Fields of ``old`` that go on under another key in ``new``: (old key, new key, score).
+#: How much of a node's score flows along its edges of each label, in all.
+FLOW = {"before": 0.25, "after": 0.25, "next": 0.05, "type": 0.02, "child": 0.25}
+
+
+def _kept_siblings(fields: list[dict], others: dict, end: str) -> dict[str, str]:
+    """The nearest sibling before each field that both schemas have; ``end`` if there is none."""
+    out, last = {}, end
+    for f in fields:
+        out[f["key"]] = last
+        if f["key"] in others:
+            last = f["key"]
+    return out
+
+
+def flood(old: list[dict], new: list[dict], threshold: float = 0.65, rounds: int = 200, tol: float = 1e-6) -> list[tuple[str, str, float]]:
+    """Fields of ``old`` that go on under another key in ``new``: (old key, new key, relative score).
 
-    The nodes of the pairwise graph are the fields that both have under one key, the pairs of a lost and a gained field, and the pairs of their types. Edges of one label (sibling before or after, nearest kept sibling, type, children) carry scores both ways, divided among the edges of that label; each round adds what flows in to the first scores and divides by the largest. The scores only order the pairs: in that order, a pair of which neither key is taken is kept if a fixed formula of its names, contents and kept neighbours gives at least ``threshold``, which is the score returned, and its contents do not contradict.
+    The nodes of the pairwise graph are the fields that both have under one key, the pairs of a lost and a gained field, the pairs of their types and the ends of the document. An edge of a label (kept sibling before or after, next sibling, type, children) carries a part of a node's score both ways, divided among its edges of that label; each round adds what flows in to the first scores and divides by the largest, until nothing changes. Pairs of which each is the other's best by the converged score are taken, then those of the fields that are left. A pair is a rename if its score reaches ``threshold`` of the score that a pair of one name and one content beside the same kept siblings converges to.
+
+    Scores are kept per node and edge, not per pair of nodes: memory grows with lost times gained fields.
     """
-    old, new = sorted(old, key=lambda f: (f["pos"], f["key"])), sorted(new, key=lambda f: (f["pos"], f["key"]))
-    at_old, at_new = {f["key"]: i for i, f in enumerate(old)}, {f["key"]: j for j, f in enumerate(new)}
-    lost, gained = [k for k in at_old if k not in at_new], [k for k in at_new if k not in at_old]
+    old, new = (sorted(side, key=lambda f: (f["pos"], f["key"])) for side in (old, new))
+    in_old, in_new = {f["key"]: i for i, f in enumerate(old)}, {f["key"]: j for j, f in enumerate(new)}
+    lost, gained = [k for k in in_old if k not in in_new], [k for k in in_new if k not in in_old]
     if not lost or not gained:
         return []
-    nodes: dict[tuple, float] = {}
-    for k in at_old.keys() & at_new.keys():
-        nodes[("f", at_old[k], at_new[k])] = 1.0
-    first = {}
+    kept = [k for k in in_old if k in in_new]
+    nodes: dict[tuple, float] = {("^",): 1.0, ("$",): 1.0, ("child",): 1.0} | {(k, k): 1.0 for k in kept}
     for a in lost:
         for b in gained:
-            x, y = old[at_old[a]], new[at_new[b]]
-            first[a, b] = (name_similarity(a, b), content_similarity(x, y))
-            nodes[("f", at_old[a], at_new[b])] = 0.5 * first[a, b][0] + 0.5 * first[a, b][1]
-    for x in {f["type"] for f in old}:
-        for y in {f["type"] for f in new}:
-            nodes[("t", x, y)] = 1.0 if x == y else 0.1
-    nodes[("root",)] = 1.0
-
-    def kept_side(fields: list[dict], others: dict, step: int) -> list[str]:
-        out, last = [], "^"
-        for f in fields[::step]:
-            out.append(last)
-            if f["key"] in others:
-                last = f["key"]
-        return out[::step]
-
-    before_o, before_n = kept_side(old, at_new, 1), kept_side(new, at_old, 1)
-    after_o, after_n = kept_side(old, at_new, -1), kept_side(new, at_old, -1)
-    edges: dict[str, list[tuple[tuple, tuple]]] = {"next": [], "kept_before": [], "kept_after": [], "type": [], "child": []}
-    for node in list(nodes):
-        if node[0] != "f":
-            continue
-        _, i, j = node
-        edges["type"].append((node, ("t", old[i]["type"], new[j]["type"])))
-        if (after := ("f", i + 1, j + 1)) in nodes:
-            edges["next"].append((node, after))
-        if old[i]["key"] != new[j]["key"]:
-            for label, o, n in (("kept_before", before_o, before_n), ("kept_after", after_o, after_n)):
-                if o[i] == n[j]:
-                    edges[label].append((("f", at_old[o[i]], at_new[o[i]]) if o[i] != "^" else ("root",), node))
-            if old[i]["children"] and old[i]["children"] == new[j]["children"]:
-                edges["child"].append((("root",), node))
+            content = content_similarity(old[in_old[a]], new[in_new[b]])
+            # contents that contradict count for a quarter
+            nodes[a, b] = (name_similarity(a, b) + content) / 2 * (1.0 if content >= 0.4 else 0.25)
+    nodes |= {("type", x, y): 1.0 if x == y else 0.1 for x in {f["type"] for f in old} for y in {f["type"] for f in new}}
+    sides = {"before": (_kept_siblings(old, in_new, "^"), _kept_siblings(new, in_old, "^")), "after": (_kept_siblings(old[::-1], in_new, "$"), _kept_siblings(new[::-1], in_old, "$"))}
+    place = lambda k: (k,) if k in ("^", "$") else (k, k)
+    edges: list[tuple[str, tuple, tuple]] = []
+    for a, b in [(a, b) for a in lost for b in gained] + [(k, k) for k in kept]:
+        x, y = old[in_old[a]], new[in_new[b]]
+        edges.append(("type", ("type", x["type"], y["type"]), (a, b)))
+        if in_old[a] + 1 < len(old) and in_new[b] + 1 < len(new) and (after := (old[in_old[a] + 1]["key"], new[in_new[b] + 1]["key"])) in nodes:
+            edges.append(("next", (a, b), after))
+        if a != b:
+            edges += [(label, place(o[a]), (a, b)) for label, (o, n) in sides.items() if o[a] == n[b]]
+            if x["children"] and x["children"] == y["children"]:
+                edges.append(("child", ("child",), (a, b)))
     index = {n: i for i, n in enumerate(nodes)}
-    start = np.array([nodes[n] for n in nodes])
-    flow = np.zeros((len(index), len(index)))
-    for pairs in edges.values():
-        for a, b in pairs:
-            if a in index and b in index:
-                flow[index[b], index[a]] += 1 / sum(1 for p in pairs if p[0] == a)
-                flow[index[a], index[b]] += 1 / sum(1 for p in pairs if p[1] == b)
-    score = start.copy()
+    forth, back = Counter((label, s) for label, s, _ in edges), Counter((label, t) for label, _, t in edges)
+    source, target = np.array([index[s] for _, s, _ in edges]), np.array([index[t] for _, _, t in edges])
+    weight = np.array([FLOW[x] / forth[x, s] for x, s, _ in edges] + [FLOW[x] / back[x, t] for x, _, t in edges])
+    source, target = np.r_[source, target], np.r_[target, source]
+    first = np.array(list(nodes.values()))
+    score, top = first.copy(), 2.0
     for _ in range(rounds):
-        mixed = start + score
-        after = mixed + flow @ mixed
-        after /= after.max()
-        if np.abs(after - score).max() < tol:
-            score = after
-            break
+        mixed = first + score
+        after = mixed + np.bincount(target, weight * mixed[source], len(first))
+        top = after.max()
+        after /= top
+        settled = np.abs(after - score).max() < tol
         score = after
-    value = {(a, b): score[index["f", at_old[a], at_new[b]]] for a, b in first}
-    # what the place of a pair can give at most: a pair of one name and content that meets both kept siblings
-    best = {}
-    for a, b in first:
-        i, j = at_old[a], at_new[b]
-        place = (before_o[i] == before_n[j]) + (after_o[i] == after_n[j])
-        best[a, b] = 0.4 * place / 2 + 0.3 * first[a, b][0] + 0.3 * first[a, b][1]
-    out, used = [], set()
-    for a, b in sorted(value, key=lambda p: (-value[p], p)):
-        if a in used or b in used:
-            continue
-        if best[a, b] >= threshold and first[a, b][1] >= 0.4:
-            out.append((a, b, float(best[a, b])))
-            used |= {a, b}
+        if settled:
+            break
+    mixed = first + score
+    value = {(a, b): score[index[a, b]] for a in lost for b in gained}
+
+    def relative(a: str, b: str) -> float:
+        fed = 0.0
+        for label, (o, n) in sides.items():
+            fed += max(FLOW[label] * mixed[index[place(k)]] / max(1, forth[label, place(k)]) for k in (o[a], n[b]))
+        return float(value[a, b] * (top - 1) / (1 + fed))  # of x = (1 + x + fed) / top
+
+    out = []
+    while lost and gained:
+        best_of_new = {b: min(lost, key=lambda a: (-value[a, b], a)) for b in gained}  # noqa: B023
+        mutual = [(a, b) for a in lost if best_of_new[b := min(gained, key=lambda b: (-value[a, b], b))] == a]  # noqa: B023
+        if not mutual:
+            break
+        out += [(a, b, r) for a, b in mutual if (r := relative(a, b)) >= threshold]
+        lost, gained = [a for a in lost if a not in {m for m, _ in mutual}], [b for b in gained if b not in {m for _, m in mutual}]
     return out
 
 
 # --- changes --------------------------------------------------------------
 
 
-def changes(rows: DataFrame, files: DataFrame, threshold: float = 0.5, prof: DataFrame | None = None) -> DataFrame:
+def _described(fields: list[dict], told: list[dict]) -> list[dict]:
+    """The fields with what their contents told."""
+    of = {c["key"]: c for c in told}
+    return [{"key": f["key"], "type": f["type"] or "null", "n": f["n"], "filled": f["filled"]} | {c: of[f["key"]][c] for c in ("pos", "len", "children", "hashes")} for f in fields if f["key"] in of]
+
+
+def changes(rows: DataFrame, files: DataFrame, threshold: float = 0.65, prof: DataFrame | None = None) -> DataFrame:
     """export_file, store_id, file_seq, doc_kind, change_kind, field_name, new_value of every change against the store's file before.
 
     ``rows`` has export_file, payload and raw_response; ``files`` has export_file (unique), store_id and file_seq; ``prof`` is the profile of the rows' documents if there is one already.
     """
+    rows = rows.select("export_file", "payload", "raw_response")
     if prof is None:
-        prof = profile(documents(rows.select("export_file", "payload", "raw_response")))
+        prof = profile(documents(rows))
     files = files.select("export_file", "store_id", "file_seq").dropDuplicates(["export_file"])
-    key = ["store_id", "doc_kind", "file_seq"]
-    # the profile is a fraction of the rows and read several times: its lineage is cut, so that plans stay small
-    prof = cut(prof.join(files, "export_file"))
-    seen = cut(_previous(prof.filter("key = ''").select("export_file", *key, F.col("n").alias("docs"))))
-    fields = prof.filter("key <> ''").join(seen.select(*key, "docs", "prev_seq"), key).filter(F.col("n") * 2 > F.col("docs")).withColumn("type", _majority())
-    fields = cut(fields)
-    slim = fields.select("export_file", *key, "key", "type", "prev_seq")
-    before = slim.select("store_id", "doc_kind", "key", F.col("file_seq").alias("prev_seq"), F.lit(True).alias("_there"))
-    slim = cut(slim.join(before, ["store_id", "doc_kind", "key", "prev_seq"], "left").withColumn("added", F.col("_there").isNull()).drop("_there"))
-    following = seen.filter("prev_seq is not null").select("export_file", "store_id", "doc_kind", F.col("file_seq").alias("next_seq"), F.col("prev_seq").alias("file_seq"))
-    removed = slim.select(*key, "key").join(following, key).join(slim.select("store_id", "doc_kind", "key", F.col("file_seq").alias("next_seq")), ["store_id", "doc_kind", "key", "next_seq"], "left_anti")
-    removed = cut(removed.select("export_file", "store_id", "doc_kind", F.col("next_seq").alias("file_seq"), "key"))
-    added = slim.filter("added and prev_seq is not null").select("export_file", *key, "key")
+    where = ["export_file", "store_id", "file_seq", "doc_kind"]
+    keys = lambda fields: F.transform(fields, lambda f: f["key"])
+    seen = with_previous(file_schemas(prof, files))
+    # one row per file, a fraction of the rows and read several times: its lineage is cut
+    seen = cut(seen.withColumn("gained", F.array_except(keys(F.col("fields")), keys(F.col("before.fields")))).withColumn("lost", F.array_except(keys(F.col("before.fields")), keys(F.col("fields")))))
 
     # the last earlier type since the field was there: inside a bucket, else from the buckets before
     run = ["store_id", "doc_kind", "key"]
-    typed = slim.withColumn("_b", F.floor(F.col("file_seq") / BUCKET))
+    typed = seen.select(*where, F.explode("fields").alias("f"), "gained").select(*where, "f.key", "f.type", F.coalesce(F.array_contains("gained", F.col("f.key")), F.lit(True)).alias("added"))
+    typed = typed.withColumn("_b", F.floor(F.col("file_seq") / BUCKET))
     own = F.when(F.col("type").isNotNull(), F.struct("file_seq", "type"))
     start = F.when(F.col("added"), F.col("file_seq"))
-    w = Window.partitionBy(*run, "_b").orderBy("file_seq")
-    typed = typed.select("*", F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_t"), F.max(start).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_a"))
-    ends = typed.groupBy(*run, "_b").agg(F.max(own).alias("_bt"), F.max(start).alias("_ba"))
+    w = Window.partitionBy(*run, "_b").orderBy("file_seq", "export_file")
+    typed = typed.select("*", F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_t"), F.max(start).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_a"), F.lead("export_file").over(w).isNull().alias("_last"))
+    ends = typed.filter("_last").select(*run, "_b", F.coalesce(own, "_t").alias("_bt"), F.col("_a").alias("_ba"))
     wb = Window.partitionBy(*run).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*run, "_b", F.last("_bt", ignorenulls=True).over(wb).alias("_bt"), F.max("_ba").over(wb).alias("_ba"))
-    typed = typed.join(ends, [*run, "_b"]).select("export_file", *key, "key", "type", F.coalesce("_t", "_bt").alias("_t"), F.coalesce("_a", "_ba").alias("_a"))
-    retyped = typed.filter((F.col("_t.file_seq") >= F.col("_a")) & (F.col("_t.type") != F.col("type"))).select("export_file", *key, F.lit("retyped").alias("change_kind"), F.col("key").alias("field_name"), F.col("type").alias("new_value"))
-
-    # whole schemas only of the files that both lose and gain fields
-    both = added.select(*key).distinct().join(removed.select(*key).distinct(), key).join(seen.select(*key, "prev_seq", "export_file"), key)
-    item = F.struct("key", "pos", F.coalesce("type", F.lit("null")).alias("type"), "n", "filled", "len", "hashes", "children")
-    schema = fields.groupBy(*key).agg(F.collect_list(item).alias("fields"))
-    both = both.join(schema.withColumnRenamed("fields", "new"), key).join(schema.select("store_id", "doc_kind", F.col("file_seq").alias("prev_seq"), F.col("fields").alias("old")), ["store_id", "doc_kind", "prev_seq"])
+    typed = typed.join(ends, [*run, "_b"]).select(*where, "key", "type", F.coalesce("_t", "_bt").alias("_t"), F.coalesce("_a", "_ba").alias("_a"))
+    retyped = typed.filter((F.col("_t.file_seq") >= F.col("_a")) & (F.col("_t.type") != F.col("type"))).select(*where, F.lit("retyped").alias("change_kind"), F.col("key").alias("field_name"), F.col("type").alias("new_value"))
+
+    # contents only of the files that both lose and gain fields, and of the files before them
+    both = seen.filter("size(gained) > 0 and size(lost) > 0").select(*where, "fields", "before")
+    wanted = cut(both.select("doc_kind", F.explode(F.array("export_file", "before.export_file")).alias("export_file")).distinct())
+    item = F.struct("key", "pos", "len", "children", F.array(*[f"h{i}" for i in range(HASHES)]).alias("hashes"))
+    told = cut(contents(documents(rows.join(wanted.select("export_file").distinct(), "export_file", "left_semi")).join(wanted, ["export_file", "doc_kind"], "left_semi")).groupBy("export_file", "doc_kind").agg(F.collect_list(item).alias("c")))  # read for the file and for the file after it
+    told_before = told.select(F.col("export_file").alias("_f"), "doc_kind", F.col("c").alias("c_old"))
+    both = both.withColumn("_f", F.col("before.export_file")).join(told_before, ["_f", "doc_kind"]).join(told.withColumnRenamed("c", "c_new"), ["export_file", "doc_kind"])
+    both = both.select(*where, F.col("before.fields").alias("f_old"), F.col("fields").alias("f_new"), "c_old", "c_new")
+    both = both.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, wanted.count() // 500))  # schemas are few and small, comparing them is not
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(e, s, k, q, o, n, v) for e, s, k, q, old, new in zip(b.export_file, b.store_id, b.doc_kind, b.file_seq, b.old, b.new) for o, n, v in flood(list(old), list(new), threshold)]
-            yield pd.DataFrame(out, columns=["export_file", "store_id", "doc_kind", "file_seq", "old_key", "new_key", "score"])
+            out = []
+            for *at, old, new, c_old, c_new in zip(*[b[c] for c in where], b.f_old, b.f_new, b.c_old, b.c_new):
+                sides = [_described(f, c) for f, c in ((old, c_old), (new, c_new))]
+                out += [(*at, o, n, v) for o, n, v in flood(*sides, threshold)]
+            yield pd.DataFrame(out, columns=[*where, "old_key", "new_key", "score"])
 
-    renamed = cut(both.select("export_file", *key, "old", "new").mapInPandas(match, "export_file string, store_id string, doc_kind string, file_seq int, old_key string, new_key string, score double"))
-    where = ["export_file", *key]
-    gone = removed.join(renamed.select(*where, F.col("old_key").alias("key")), [*where, "key"], "left_anti")
-    come = added.join(renamed.select(*where, F.col("new_key").alias("key")), [*where, "key"], "left_anti")
-    named = lambda df, kind: df.select(*where, F.lit(kind).alias("change_kind"), F.col("key").alias("field_name"), F.lit("").alias("new_value"))
-    return named(come, "added").unionByName(named(gone, "removed")).unionByName(retyped).unionByName(renamed.select(*where, F.lit("renamed").alias("change_kind"), F.col("old_key").alias("field_name"), F.col("new_key").alias("new_value")))
+    renamed = cut(both.mapInPandas(match, "export_file string, store_id string, file_seq int, doc_kind string, old_key string, new_key string, score double"))
+    names = renamed.groupBy("export_file", "doc_kind").agg(F.collect_list("old_key").alias("_o"), F.collect_list("new_key").alias("_n"))
+    none = F.array().cast("array<string>")
+    rest = seen.filter("before is not null").join(names, ["export_file", "doc_kind"], "left")
+    kinds = [(F.lit("added"), F.array_except("gained", F.coalesce("_n", none))), (F.lit("removed"), F.array_except("lost", F.coalesce("_o", none)))]
+    each = F.explode(F.concat(*[F.transform(k, lambda x: F.struct(kind.alias("change_kind"), x.alias("field_name"), F.lit("").alias("new_value"))) for kind, k in kinds]))  # noqa: B023
+    return rest.select(*where, each.alias("x")).select(*where, "x.*").unionByName(retyped).unionByName(renamed.select(*where, F.lit("renamed").alias("change_kind"), F.col("old_key").alias("field_name"), F.col("new_key").alias("new_value")))
 
 
 # --- one consistent table -------------------------------------------------
@@ -386,8 +419,7 @@ def consistent(rows: DataFrame, other_keys: dict[str, list[str]], target: dict[s
     """
     target = target or TARGET
     keep = [c for c in rows.columns if c not in target and c not in ("payload", "raw_response", *_ABOUT)]
-    as_object = lambda c: F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>")
-    df = rows.select(*keep, as_object(F.col("payload")).alias("_p"), as_object(reply_object(F.col("raw_response"))).alias("_r"))
+    df = rows.select(*keep, _as_object(F.col("payload")).alias("_p"), _as_object(reply_object(F.col("raw_response"))).alias("_r"))
     keys = {f: [f, *other_keys.get(f, [])] for f in target}
     cells = [_cell(d, keys[f], kind).alias(f"{d}_{f}") for d in ("_p", "_r") for f, kind in target.items()]
     df = df.select(*keep, "_p", "_r", *cells)

@@ -101,5 +101,26 @@ def test_long_chains_of_renames_are_followed(spark):
     assert D.aliases(renames) == {"caption": chain[1:]}
 
 
+def field(key, pos, kind="string", **more):
+    return {"key": key, "pos": float(pos), "type": kind, "n": 10, "filled": 10, "len": 5.0, "children": None, "hashes": [hash((key, i)) for i in range(D.HASHES)]} | more
+
+
+def test_the_converged_scores_decide():
+    # two lost and two gained fields of equal names and contents: only the siblings tell which is which
+    old = [field("a", 0), field("first", 1), field("b", 2), field("second", 3), field("c", 4)]
+    new = [field("a", 0), field("xy", 1), field("b", 2), field("zw", 3), field("c", 4)]
+    assert {(o, n) for o, n, _ in D.flood(old, new)} == {("first", "xy"), ("second", "zw")}
+    assert D.flood(old, new, rounds=0) == []
+    # moved to another place, with other contents and another name, a field is another one
+    moved = [field("a", 0), field("b", 1), field("c", 2), field("zw", 3, "integer", len=1.0)]
+    assert D.flood([f for f in old if f["key"] != "second"], moved) == []
+
+
+def test_many_fields_renamed_at_once():
+    old = [field("kept" if i == 0 else f"field_{i}", i) for i in range(120)]
+    new = [f | {"key": f"Field{i}"} if i else f for i, f in enumerate(old)]
+    assert {(o, n) for o, n, _ in D.flood(old, new)} == {(f"field_{i}", f"Field{i}") for i in range(1, 120)}
+
+
 def test_empty(spark):
     assert run(spark, {"s-1": [None]}, 1) == set()
