@@ -3,16 +3,20 @@
 Multinomial naive Bayes over hashed character n-grams (one to four letters of
 words in lower case, with their edges): a matrix of log probabilities, one row
 per hash bucket, is broadcast; batches of new words are scored by gathering its
-rows, and sentences by adding up their words. Sentences of a paragraph are then decoded together by the
+rows, and sentences by adding up their words. Sentences of a document are then decoded together by the
 Viterbi algorithm with a cost for changing language, and neighbours of one
-language form a segment.
-
-The classifier is fitted on the trusted samples first and then, twice, on the
-sentences of at most ``train_docs`` labelled documents of at most
-``train_chars`` characters (those with the smallest hash of their id) whose
-label the fit before confirms. Everything else covers every document whole.
-
-Defined cases: null and empty texts have no row; a sentence counts only with two
+language form a segment. A document is read and scored once, in one task:
+whatever is asked of it (its segments, its main language, whether its label is
+doubtful) follows from its own sentences, without a shuffle.
+
+The classifier is fitted on at most ``train_samples`` trusted samples first and
+then, twice, on the sentences of at most ``train_docs`` labelled documents of at
+most ``train_chars`` characters (each the rows with the smallest hash of their
+id) whose label the fit before confirms. Everything else covers every document
+whole.
+
+Defined cases: null and empty texts have no row; a row that stands twice is
+judged twice; a sentence counts only with two
 words of two letters or more outside file names, grades and numbers, so that
 paragraphs without language have no segment; a sentence with less joins the one
 before it; ties go to the language first in the alphabet.
@@ -22,7 +26,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -246,51 +250,138 @@ def fit(samples: list[tuple[str, str]], labelled: list[tuple[str, str]], rounds:
     return model
 
 
-def train(documents: DataFrame, samples: DataFrame, *, train_docs: int = 8000, train_chars: int = 2000) -> Model:
-    """A model from the samples and a bounded number of labelled documents."""
+def train(documents: DataFrame, samples: DataFrame, *, train_docs: int = 8000, train_chars: int = 2000, train_samples: int = 10_000) -> Model:
+    """A model from a bounded number of samples and of labelled documents."""
     labelled = documents.select("doc_id", "lang", "text").filter((F.length("text").between(20, train_chars)) & F.col("lang").isNotNull())
     rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).select("lang", "text").toPandas()
     pool = [(x, t) for lang, t in zip(rows.lang, rows.text) if (x := label_language(lang))]
-    trusted = [(x, r.sample_text) for r in samples.select("lang", "sample_text").limit(10_000).collect() if r.sample_text and (x := label_language(r.lang))]
-    return fit(trusted, pool)
+    trusted = samples.filter("sample_text is not null").orderBy(F.xxhash64("sample_id"), "sample_id").limit(train_samples).select("lang", "sample_text")
+    return fit([(x, r.sample_text) for r in trusted.orderBy("lang", "sample_text").collect() if r.sample_text and (x := label_language(r.lang))], pool)
 
 
-def gazetteer_words(peaks: DataFrame, limit: int = 500_000) -> frozenset[str]:
-    """Words of all names and aliases; none if there are more than ``limit`` names, as they only keep bare names from counting as sentences."""
-    names = peaks.select(F.explode(F.concat(F.array("peak_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n")).filter("n is not null").distinct().limit(limit + 1).toPandas().n
-    return frozenset().union(*map(name_words, names)) if 0 < len(names) <= limit else frozenset()
+def with_names(documents: DataFrame, peaks: DataFrame, limit: int = 500_000) -> tuple[DataFrame, frozenset[str]]:
+    """``documents`` and the words of all names and aliases, which are no words of a language.
 
+    More than ``limit`` names are not gathered: each document then gets, by a join of its words with theirs, a column ``names`` of those that it holds, which has the same effect.
+    """
+    names = peaks.select(F.explode(F.concat(F.array("peak_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n")).filter("n is not null").distinct()
+    few = names.limit(limit + 1).toPandas().n
+    if len(few) <= limit:
+        return documents, frozenset().union(*map(name_words, few))
 
-def segment(documents: DataFrame, model: Model, *, names: frozenset[str] = frozenset(), change: float = 16.0) -> DataFrame:
-    """doc_id, label, para_no, sentence_no, lang, confidence, n_chars of every sentence with language."""
-    shared = documents.sparkSession.sparkContext.broadcast((model, names))
-    columns = ["doc_id", "label", "para_no", "sentence_no", "lang", "confidence", "n_chars"]
+    def of_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"word": sorted(frozenset().union(*map(name_words, b.n)))})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, known = shared.value
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                yield some(m, known, batch.iloc[at : at + 500])
+    def of_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(d, w) for d, t in zip(b.doc_id, b.text) for w in name_words(t)], columns=["doc_id", "word"])
+
+    words = documents.select("doc_id", "text").filter("text is not null").mapInPandas(of_texts, "doc_id long, word string")
+    held = words.join(names.mapInPandas(of_names, "word string").distinct(), "word").groupBy("doc_id").agg(F.collect_set("word").alias("names"))
+    return documents.join(held, "doc_id", "left"), frozenset()
+
+
+class Reader:
+    """Cuts texts into sentences and scores them. What a blank-separated token is (whether a language may show in it, the scores of its words) is found once and kept, at most ``keep`` tokens at a time; a sentence is the sum of its tokens."""
+
+    def __init__(self, model: Model, names: frozenset[str], keep: int = 400_000) -> None:
+        self.model, self.names, self.keep = model, names, keep
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.rows, self.counts, self.folded = np.zeros((0, len(LANGUAGES))), np.zeros(0, bool), []
 
-    def some(m: Model, known: frozenset[str], batch: pd.DataFrame) -> pd.DataFrame:
-        pieces, where = [], []
-        for n, text in enumerate(batch.text):
+    def _ids(self, tokens: list[str]) -> np.ndarray:
+        new = {t for t in tokens if t not in self.known}
+        if len(self.known) + len(new) > self.keep:
+            self._forget()
+            new = set(tokens)
+        if new:
+            new = sorted(new)
+            self.known.update(zip(new, range(len(self.folded), len(self.folded) + len(new))))
+            folded = [_word(t) for t in new]
+            self.folded += folded
+            self.counts = np.concatenate([self.counts, [f is not None and f.isdisjoint(self.names) for f in folded]])
+            self.rows = np.concatenate([self.rows, self.model.scores([plain(t) for t in new])])
+        return np.fromiter((self.known[t] for t in tokens), dtype=np.int64, count=len(tokens))
+
+    def read(self, texts: list[str], names: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, paragraph, sentence, characters and scores of every sentence; ``names`` are words of names of each text besides those known. As :func:`sentences`."""
+        where, tokens, ends, length = [], [], [], []
+        for n, text in enumerate(texts):
             for para_no, para in enumerate(paragraphs(text), 1):
-                for k, s in enumerate(sentences(para, known), 1):
-                    pieces.append(plain(s))
-                    where.append((n, para_no, k, len(s)))
-        if not pieces:
+                for piece in _SENTENCE.split(para):
+                    if words := piece.split():
+                        where.append((n, para_no))
+                        tokens += words
+                        ends.append(len(tokens))
+                        length.append(len(piece.strip()))
+        if not where:
+            none = np.zeros(0, np.int64)
+            return none, none, none, none, np.zeros((0, len(LANGUAGES)))
+        ids = self._ids(tokens)
+        starts = np.array([0, *ends[:-1]], dtype=np.int64)
+        counts = self.counts[ids]
+        if names is not None:
+            of_token = np.repeat([w[0] for w in where], np.diff(np.r_[0, ends]))
+            for k in np.flatnonzero(counts):
+                own = names[of_token[k]]
+                counts[k] = own is None or self.folded[ids[k]].isdisjoint(own)
+        enough = np.add.reduceat(counts.astype(np.int64), starts) >= 2
+        owner, found = np.full(len(where), -1), []
+        last, now, waiting, k = None, -1, [], 0
+        for i, at in enumerate(where):
+            if at != last:
+                last, now, waiting, k = at, -1, [], 0
+            if enough[i]:
+                k += 1
+                now = len(found)
+                found.append((*at, k))
+                owner[waiting] = now
+                waiting = []
+            if now >= 0:
+                owner[i] = now
+            else:
+                waiting.append(i)
+        kept = np.flatnonzero(owner >= 0)
+        scores = np.zeros((len(found), len(LANGUAGES)))
+        np.add.at(scores, owner[kept], np.add.reduceat(self.rows[ids], starts, axis=0)[kept])
+        chars = np.bincount(owner[kept], np.array(length)[kept] + 1, len(found)).astype(np.int64) - 1
+        text, para, no = np.array(found, dtype=np.int64).reshape(-1, 3).T
+        return text, para, no, chars, scores
+
+
+def _judged(documents: DataFrame, model: Model, names: frozenset[str], change: float, report: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows: int = 500) -> DataFrame:
+    """What ``report`` makes of the sentences of some whole documents: row (its number), doc_id, label, para_no, sentence_no, lang, confidence, n_chars."""
+    shared = documents.sparkSession.sparkContext.broadcast((model, names))
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def some(reader: Reader, batch: pd.DataFrame) -> pd.DataFrame:
+        doc, para, no, chars, scores = reader.read(list(batch.text), list(batch.names) if "names" in batch else None)
+        if not len(doc):
             return pd.DataFrame(columns=columns)
-        scores = m.scores(pieces)
-        doc = np.array([w[0] for w in where])
         path = np.empty(len(doc), int)
         for a, b in _runs(doc):
             path[a:b] = decode(scores[a:b], change)
         sure = posterior(scores, 0.3)[np.arange(len(path)), path]
-        ids, labels = batch.doc_id.to_numpy(), [label_language(x) for x in batch.lang]
-        return pd.DataFrame({"doc_id": ids[doc], "label": [labels[d] for d in doc], "para_no": [w[1] for w in where], "sentence_no": [w[2] for w in where], "lang": [LANGUAGES[k] for k in path], "confidence": sure, "n_chars": [w[3] for w in where]})
+        labels = np.array([label_language(x) for x in batch.lang], dtype=object)
+        return report(pd.DataFrame({"row": doc, "doc_id": batch.doc_id.to_numpy()[doc], "label": labels[doc], "para_no": para, "sentence_no": no, "lang": np.array(LANGUAGES, dtype=object)[path], "confidence": sure, "n_chars": chars}))[columns]
 
-    return documents.select("doc_id", "lang", "text").filter("text is not null").mapInPandas(run, "doc_id long, label string, para_no int, sentence_no int, lang string, confidence double, n_chars int")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader(*shared.value)
+        for batch in batches:
+            for at in range(0, len(batch), rows):
+                yield some(reader, batch.iloc[at : at + rows])
+
+    columns_in = ["doc_id", "lang", "text", *(["names"] if "names" in documents.columns else [])]
+    return documents.select(*columns_in).filter("text is not null").mapInPandas(run, schema)
+
+
+def segment(documents: DataFrame, model: Model, *, names: frozenset[str] = frozenset(), change: float = 16.0) -> DataFrame:
+    """doc_id, label, para_no, sentence_no, lang, confidence, n_chars of every sentence with language."""
+    return _judged(documents, model, names, change, lambda s: s, "doc_id long, label string, para_no int, sentence_no int, lang string, confidence double, n_chars int")
 
 
 def _runs(owner: np.ndarray) -> list[tuple[int, int]]:
@@ -298,14 +389,23 @@ def _runs(owner: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *cuts], [*cuts, len(owner)]))
 
 
-def document_languages(segments: DataFrame) -> DataFrame:
+def document_languages(documents: DataFrame, model: Model, *, names: frozenset[str] = frozenset(), change: float = 16.0) -> DataFrame:
     """doc_id, label, lang (of most characters), confidence, n_languages."""
-    per = segments.groupBy("doc_id", "label", "lang").agg(F.sum("n_chars").alias("n"), F.avg("confidence").alias("c"))
-    return per.groupBy("doc_id", "label").agg(F.max_by("lang", F.struct("n", "lang")).alias("lang"), F.max_by("c", F.struct("n", "lang")).alias("confidence"), F.count("*").alias("n_languages"))
 
+    def report(s: pd.DataFrame) -> pd.DataFrame:
+        per = s.groupby(["row", "lang"], sort=True).agg(doc_id=("doc_id", "first"), label=("label", "first"), n=("n_chars", "sum"), confidence=("confidence", "mean")).reset_index()
+        per["n_languages"] = per.groupby("row").lang.transform("count")
+        return per.sort_values(["row", "n", "lang"], ascending=[True, False, True], kind="stable").drop_duplicates("row")
+
+    return _judged(documents, model, names, change, report, "doc_id long, label string, lang string, confidence double, n_languages long")
 
-def doubtful(segments: DataFrame) -> DataFrame:
+
+def doubtful(documents: DataFrame, model: Model, *, names: frozenset[str] = frozenset(), change: float = 16.0) -> DataFrame:
     """doc_id, para_no, lang of documents whose label is missing or names none of their languages, or which have several."""
-    found = segments.groupBy("doc_id").agg(F.count_distinct("lang").alias("k"), F.max(F.coalesce(F.col("label") == F.col("lang"), F.lit(False))).alias("right"))
-    odd = found.filter((F.col("k") > 1) | ~F.col("right")).select("doc_id")
-    return segments.join(odd, "doc_id", "left_semi").select("doc_id", "para_no", "lang").distinct()
+
+    def report(s: pd.DataFrame) -> pd.DataFrame:
+        several = s.groupby("row").lang.transform("nunique") > 1
+        right = (s.label == s.lang).groupby(s.row).transform("any")
+        return s[several | ~right].drop_duplicates(["row", "para_no", "lang"])
+
+    return _judged(documents, model, names, change, report, "doc_id long, para_no int, lang string")

@@ -49,7 +49,7 @@ def p6_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    capacities = [(r.target_name, r.capacity_tokens) for r in table(spark, sf_dir, "pack_capacity").limit(100).collect()]
+    capacities = [(r.target_name, r.capacity_tokens) for r in table(spark, sf_dir, "pack_capacity").collect()]  # the targets: a parameter
     return packing.pack(packing.token_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), capacities)
 
 
@@ -71,24 +71,28 @@ def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_item"))
 
 
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, language.Model, frozenset[str]]:
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     model = language.train(documents, table(spark, sf_dir, "lang_sample"))
-    return language.segment(documents, model, names=language.gazetteer_words(table(spark, sf_dir, "peaks")))
+    documents, names = language.with_names(documents, table(spark, sf_dir, "peaks"))
+    return documents, model, names
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.doubtful(_segments(spark, sf_dir))
+    documents, model, names = _languages(spark, sf_dir)
+    return language.doubtful(documents, model, names=names)
 
 
 def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's main language with its confidence."""
-    return language.document_languages(_segments(spark, sf_dir))
+    documents, model, names = _languages(spark, sf_dir)
+    return language.document_languages(documents, model, names=names)
 
 
 def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence with language, with its confidence."""
-    return _segments(spark, sf_dir)
+    documents, model, names = _languages(spark, sf_dir)
+    return language.segment(documents, model, names=names)
 
 
 QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p5_found": p5_found, "p5_golden": p5_golden, "p6_found": p6_found, "p6_sizes": p6_sizes, "p8_packed": p8_packed, "p8_utilisation": p8_utilisation, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_documents": p10_documents, "p10_segments": p10_segments}
