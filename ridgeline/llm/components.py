@@ -1,11 +1,12 @@
 """Connected components over pairwise matches.
 
-The giant component is peeled off first: breadth-first joins from the vertex of
-highest degree, whose frontier grows fast while it lasts. As soon as a round
-adds little (a long tail, or the component is done) the visited part is
-contracted to one vertex and taken out of the edges by an anti join. What
+The giant component is peeled off first: breadth-first joins from the ``seeds``
+vertices of highest degree at once, as the very highest may stand in a small
+dense group; the frontier grows fast while the giant lasts. As soon as a round
+adds little (a long tail, or the components are done) what each seed reached is
+contracted to it and taken out of the edges by an anti join. What
 remains is labelled by minimum propagation. Edges are dealt by their hash to
-parts of about ``part_edges`` edges; each part propagates minima among its own
+parts of at most about ``part_edges`` edges, smaller ones if cores would be idle; each part propagates minima among its own
 edges until nothing changes, so that a chain inside a part takes one round
 however long it is. A vertex that parts gave several minima takes the smallest
 and links the others to it; only these links go into the next round. Vertices
@@ -36,22 +37,25 @@ from pyspark.sql import functions as F
 from ridgeline.session import cut
 
 
+#: Edges that are worth a core of their own.
+CORE_EDGES = 10_000
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def peel(edges: DataFrame, *, growth: float = 0.3, rounds: int = 8) -> tuple[DataFrame | None, str | None]:
-    """The vertices reached from the vertex of highest degree (with their number of hops), and that vertex; stops when a round adds less than the share ``growth`` of what was reached before."""
+def peel(edges: DataFrame, *, seeds: int = 16, growth: float = 0.3, rounds: int = 8) -> DataFrame | None:
+    """v, seed of the vertices reached from the ``seeds`` vertices of highest degree, each by one of the seeds that reach it first; stops when a round adds less than the share ``growth`` of what was reached before. None without edges."""
     arcs = _both_ways(edges)
-    top = arcs.groupBy("a").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a").limit(1).collect()
+    top = [r["a"] for r in arcs.groupBy("a").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a").limit(seeds).collect()]
     if not top:
-        return None, None
-    seed = top[0]["a"]
-    visited = edges.sparkSession.createDataFrame([(seed, 0)], "v string, hops int")
-    frontier, total = visited, 1
-    for hop in range(1, rounds + 1):
-        reached = arcs.join(frontier.select(F.col("v").alias("a")), "a").select(F.col("b").alias("v")).distinct()
-        frontier = cut(reached.join(visited, "v", "left_anti").withColumn("hops", F.lit(hop)))
+        return None
+    visited = edges.sparkSession.createDataFrame([(v, v) for v in top], "v string, seed string")
+    frontier, total = visited, len(top)
+    for _ in range(rounds):
+        reached = arcs.join(frontier.select(F.col("v").alias("a"), "seed"), "a").groupBy(F.col("b").alias("v")).agg(F.min("seed").alias("seed"))
+        frontier = cut(reached.join(visited.select("v"), "v", "left_anti"))
         new = frontier.count()
         if not new:
             break
@@ -59,7 +63,7 @@ def peel(edges: DataFrame, *, growth: float = 0.3, rounds: int = 8) -> tuple[Dat
         total += new
         if new < growth * total:
             break
-    return visited, seed
+    return visited
 
 
 def minima(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -107,12 +111,12 @@ def propagate(edges: DataFrame, *, part_edges: int = 200_000, rounds: int = 40)
             break
         if seed == rounds:
             raise RuntimeError(f"{count} links between parts are left after {rounds} rounds")
-        parts = -(-count // part_edges)
-        stars = cut(edges.repartition(parts, "a", "b", F.lit(seed)).mapInPandas(_within_part(seed), "v string, m string, r long"))
+        parts = max(-(-count // part_edges), min(edges.sparkSession.sparkContext.defaultParallelism, count // CORE_EDGES))
+        stars = cut(edges.repartition(max(1, parts), "a", "b", F.lit(seed)).mapInPandas(_within_part(seed), "v string, m string, r long"))
         level = stars.groupBy("v").agg(F.min(F.struct("r", "m")).alias("_m")).select("v", F.col("_m.m").alias("root"))
         # a root of the rounds before is a vertex of this one, unless its component was done
         labels = cut(level if labels is None else labels.join(level.select(F.col("v").alias("root"), F.col("root").alias("_r")), "root", "left").select("v", F.coalesce("_r", "root").alias("root")))
-        if parts == 1:
+        if parts <= 1:
             break  # one part has seen every edge
         edges = cut(stars.join(level, "v").filter("m <> root").select(F.col("m").alias("a"), F.col("root").alias("b")).distinct())
     return labels
@@ -124,21 +128,21 @@ def components(pairs: DataFrame, a: str, b: str, *, part_edges: int = 200_000) -
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     alone = edges.filter("a = b").select(F.col("a").alias("v"))
     links = edges.filter("a <> b")
-    giant, seed = peel(links)
+    giant = peel(links)
     if giant is None:
         return alone.select(F.col("v").alias("vertex"), F.col("v").alias("label"))
-    # the visited part becomes its seed; edges within it go, edges that leave it now leave the seed
-    member = giant.select("v", F.lit(True).alias("_in"))
-    flag = lambda e, c: e.join(member.select(F.col("v").alias(c), F.col("_in").alias(f"_{c}")), c, "left")
-    rest = flag(flag(links, "a"), "b").filter(F.col("_a").isNull() | F.col("_b").isNull())
-    rest = cut(rest.select(F.when(F.col("_a"), F.lit(seed)).otherwise(F.col("a")).alias("a"), F.when(F.col("_b"), F.lit(seed)).otherwise(F.col("b")).alias("b")).distinct())
-    rooted = giant.select("v", F.lit(seed).alias("root"))
+    # what a seed reached becomes the seed; edges within it go, edges that leave it now leave the seed
+    flag = lambda e, c: e.join(giant.select(F.col("v").alias(c), F.col("seed").alias(f"_{c}")), c, "left")
+    rest = flag(flag(links, "a"), "b").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    rest = cut(rest.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rooted = giant.select("v", F.col("seed").alias("root"))
     labels = propagate(rest, part_edges=part_edges)
     if labels is not None:
-        # the seed's own root, if the tail of the giant reached back to it
-        of_seed = labels.filter(F.col("v") == seed).select(F.col("root").alias("_s"))
-        rooted = rooted.join(F.broadcast(of_seed), how="left").select("v", F.coalesce("_s", "root").alias("root"))  # one row
-        rooted = rooted.unionByName(labels.filter(F.col("v") != seed))
+        # the seeds' own roots, if a tail of the giant or another seed reached back to them
+        seeds = giant.select(F.col("seed").alias("v")).distinct()
+        of_seed = labels.join(seeds, "v", "left_semi").select(F.col("v").alias("root"), F.col("root").alias("_s"))
+        rooted = rooted.join(of_seed, "root", "left").select("v", F.coalesce("_s", "root").alias("root"))
+        rooted = rooted.unionByName(labels.join(seeds, "v", "left_anti"))
     rooted = rooted.unionByName(alone.join(rooted, "v", "left_anti").select("v", F.col("v").alias("root")))
     rooted = cut(rooted.distinct())
     names = rooted.groupBy("root").agg(F.min("v").alias("label"))
