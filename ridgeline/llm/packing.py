@@ -37,6 +37,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 MAX_CAPACITY = 1_000_000
 #: Longer texts are encoded in parts cut before a blank, where the pattern cuts anyway.
 PART = 50_000
+#: More than the pieces of one size ever are; times MAX_CAPACITY it is within a long.
+RANKS = 1 << 42
 _encoders: dict[str, object] = {}
 
 
@@ -52,12 +54,14 @@ def encoder(path: str = TOKENIZER):
 
 
 def parts(text: str, size: int = PART) -> list[str]:
-    """Parts of about ``size`` characters, cut before a single blank between words; without one, the text stays whole up to twice the size."""
+    """Parts of at least ``size`` characters, cut before a single blank between words, where the pattern cuts too; a text without such a blank stays whole."""
     out, at = [], 0
     while len(text) - at > 2 * size:
         to = at + size
-        while to < at + 2 * size and not (text[to] == " " and text[to - 1].isalnum() and text[to + 1].isalnum()):
+        while to < len(text) - 1 and not (text[to] == " " and text[to - 1].isalnum() and text[to + 1].isalnum()):
             to += 1
+        if to >= len(text) - 1:
+            break
         out.append(text[at:to])
         at = to
     return [*out, text[at:]]
@@ -125,8 +129,10 @@ def pack(counts: DataFrame, capacities: list[tuple[str, int]], *, step_tokens: i
             slots.setdefault(s, []).append((filled.get(s, 0), n, cap, first, times))
             filled[s] = filled.get(s, 0) + n * times
     groups = {cap: -(-n // max(1, step_tokens // cap)) for cap, n in base.items()}
-    table = {s: tuple(map(np.array, zip(*rows))) for s, rows in slots.items()}
-    shared = spark.sparkContext.broadcast((table, groups, names))
+    # slots of all sizes in one sorted array: a piece finds its slot by size and rank
+    rows = sorted((s, *slot) for s, some in slots.items() for slot in some)
+    size_of, start, per, cap_of, first, _ = (np.array(c, dtype=np.int64) for c in (zip(*rows) if rows else [()] * 6))
+    shared = spark.sparkContext.broadcast((size_of * RANKS + start, start, per, cap_of, first, groups, names))
 
     salts = max(1, min(4096, -(-max([0, *histogram.values()]) // rows_per_salt)))
     keyed = cuts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(salts)).cast("int"))
@@ -136,16 +142,12 @@ def pack(counts: DataFrame, capacities: list[tuple[str, int]], *, step_tokens: i
     ranked = ranked.join(offset, ["size", "_salt"]).select("doc_id", "piece_no", "start_token", "size", (F.col("_r") + F.col("_o")).alias("rank"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slots_of, steps, name_of = shared.value
-        for batch in batches:
-            out = []
-            for size, rows in batch.groupby("size"):
-                start, per, cap, first, _ = slots_of[size]
-                k = np.searchsorted(start, rows["rank"].to_numpy(), side="right") - 1
-                number = first[k] + (rows["rank"].to_numpy() - start[k]) // per[k]
-                part = rows[["doc_id", "piece_no", "start_token"]].assign(n_tokens=rows["size"], target_name=[name_of[c] for c in cap[k]], window_no=number, capacity=cap[k], step_group=number % np.array([steps[c] for c in cap[k]]))
-                out.append(part)
-            yield pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "piece_no", "start_token", "n_tokens", "target_name", "window_no", "capacity", "step_group"])
+        key, start, per, cap_of, first, steps, name_of = shared.value
+        for b in batches:
+            rank = b["rank"].to_numpy(np.int64)
+            k = np.searchsorted(key, b["size"].to_numpy(np.int64) * RANKS + rank, side="right") - 1
+            number, cap = first[k] + (rank - start[k]) // per[k], cap_of[k]
+            yield pd.DataFrame({"doc_id": b.doc_id, "piece_no": b.piece_no, "start_token": b.start_token, "n_tokens": b["size"], "target_name": [name_of[c] for c in cap], "window_no": number, "capacity": cap, "step_group": number % np.array([steps[c] for c in cap], dtype=np.int64)})
 
     placed = ranked.mapInPandas(place, "doc_id long, piece_no int, start_token long, n_tokens int, target_name string, window_no long, capacity int, step_group long")
     inside = Window.partitionBy("target_name", "window_no").orderBy(F.desc("n_tokens"), "doc_id", "piece_no").rowsBetween(Window.unboundedPreceding, -1)

@@ -57,5 +57,7 @@ def test_token_counts(spark):
     got = sorted((r.doc_id, r.n_tokens) for r in P.token_counts(df).collect())
     assert got[:2] == [(1, 2), (1, 2)] and got[2] == (4, len(P.encoder().encode_ordinary(long)))
     assert "".join(P.parts(long)) == long
+    glued = "word," * 60_000 + "then a blank"
+    assert P.parts(glued, 1000)[0].startswith("word,") and sum(len(P.encoder().encode_ordinary(x)) for x in P.parts(glued, 1000)) == len(P.encoder().encode_ordinary(glued))
     empty = P.pack(P.token_counts(df.limit(0)), [("w", 8)])
     assert empty.count() == 0
