@@ -9,10 +9,10 @@ a document, finds every candidate; each hit is extended word by word both ways
 along the passage and kept if the run is long enough. Offsets are mapped back
 to the text as it stands.
 
-The automaton is broadcast (its chunks, not the automaton, which each Python
-worker builds once) only while there are at most ``max_chunks`` chunks; beyond
-that the same chunks are found by an equi join of word n-gram hashes and the
-candidates are extended in the same way.
+The passages are broadcast (not the automaton, which each Python worker builds
+once). An automaton has about ``max_chunks`` chunks at most: more passages are
+dealt by their hash to as many automata as it takes, each of which scans the
+documents in turn.
 
 Defined cases: null and empty texts have no row; passages shorter than ``run``
 words cannot leak; a document with a passage twice has one row in ``leaks`` and
@@ -21,8 +21,10 @@ two in ``spans``; wording shared by several items gives away each of them.
 
 from __future__ import annotations
 
+import math
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 import regex
@@ -129,8 +131,11 @@ def _scan(documents: DataFrame, items: DataFrame, run: int, max_chunks: int, off
     columns = [c.split()[0] for c in schema.split(", ")]
     # every chunk has at least one word of a letter, so this bounds the chunks too
     bound = clean.agg(F.coalesce(F.sum(F.length("passage") / run), F.lit(0)).alias("n")).first()["n"]
-    if bound <= max_chunks:
-        shared = spark.sparkContext.broadcast([(r.item_id, r.passage) for r in clean.collect()])
+    shards = max(1, math.ceil(bound / max_chunks))
+
+    def scan_with(shard: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        mine = clean.filter(F.pmod(F.xxhash64("item_id", "passage"), F.lit(shards)) == shard) if shards > 1 else clean
+        shared = spark.sparkContext.broadcast([(r.item_id, r.passage) for r in mine.collect()])
         built: list[Scanner] = []
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,30 +145,10 @@ def _scan(documents: DataFrame, items: DataFrame, run: int, max_chunks: int, off
                 out = [r for d, t in zip(batch.doc_id, batch.text) for r in rows(d, t, built[0].spans(t))]
                 yield pd.DataFrame(out, columns=columns)
 
-        return docs.mapInPandas(scan, schema)
-    size = (run + 1) // 2
-
-    def grams(batches: Iterator[pd.DataFrame], key: str, step: int, value: str) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = set()
-            for k, t in zip(batch[key], batch[value]):
-                w = words(t)
-                out |= {(k, " ".join(w[i : i + size])) for i in range(0, len(w) - size + 1, step)}
-            yield pd.DataFrame(sorted(out), columns=[key, "chunk"])
-
-    of_docs = docs.mapInPandas(lambda b: grams(b, "doc_id", 1, "text"), "doc_id long, chunk string")
-    of_items = clean.mapInPandas(lambda b: grams(b, "item_id", size, "passage"), "item_id long, chunk string")
-    hits = of_docs.join(of_items, "chunk").select("doc_id", "item_id").distinct()
-    full = hits.join(docs, "doc_id").join(clean, "item_id")
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for d, t, i, p in zip(batch.doc_id, batch.text, batch.item_id, batch.passage):
-                out += rows(d, t, Scanner([(i, p)], run).spans(t))
-            yield pd.DataFrame(out, columns=columns)
-
-    return full.select("doc_id", "text", "item_id", "passage").mapInPandas(verify, schema).distinct()
+        return scan
+
+    found = reduce(DataFrame.unionByName, [docs.mapInPandas(scan_with(shard), schema) for shard in range(shards)])
+    return found.distinct() if shards > 1 else found  # an item may have passages in several shards
 
 
 def leaks(documents: DataFrame, items: DataFrame, *, run: int = 12, max_chunks: int = 2_000_000) -> DataFrame:

@@ -11,7 +11,7 @@ def brute(doc, passage, run):
     return any(tuple(d[i : i + run]) in grams for i in range(len(d) - run + 1))
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
+@pytest.mark.parametrize("limit", [10**6, 20])
 def test_against_all_windows(spark, limit):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abéñz1") for _ in range(rng.randint(1, 3)))
