@@ -54,13 +54,16 @@ _NUMBER = rf"(?:\d{{1,4}}|{_ROMAN})"
 _PAGE_NO = regex.compile(rf"^\s*(?:[·\-–—\[(*|~]\s*)?(?:(?:pag|pág|page|seite|side|página|pagina|[sp])\.?\s*)?{_NUMBER}(?:\s*/\s*\d{{1,4}})?(?:\s*[·\-–—\])*|~])?\s*$", regex.I)
 _TITLE_LEFT = regex.compile(rf"^\s*({_NUMBER})\s{{2,}}(\S.*?)\s*$")
 _TITLE_RIGHT = regex.compile(rf"^\s*(\S.*?)\s{{2,}}({_NUMBER})\s*$")
-_LETTER = regex.compile(r"\p{L}")
 _CODE = regex.compile(r"^(?:[A-Za-z]?\d+[a-c]?[+\-]?|[IVX]+[+\-]?|\d+[.,:]\d+|\d+\s?m)$")
 _ENDED = regex.compile(r"[.!?…][\"»”’)\]]*\s*$")
 #: Confusable characters that a title's folded form holds equal.
 _FOLD = str.maketrans({"0": "o", "6": "o", "é": "o", "è": "o", "e": "o", "c": "o", "ö": "o", "ó": "o", "ò": "o", "1": "l", "!": "l", "i": "l", "í": "l", "5": "s", "9": "g", "q": "g", "8": "b", "h": "b", "f": "t", "å": "a", "ä": "a", "à": "a", "ü": "u", "ù": "u", "ú": "u"})
 
 
+def n_letters(text: str) -> int:
+    return sum(map(str.isalpha, text))
+
+
 def letter_spaced(line: str) -> bool:
     tokens = line.split()
     return len(tokens) >= 5 and sum(len(t) == 1 for t in tokens) >= 0.75 * len(tokens)
@@ -83,7 +86,7 @@ def strip_number(line: str) -> tuple[str, bool]:
     """A title without the page number beside it; whether it had one."""
     for pattern, group in ((_TITLE_LEFT, 2), (_TITLE_RIGHT, 1)):
         m = pattern.match(line)
-        if m and len(_LETTER.findall(m[group])) >= 4 and not _ENDED.search(m[group]):
+        if m and n_letters(m[group]) >= 4 and not _ENDED.search(m[group]):
             if letter_spaced(m[group]) and not regex.search(r"\s{4,}", line.strip()):
                 continue
             return m[group], True
@@ -92,23 +95,23 @@ def strip_number(line: str) -> tuple[str, bool]:
 
 def is_code(line: str) -> bool:
     """A line without words: grades, heights, times, pitches."""
-    return not any(len(_LETTER.findall(t)) >= 3 for t in line.split()) and not letter_spaced(line)
+    return not any(n_letters(t) >= 3 for t in line.split()) and not letter_spaced(line)
 
 
 def line_forms(lines: list[str]) -> list[tuple[str, bool]]:
     """For each line: ``blank``, ``page_no``, ``title`` (by its form), ``maybe`` (a title if the corpus knows it) or ``text``, and whether a page number stands beside it."""
     out: list[tuple[str, bool]] = []
-    worded = sum(1 for x in lines if len([t for t in x.split() if len(_LETTER.findall(t)) >= 2]) >= 3)
+    # a page holds sentences; a sign or a bare list has no running title
+    worded = (x for x in lines if sum(n_letters(t) >= 2 for t in x.split()) >= 3)
+    page = next(worded, None) is not None and next(worded, None) is not None
     prev_open = False
     for line in lines:
         if not line.strip():
             out.append(("blank", False))
             continue
         title, numbered = strip_number(line)
-        letters = _LETTER.findall(title)
+        letters = [c for c in title if c.isalpha()]
         capital = len(letters) >= 5 and sum(x.isupper() or not x.islower() for x in letters) >= 0.85 * len(letters)
-        # a page holds sentences; a sign or a bare list has no running title
-        page = worded >= 2
         if page and _PAGE_NO.match(line):
             out.append(("page_no", False))
         elif page and (numbered or letter_spaced(title) or capital or (line[:2].isspace() and not _ENDED.search(line) and len(letters) >= 4)) and not is_code(title):
@@ -131,7 +134,7 @@ def bare(token: str) -> str:
 
 def checkable(word: str) -> bool:
     """Whether a word can be judged: two letters, no code, not only digits."""
-    return len(_LETTER.findall(word)) >= 2 and not _CODE.match(word) and (len(word) >= 3 or any(c.isdigit() or c == "!" for c in word))
+    return n_letters(word) >= 2 and not _CODE.match(word) and (len(word) >= 3 or any(c.isdigit() or c == "!" for c in word))
 
 
 def page_words(lines: list[str], forms: list[str]) -> Iterator[tuple]:
@@ -146,7 +149,7 @@ def page_words(lines: list[str], forms: list[str]) -> Iterator[tuple]:
         skip_first = False
         for k, token in enumerate(tokens):
             last = k == len(tokens) - 1
-            if last and len(token) > 1 and token[-1] in BREAKS and _LETTER.search(token[-2] if token[-2] not in "01!569" else "a"):
+            if last and len(token) > 1 and token[-1] in BREAKS and (token[-2].isalpha() or token[-2] in "01!569"):
                 after = lines[body[n + 1]].split() if n + 1 < len(body) else []
                 if after and (after[0][0].islower() or after[0][0] in "01!569"):
                     a, b = token[:-1].lstrip(EDGE).lower(), after[0].rstrip(EDGE).lower()
@@ -173,17 +176,15 @@ def page_words(lines: list[str], forms: list[str]) -> Iterator[tuple]:
 def clean_words(texts: DataFrame, text: str, *keep: str) -> DataFrame:
     """doc words in their order, as one array per text, in lower case without punctuation at their edges; and the columns ``keep``."""
     tokens = F.split(F.lower(F.regexp_replace(F.col(text), "\\p{Cf}", "")), r"[\s ]+")
-    edge = f"^[{''.join(chr(92) + c if c in '[]-^' + chr(92) else c for c in EDGE)}!]+|[{''.join(chr(92) + c if c in '[]-^' + chr(92) else c for c in EDGE)}!]+$"
-    return texts.filter(F.col(text).isNotNull()).select(F.filter(F.transform(tokens, lambda t: F.regexp_replace(t, edge, "")), lambda t: t != "").alias("words"), *keep)
+    return texts.filter(F.col(text).isNotNull()).select(F.filter(F.transform(tokens, lambda t: F.btrim(t, F.lit(EDGE + "!"))), lambda t: t != "").alias("words"), *keep)
 
 
-def vocabulary(words: DataFrame, names: DataFrame, share: float = 2e-7, least: int = 3) -> DataFrame:
-    """word, n of the words of clean texts whose count is at least ``least`` and ``share`` of all, and of all names, which count once more than they stand in the texts."""
-    counts = cut(words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
-    total = counts.agg(F.sum("n").alias("t")).first()["t"] or 0
+def vocabulary(words: DataFrame, names: DataFrame, least: int = 3) -> DataFrame:
+    """word, n of the words of clean texts that stand there ``least`` times, and of all names, which count once more than they stand in the texts."""
+    counts = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     named = clean_words(names, "name").select(F.explode("words").alias("word")).distinct().withColumn("_named", F.lit(1).cast("bigint"))
-    both = counts.join(named, "word", "full").filter((F.col("n") >= max(least, int(share * total))) | F.col("_named").isNotNull())
-    return cut(both.filter(F.length("word") <= 64).select("word", (F.coalesce("n", F.lit(0)) + F.coalesce("_named", F.lit(0))).alias("n")))
+    both = counts.join(named, "word", "full").filter((F.col("n") >= least) | F.col("_named").isNotNull())
+    return cut(both.select("word", (F.coalesce("n", F.lit(0)) + F.coalesce("_named", F.lit(0))).alias("n")))
 
 
 class Trie:
@@ -209,9 +210,12 @@ class Trie:
 
         def close(states: dict[int, int]) -> dict[int, int]:
             # characters of the word that the candidate does not have
-            for i in range(min(states), size):
+            i, last = min(states), max(states)
+            while i <= last and i < size:
                 if i in states and states[i] + 2 <= limit and states.get(i + 1, 99) > states[i] + 2:
                     states[i + 1] = states[i] + 2
+                    last = max(last, i + 1)
+                i += 1
             return states
 
         def put(to: dict[int, int], i: int, cost: int) -> None:
@@ -248,9 +252,9 @@ class Trie:
         return sorted(((w, c, n) for w, (c, n) in found.items()), key=lambda x: (x[1], -x[2], x[0]))
 
 
-def candidates(unknown: DataFrame, vocab: DataFrame, *, parts: int = 48, shard_words: int = 100_000, limit: int = 2) -> DataFrame:
-    """word, candidate, cost, n of all vocabulary words near each unknown word."""
-    shards = max(1, -(-vocab.count() // shard_words))
+def candidates(unknown: DataFrame, vocab: DataFrame, *, part_words: int = 2000, shard_words: int = 100_000, limit: int = 2) -> DataFrame:
+    """word, candidate, cost, n of all vocabulary words near each unknown word; a task has about ``part_words`` of the one and ``shard_words`` of the other."""
+    shards, parts = (max(1, -(-df.count() // most)) for df, most in ((vocab, shard_words), (unknown, part_words)))
     w = unknown.select("word", F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     v = vocab.select("word", "n", F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
 
@@ -276,28 +280,11 @@ def pages_of(*tables: tuple[str, DataFrame, str, str]) -> DataFrame:
     return out
 
 
-_WORDS = "table_name string, row_key long, line_no int, next_line int, cut int, word string, half_a string, half_b string, sign string, before string, after string, maybe string, maybe_next string"
-_LINES = "table_name string, row_key long, line_no int, form string, numbered boolean, title string"
+_READ = "what string, table_name string, row_key long, line_no int, form string, numbered boolean, title string, next_line int, cut int, word string, half_a string, half_b string, sign string, before string, after string, maybe string, maybe_next string"
 
 
-def _lines(pages: DataFrame) -> DataFrame:
-    """Furniture lines and lines that may be: form and title key."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for t, k, text in zip(b.table_name, b.row_key, b.text):
-                lines = text.split("\n")
-                for i, (form, numbered) in enumerate(line_forms(lines)):
-                    if form in ("page_no", "title", "maybe"):
-                        rows.append((t, k, i + 1, form, numbered, title_key(lines[i]) if form != "page_no" else ""))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _LINES.split(", ")])
-
-    return pages.mapInPandas(run, _LINES)
-
-
-def _page_words(pages: DataFrame, frequent: frozenset[str]) -> DataFrame:
-    """Words to judge: broken ones, and those that are not among the ``frequent`` (a bounded set that only saves rows). A word on a line that may be a title names its key."""
+def read_pages(pages: DataFrame, frequent: frozenset[str]) -> tuple[DataFrame, DataFrame]:
+    """In one pass over the pages: the lines that are furniture or may be (form, whether a number stands beside, title key), and the words to judge, which are broken ones and those not among the ``frequent`` (a bounded set that only saves rows). A word on a line that may be a title names its key."""
     shared = pages.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -306,14 +293,21 @@ def _page_words(pages: DataFrame, frequent: frozenset[str]) -> DataFrame:
             rows = []
             for t, k, text in zip(b.table_name, b.row_key, b.text):
                 lines = text.split("\n")
-                forms = [f for f, _ in line_forms(lines)]
-                key = lambda i: title_key(lines[i]) if i >= 0 and forms[i] == "maybe" else ""  # noqa: B023, E731
-                for i, nxt, cut_at, word, a, c, sign, before, after in page_words(lines, forms):
+                forms = line_forms(lines)
+                keys = [title_key(line) if form in ("title", "maybe") else "" for line, (form, _) in zip(lines, forms)]
+                for i, (form, numbered) in enumerate(forms):
+                    if form in ("page_no", "title", "maybe"):
+                        rows.append(("line", t, k, i + 1, form, numbered, keys[i], -1, 0, "", "", "", "", "", "", "", ""))
+                plain = [form for form, _ in forms]
+                for i, nxt, cut_at, word, half_a, half_b, sign, before, after in page_words(lines, plain):
                     if sign or (word not in known and checkable(word)):
-                        rows.append((t, k, i + 1, nxt + 1 if nxt >= 0 else -1, cut_at, word, a, c, sign, before, after, key(i), key(nxt)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _WORDS.split(", ")])
+                        maybe = [keys[j] if j >= 0 and plain[j] == "maybe" else "" for j in (i, nxt)]
+                        rows.append(("word", t, k, i + 1, "", False, "", nxt + 1 if nxt >= 0 else -1, cut_at, word, half_a, half_b, sign, before, after, *maybe))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _READ.split(", ")])
 
-    return pages.mapInPandas(run, _WORDS)
+    read = cut(pages.mapInPandas(run, _READ))
+    page = ["table_name", "row_key", "line_no"]
+    return read.filter("what = 'line'").select(*page, "form", "numbered", "title"), read.filter("what = 'word'").drop("what", "form", "numbered", "title")
 
 
 def _wrong_lines(word: str, right: str, cut_at: int) -> tuple[bool, bool]:
@@ -328,7 +322,7 @@ def _wrong_lines(word: str, right: str, cut_at: int) -> tuple[bool, bool]:
     return (same < cut_at or not cut_at, bool(cut_at) and end > cut_at)
 
 
-def analyse(pages: DataFrame, clean: DataFrame, names: DataFrame, *, frequent: int = 20_000, limit: int = 2, ratio: float = 20.0) -> tuple[DataFrame, DataFrame]:
+def analyse(pages: DataFrame, clean: DataFrame, names: DataFrame, *, frequent: int = 20_000, limit: int = 2, ratio: float = 20.0, few_pairs: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """Cases (table_name, row_key, line_no, noise_kind) and repairs (table_name, row_key, line_no, word, right, cut, sign) of pages.
 
     ``clean`` has a column ``text`` of clean texts, ``names`` a column ``name``. At most the ``frequent`` most frequent words go to the executors as a set; whether a word is known is decided by a join with the whole vocabulary.
@@ -338,7 +332,7 @@ def analyse(pages: DataFrame, clean: DataFrame, names: DataFrame, *, frequent: i
     top = frozenset(r["word"] for r in vocab.orderBy(F.desc("n"), "word").limit(frequent).collect())
     page = ["table_name", "row_key"]
 
-    lines = cut(_lines(pages))
+    lines, judged = read_pages(pages, top)
     sure = lines.filter("form = 'title' and length(title) >= 4").groupBy("title").agg(F.count("*").alias("forms"))
     maybe = lines.filter("form = 'maybe'").join(sure.select("title"), "title", "left_semi")
     headers = lines.filter("form = 'title'").select(*page, "line_no", "numbered").unionByName(maybe.select(*page, "line_no", "numbered"))
@@ -346,7 +340,6 @@ def analyse(pages: DataFrame, clean: DataFrame, names: DataFrame, *, frequent: i
     cases = cases.unionByName(headers.filter("numbered").select(*page, "line_no", F.lit("page_no").alias("noise_kind")))
     cases = cases.unionByName(lines.filter("form = 'page_no'").select(*page, "line_no", F.lit("page_no").alias("noise_kind")))
 
-    judged = _page_words(pages, top)
     titles = sure.select(F.col("title").alias("maybe"), F.lit(True).alias("_t"))
     # lines that turned out to be titles are no sentences
     judged = cut(judged.join(titles, "maybe", "left").filter("_t is null").drop("_t"))
@@ -363,7 +356,7 @@ def analyse(pages: DataFrame, clean: DataFrame, names: DataFrame, *, frequent: i
     joined = broken.filter("not own").select(*page, "line_no", "next_line", "cut", "word", "sign", "before", "after")
     # a word with a hyphen of its own is one word, with the hyphen
     own = broken.filter("own").select(*page, "line_no", "next_line", (F.col("cut") + 1).alias("cut"), F.col("hyphened").alias("word"), "sign", "before", "after")
-    spots = whole.unionByName(joined).unionByName(own).filter("length(word) between 2 and 64")
+    spots = whole.unionByName(joined).unionByName(own).filter("length(word) >= 2")
     spots = cut(spots.join(vocab.select("word"), "word", "left_anti"))
     # texts that have it: copies of a page are no further evidence
     copy = F.xxhash64("text").alias("copy")
@@ -381,12 +374,17 @@ def analyse(pages: DataFrame, clean: DataFrame, names: DataFrame, *, frequent: i
     several = Window.partitionBy(*page, "line_no", "word", "before", "after")
     asked = cut(asked.withColumn("choices", F.count("*").over(several)))
     open_pairs = asked.filter("choices > 1")
-    grams = F.explode(F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))).alias("pair")
-    wanted = open_pairs.select(F.concat_ws(" ", "before", "candidate").alias("pair")).unionByName(open_pairs.select(F.concat_ws(" ", "candidate", "after").alias("pair"))).distinct()
-    bigrams = cut(words.filter("size(words) > 1").select(grams).groupBy("pair").agg(F.count("*").alias("n_pair")).join(wanted, "pair", "left_semi"))
-    left = bigrams.select(F.col("pair").alias("_l"), F.col("n_pair").alias("n_left"))
-    right = bigrams.select(F.col("pair").alias("_r"), F.col("n_pair").alias("n_right"))
-    ranked = asked.withColumn("_l", F.concat_ws(" ", "before", "candidate")).withColumn("_r", F.concat_ws(" ", "candidate", "after")).join(left, "_l", "left").join(right, "_r", "left")
+    ends = F.size("words") - 1
+    grams = F.explode(F.arrays_zip(F.slice("words", F.lit(1), ends).alias("a"), F.slice("words", F.lit(2), ends).alias("b"))).alias("g")
+    wanted = cut(open_pairs.select(F.col("before").alias("a"), F.col("candidate").alias("b")).unionByName(open_pairs.select(F.col("candidate").alias("a"), F.col("after").alias("b"))).distinct())
+    pairs = words.filter("size(words) > 1").select(grams).select("g.*")
+    # few pairs asked for are looked up before counting; more meet the counts of all pairs
+    if wanted.count() <= few_pairs:
+        pairs = pairs.join(F.broadcast(wanted), ["a", "b"], "left_semi")
+    bigrams = cut(pairs.groupBy("a", "b").agg(F.count("*").alias("n_pair")).join(wanted, ["a", "b"], "left_semi"))
+    left = bigrams.select(F.col("a").alias("before"), F.col("b").alias("candidate"), F.col("n_pair").alias("n_left"))
+    right = bigrams.select(F.col("a").alias("candidate"), F.col("b").alias("after"), F.col("n_pair").alias("n_right"))
+    ranked = asked.join(left, ["before", "candidate"], "left").join(right, ["candidate", "after"], "left")
     context = F.log1p(F.coalesce("n_left", F.lit(0))) + F.log1p(F.coalesce("n_right", F.lit(0)))
     score = context + 0.3 * F.log1p("n") - 2.5 * F.col("cost")
     spot = [*page, "line_no", "next_line", "cut", "word", "sign", "before", "after"]
