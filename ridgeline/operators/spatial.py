@@ -4,14 +4,19 @@ Regions: rings are cut into triangles by ear clipping; the triangles are
 distributed through bounding-volume hierarchies, candidate triangles are tested
 exactly and a region met through several triangles (a shared edge) counts once.
 A hierarchy is broadcast only while it has at most ``max_broadcast`` triangles;
-beyond that the triangles are dealt into shards by a space-filling order of
-their centres, every shard has its own hierarchy, and each point goes only to
-the shards whose bounds hold it.
+beyond that the triangles are dealt into cells of a degree and, where a cell is
+crowded, into shards of about ``shard`` triangles; every shard has its own
+hierarchy, and the points of a cell go to its shards, in as many parts as their
+number asks for.
 
-Neighbours: targets are written into every cell of a latitude/longitude grid
-that their circle touches (longitude wraps at 180, cells widen towards the
-poles), points look up their own cell: an equi join, so no pair is formed that
-is not in the same cell. Distances are exact great-circle distances.
+Circles: the box in latitude and longitude around each circle is two triangles
+(four where it wraps at 180) that go the same way (:func:`within_circles`); the
+pairs found are then tested by their exact great-circle distance.
+
+Neighbours by a grid, for ids of any type: targets are written into every cell
+of a latitude/longitude grid that their circle touches (longitude wraps at 180,
+cells widen towards the poles), points look up their own cell: an equi join, so
+no pair is formed that is not in the same cell (:func:`near`).
 
 Defined cases: points with a null, NaN or impossible coordinate have no row;
 rings with fewer than three distinct corners cover nothing; a point on an edge
@@ -30,6 +35,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline import session
+
 EARTH_KM = 6371.0088
 MAX_BROADCAST = 200_000
 
@@ -214,17 +221,20 @@ def _from_pandas(t: pd.DataFrame) -> Hierarchy:
     return Hierarchy(t.area_id.to_numpy(np.int64), t.is_hole.to_numpy(bool), t[["x0", "y0", "x1", "y1", "x2", "y2"]].to_numpy(float).reshape(-1, 3, 2))
 
 
+_HIT = "_pid long, _x double, _y double, area_id long, hole boolean"
+
+
 def _hits(tree: Hierarchy, ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+    """Every point with every area that it is in, each once."""
     p, area, hole = tree.query(x, y)
-    return pd.DataFrame({"_pid": ids[p], "area_id": area, "hole": hole}).drop_duplicates()
+    once = pd.DataFrame({"p": p, "area_id": area, "hole": hole}).drop_duplicates()
+    at = once.p.to_numpy()
+    return pd.DataFrame({"_pid": ids[at], "_x": x[at], "_y": y[at], "area_id": once.area_id.to_numpy(), "hole": once.hole.to_numpy()})
 
 
-def containing(points: DataFrame, areas: DataFrame, *, point: tuple[str, str, str], max_broadcast: int = MAX_BROADCAST, shard: int = 20_000) -> DataFrame:
-    """point id, area_id of every area that holds the point and none of whose holes does. ``point`` names an id, unique per point, latitude and longitude."""
-    spark = points.sparkSession
-    p = points.select(F.col(point[0]).alias("_pid"), F.col(point[1]).cast("double").alias("_y"), F.col(point[2]).cast("double").alias("_x")).filter(valid_position(F.col("_y"), F.col("_x")))
-    cut = triangles(areas)
-    schema = "_pid long, area_id long, hole boolean"
+def _candidates(p: DataFrame, cut: DataFrame, max_broadcast: int, shard: int, shard_by: list[str], part_points: int = 200_000) -> DataFrame:
+    """_pid, _x, _y, area_id, hole of every point (_pid, _x, _y) and every area of the triangles that it lies in."""
+    spark = p.sparkSession
     few = cut.limit(max_broadcast + 1).toPandas()  # bounded: decides how the triangles travel
     if len(few) <= max_broadcast:
         shared = spark.sparkContext.broadcast(few)
@@ -236,24 +246,56 @@ def containing(points: DataFrame, areas: DataFrame, *, point: tuple[str, str, st
             for batch in batches:
                 yield _hits(trees[0], batch._pid.to_numpy(), batch._x.to_numpy(), batch._y.to_numpy())
 
-        hits = p.mapInPandas(look_up, schema)
-        within = hits.groupBy("_pid", "area_id").agg(F.max("hole").alias("hole"))
-    else:
-        grid = 1.0
-        cells = lambda c: F.floor(c / grid).cast("int")
-        t = cut.withColumn("_lx", F.least("x0", "x1", "x2")).withColumn("_hx", F.greatest("x0", "x1", "x2")).withColumn("_ly", F.least("y0", "y1", "y2")).withColumn("_hy", F.greatest("y0", "y1", "y2"))
-        t = t.withColumn("_cx", F.explode(F.sequence(cells(F.col("_lx")), cells(F.col("_hx"))))).withColumn("_cy", F.explode(F.sequence(cells(F.col("_ly")), cells(F.col("_hy")))))
-        count = t.groupBy("_cx", "_cy").agg(F.ceil(F.count("*") / shard).cast("int").alias("_n"))
-        t = t.join(count, ["_cx", "_cy"]).withColumn("_s", F.pmod(F.xxhash64("area_id", "x0", "y0", "x1", "y1"), F.col("_n")).cast("int")).drop("_n")
-        # points of a crowded cell are split too: a part of them meets each shard in its own task
-        q = p.withColumn("_cx", cells(F.col("_x"))).withColumn("_cy", cells(F.col("_y"))).join(F.broadcast(count) if count.limit(10_001).count() <= 10_000 else count, ["_cx", "_cy"])
-        q = q.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n").withColumn("_part", F.pmod(F.xxhash64("_pid"), F.lit(16)).cast("int"))
-        t = t.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(15))))
-
-        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            return _hits(_from_pandas(right), left._pid.to_numpy(), left._x.to_numpy(), left._y.to_numpy())
-
-        keys = ["_cx", "_cy", "_s", "_part"]
-        hits = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(meet, schema)
-        within = hits.groupBy("_pid", "area_id").agg(F.max("hole").alias("hole"))
+        return p.mapInPandas(look_up, _HIT)
+    cell = ["_cx", "_cy"]
+    cells = lambda c: F.floor(c).cast("int")
+    t = cut.select("*", F.explode(F.sequence(cells(F.least("x0", "x1", "x2")), cells(F.greatest("x0", "x1", "x2")))).alias("_cx"))
+    t = t.select("*", F.explode(F.sequence(cells(F.least("y0", "y1", "y2")), cells(F.greatest("y0", "y1", "y2")))).alias("_cy"))
+    q = p.withColumn("_cx", cells(F.col("_x"))).withColumn("_cy", cells(F.col("_y")))
+    # a row per cell: how many shards its triangles need, and how many parts its points
+    count = session.cut(t.groupBy(*cell).agg(F.ceil(F.count("*") / shard).cast("int").alias("_n")).join(q.groupBy(*cell).agg(F.ceil(F.count("*") / part_points).cast("int").alias("_m")), cell))
+    t = t.join(count, cell).withColumn("_s", F.pmod(F.xxhash64(*shard_by), F.col("_n")).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+    q = q.join(count, cell).withColumn("_part", F.pmod(F.xxhash64("_pid"), F.col("_m")).cast("int")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _hits(_from_pandas(right), left._pid.to_numpy(), left._x.to_numpy(), left._y.to_numpy())
+
+    keys = [*cell, "_s", "_part"]
+    return q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(meet, _HIT)
+
+
+def _points(points: DataFrame, point: tuple[str, str, str]) -> DataFrame:
+    p = points.select(F.col(point[0]).alias("_pid"), F.col(point[1]).cast("double").alias("_y"), F.col(point[2]).cast("double").alias("_x"))
+    return p.filter(valid_position(F.col("_y"), F.col("_x")))
+
+
+def containing(points: DataFrame, areas: DataFrame, *, point: tuple[str, str, str], max_broadcast: int = MAX_BROADCAST, shard: int = 20_000) -> DataFrame:
+    """point id, area_id of every area that holds the point and none of whose holes does. ``point`` names an id, unique per point, latitude and longitude."""
+    hits = _candidates(_points(points, point), triangles(areas), max_broadcast, shard, ["area_id", "x0", "y0", "x1", "y1"])
+    within = hits.groupBy("_pid", "area_id").agg(F.max("hole").alias("hole"))
     return within.filter(~F.col("hole")).select(F.col("_pid").alias(point[0]), "area_id")
+
+
+def circle_triangles(targets: DataFrame, radius_km: float, target: tuple[str, str, str]) -> DataFrame:
+    """area_id (the target's id), is_hole and the six coordinates of the triangles that cover each target's circle."""
+    degrees = math.degrees(radius_km / EARTH_KM) * (1 + 1e-9) + 1e-12
+    t = targets.select(F.col(target[0]).alias("area_id"), F.col(target[1]).alias("_lat"), F.col(target[2]).alias("_lon")).filter(valid_position(F.col("_lat"), F.col("_lon")))
+    # half width in longitude of the circle; all longitudes once it reaches a pole
+    ratio = F.lit(math.sin(math.radians(degrees))) / F.cos(F.radians("_lat"))
+    width = F.when((F.abs("_lat") + degrees >= 90.0) | (ratio >= 1), 180.0).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * (1 + 1e-9) + 1e-12)
+    west, east = F.col("_lon") - width, F.col("_lon") + width
+    span = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    whole, low, high = F.lit(-180.0), F.greatest(west, F.lit(-180.0)), F.least(east, F.lit(180.0))
+    spans = F.when(width >= 180, F.array(span(whole, F.lit(180.0)))).otherwise(F.concat(F.array(span(low, high)), F.when(west < -180, F.array(span(west + 360, F.lit(180.0)))).when(east > 180, F.array(span(whole, east - 360))).otherwise(F.array().cast("array<struct<a:double,b:double>>"))))
+    t = t.select("area_id", F.greatest(F.col("_lat") - degrees, F.lit(-90.0)).alias("s"), F.least(F.col("_lat") + degrees, F.lit(90.0)).alias("n"), F.explode(spans).alias("w"))
+    corner = lambda x, y, i: [F.col(f"w.{x}").alias(f"x{i}"), F.col(y).alias(f"y{i}")]
+    halves = F.array(F.struct(*corner("a", "s", 0), *corner("b", "s", 1), *corner("b", "n", 2)), F.struct(*corner("a", "s", 0), *corner("b", "n", 1), *corner("a", "n", 2)))
+    return t.select("area_id", F.lit(False).alias("is_hole"), F.explode(halves).alias("h")).select("area_id", "is_hole", "h.*")
+
+
+def within_circles(points: DataFrame, targets: DataFrame, radius_km: float, *, point: tuple[str, str, str], target: tuple[str, str, str], max_broadcast: int = MAX_BROADCAST, shard: int = 20_000) -> DataFrame:
+    """point id, target id, distance_km of every pair within ``radius_km`` (inclusive), by the hierarchy over the circles. Ids are whole numbers; target ids are unique."""
+    hits = _candidates(_points(points, point), circle_triangles(targets, radius_km, target), max_broadcast, shard, ["area_id"])  # a circle's triangles stay together
+    t = targets.select(F.col(target[0]).alias("area_id"), F.col(target[1]).alias("_tlat"), F.col(target[2]).alias("_tlon"))
+    pairs = hits.join(t, "area_id").withColumn("distance_km", haversine_km(F.col("_y"), F.col("_x"), F.col("_tlat"), F.col("_tlon")))
+    return pairs.filter(F.col("distance_km") <= radius_km).select(F.col("_pid").alias(point[0]), F.col("area_id").alias(target[0]), "distance_km")

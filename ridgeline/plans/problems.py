@@ -53,7 +53,7 @@ def p3_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "photo_analysis").select("record_id", "latitude", "longitude")
     peaks = table(spark, sf_dir, "peaks").select("peak_id", "lat", "lon")
-    close = spatial.near(records, peaks, NEAR_KM, point=("record_id", "latitude", "longitude"), target=("peak_id", "lat", "lon"))
+    close = spatial.within_circles(records, peaks, NEAR_KM, point=("record_id", "latitude", "longitude"), target=("peak_id", "lat", "lon"))
     inside = spatial.containing(records, table(spark, sf_dir, "areas"), point=("record_id", "latitude", "longitude"))
     return close.select("record_id", F.lit("peak").alias("target_kind"), F.col("peak_id").alias("target_id")).unionByName(inside.select("record_id", F.lit("area").alias("target_kind"), F.col("area_id").alias("target_id")))
 

@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from ridgeline.operators import spatial as S
 
 
@@ -77,3 +79,23 @@ def test_triangles_keep_the_area():
         part = sum(abs((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])) for a, b, c in t)
         whole = abs(sum(xs[i - 1] * ys[i] - xs[i] * ys[i - 1] for i in range(len(xs))))
         assert abs(part - whole) < 1e-9 * max(1, whole)
+
+
+@pytest.mark.parametrize("limit", [100_000, 3])
+def test_circles_against_brute_force(spark, limit):
+    rng = random.Random(11)
+    spot = lambda: rng.choice([(rng.uniform(-90, 90), rng.uniform(-180, 180)), (rng.uniform(45, 45.3), rng.uniform(7, 7.3)), (rng.uniform(88.5, 90), rng.uniform(-180, 180)), (rng.uniform(-1, 1), rng.choice([-1, 1]) * rng.uniform(179.5, 180)), (90.0, 0.0), (-90.0, 10.0)])
+    points = [(i, *spot()) for i in range(400)] + [(1000, None, 1.0), (1001, float("nan"), 1.0), (1002, 91.0, 0.0), (3, 45.1, 7.1), (3, 45.1, 7.1)]
+    targets = [(i, *spot()) for i in range(120)] + [(500, None, 1.0), (501, 45.1, 7.1)]
+    p = spark.createDataFrame([(*r, "clash") for r in points], "pid long, lat double, lon double, area_id string")
+    t = spark.createDataFrame(targets, "tid long, lat double, lon double")
+    got = sorted((r.pid, r.tid) for r in S.within_circles(p, t, 15.0, point=("pid", "lat", "lon"), target=("tid", "lat", "lon"), max_broadcast=limit, shard=2).collect())
+
+    def km(a, b):
+        (_, y1, x1), (_, y2, x2) = a, b
+        h = math.sin(math.radians(y2 - y1) / 2) ** 2 + math.cos(math.radians(y1)) * math.cos(math.radians(y2)) * math.sin(math.radians(x2 - x1) / 2) ** 2
+        return 2 * S.EARTH_KM * math.asin(min(1, math.sqrt(h)))
+
+    ok = lambda r: r[1] is not None and r[1] == r[1] and abs(r[1]) <= 90
+    assert got == sorted((a[0], b[0]) for a in points if ok(a) for b in targets if ok(b) and km(a, b) <= 15.0)
+    assert S.within_circles(p.limit(0), t, 15.0, point=("pid", "lat", "lon"), target=("tid", "lat", "lon")).count() == 0
