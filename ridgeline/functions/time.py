@@ -27,11 +27,16 @@ def filename_datetime(name: Column) -> Column:
     return F.when(part(1) != "", text).try_cast("timestamp_ntz")
 
 
+#: Year, sign, month, day, hour and minute, seconds.
+EXIF_FORM = r"^(\d{4})([:-])(\d{2})[:-](\d{2}) (\d{2}:\d{2})(:\d{2})?$"
+
+
 def exif_datetime(raw: Column) -> Column:
     """One of three written forms; NULs are cut, year zero is null."""
     clean = F.trim(F.replace(raw, F.lit("\x00"), F.lit("")))
-    shaped = F.regexp_replace(clean, r"^(\d{4})[:-](\d{2})[:-](\d{2}) (\d{2}:\d{2})(:\d{2})?$", "$1-$2-$3 $4$5")
-    return F.when(clean.rlike(r"^\d{4}([:-])\d{2}\1\d{2} \d{2}:\d{2}(:\d{2})?$") & ~clean.startswith("0000"), shaped).try_cast("timestamp_ntz")
+    shaped = F.regexp_replace(clean, EXIF_FORM, "$1-$3-$4 $5$6")
+    same = F.substring(clean, 5, 1) == F.substring(clean, 8, 1)
+    return F.when(clean.rlike(EXIF_FORM) & same & ~clean.startswith("0000"), shaped).try_cast("timestamp_ntz")
 
 
 def seconds_between(earlier: Column, later: Column) -> Column:
@@ -41,8 +46,20 @@ def seconds_between(earlier: Column, later: Column) -> Column:
 
 
 def gap_label(seconds: Column) -> Column:
-    """Hours below two days, days with one decimal below sixty, else whole days."""
-    return F.when(seconds < 48 * 3600, F.format_string("%.0f h", seconds / 3600)).when(seconds < 60 * 86400, F.format_string("%.1f days", seconds / 86400)).otherwise(F.format_string("%.0f days", seconds / 86400))
+    """Tenths of hours below two days, tenths of days below sixty, else whole days; exact halves are rounded up."""
+    tenths = lambda n: F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+    whole = lambda unit: F.round(seconds / unit).cast("bigint")
+    return F.when(seconds < 48 * 3600, F.concat(tenths(whole(360.0)), F.lit("h"))).when(seconds < 60 * 86400, F.concat(tenths(whole(8640.0)), F.lit(" days"))).otherwise(F.concat(whole(86400.0).cast("string"), F.lit(" days")))
+
+
+def iso_text(ts: Column) -> Column:
+    """ISO form of a zoneless moment; microseconds only if there are any."""
+    micros = F.unix_micros(ts.cast("timestamp")) % 1_000_000
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros == 0, "").otherwise(F.date_format(ts, ".SSSSSS")))
+
+
+def span_days(start: Column, end: Column) -> Column:
+    return seconds_between(start, end) / 86400
 
 
 def date_range(start: Column, end: Column) -> Column:

@@ -19,12 +19,6 @@ def _rank(column: str, ranks: dict[str, int], default: int) -> Column:
     return out
 
 
-def keeper_order() -> list[Column]:
-    """By pixels, bytes, an EXIF time, a position; each larger first."""
-    pixels = F.coalesce(F.col("width").cast("bigint") * F.col("height").cast("bigint"), F.lit(0))
-    return [F.desc(pixels), F.desc(F.coalesce("size_bytes", F.lit(-1))), F.desc(F.coalesce(F.col("timestamp_source") == "exif", F.lit(False))), F.desc(F.col("lat").isNotNull() & F.col("lon").isNotNull())]
-
-
 def exact_roles(photos: DataFrame, key: str = "content_key", path: str = "source_path") -> DataFrame:
     """path, role (keep or exact), duplicate_of of photos that share a key. Keepers by aggregation, so a key of a third of all photos is no hot group."""
     pixels = F.coalesce(F.col("width").cast("bigint") * F.col("height").cast("bigint"), F.lit(0))
@@ -45,20 +39,37 @@ def usable_hash(h: Column) -> Column:
     return F.bit_count(h).between(fixed.NEAR_MIN_BITS, fixed.NEAR_MAX_BITS)
 
 
+def near_classes(items: DataFrame, *, item: str, phash: str, ts: str, hours: float = fixed.NEAR_WINDOW_HOURS, band_bits: int = 16) -> DataFrame:
+    """band, h, cell, first, t0, t1: items of one hash in one span of ``hours`` are all near each other and so are one class, named by its first item; items of unknown time, which are near any, are a class of their own."""
+    rows = items.select(F.col(item).alias("item"), F.col(phash).alias("h"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).filter(F.col("h").isNotNull() & usable_hash(F.col("h")))
+    rows = rows.withColumn("cell", F.floor(F.col("t") / (hours * 3.6e9)))
+    return rows.groupBy(F.shiftrightunsigned("h", 64 - band_bits).alias("band"), "h", "cell").agg(F.min("item").alias("first"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+
+
+def near_members(items: DataFrame, *, item: str, phash: str, ts: str, hours: float = fixed.NEAR_WINDOW_HOURS) -> DataFrame:
+    """item, first: the class of every item with a usable hash."""
+    cell = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (hours * 3.6e9))
+    rows = items.select(F.col(item).alias("item"), F.col(phash).alias("h"), cell.alias("cell"))
+    classes = near_classes(items, item=item, phash=phash, ts=ts, hours=hours).select(F.col("h").alias("_h"), F.col("cell").alias("_cell"), "first")
+    return rows.join(classes, (F.col("h") == F.col("_h")) & F.col("cell").eqNullSafe(F.col("_cell"))).select("item", "first")
+
+
 def near_pairs(items: DataFrame, *, item: str, phash: str, ts: str, bits: int = fixed.NEAR_BITS, hours: float = fixed.NEAR_WINDOW_HOURS, band_bits: int = 16) -> DataFrame:
-    """item_a < item_b, bits: pairs of one band (the hash's top bits) at most ``bits`` apart and not more than ``hours`` in time, unknown times passing.
+    """item_a < item_b, bits: pairs of classes (:func:`near_classes`) of one band, the hash's top bits, at most ``bits`` apart, of which some members are not more than ``hours`` apart in time.
 
-    Equal hashes are one vertex of the pair search: a hash that many share meets
-    the hashes of its band once.
+    Every link between items of different classes is one of a pair of classes; links inside a class follow from its members, so no hash is written out pair by pair. The closest members of two classes are the last of the earlier and the first of the later, so the pair is decided by the classes' first and last times.
     """
-    rows = items.select(F.col(item).alias("item"), F.col(phash).alias("h"), F.col(ts).alias("ts")).filter(F.col("h").isNotNull() & usable_hash(F.col("h")))
-    hashes = rows.select("h", F.shiftrightunsigned("h", 64 - band_bits).alias("band")).distinct()
-    left, right = hashes.select(F.col("h").alias("ha"), "band"), hashes.select(F.col("h").alias("hb"), "band")
-    close = left.join(right, "band").withColumn("bits", F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))).filter((F.col("bits") <= bits) & (F.col("ha") <= F.col("hb"))).select("ha", "hb", "bits")
-    a, b = rows.select(F.col("item").alias("a"), F.col("h").alias("ha"), F.col("ts").alias("ta")), rows.select(F.col("item").alias("b"), F.col("h").alias("hb"), F.col("ts").alias("tb"))
-    pairs = close.join(a, "ha").join(b, "hb").filter((F.col("ha") != F.col("hb")) | (F.col("a") < F.col("b")))
-    pairs = pairs.filter(F.coalesce(F.abs(seconds_between(F.col("ta"), F.col("tb"))) <= hours * 3600, F.lit(True)))
-    return pairs.select(F.least("a", "b").alias("item_a"), F.greatest("a", "b").alias("item_b"), "bits")
+    classes = near_classes(items, item=item, phash=phash, ts=ts, hours=hours, band_bits=band_bits)
+    side = lambda df, x: df.select("band", "cell", F.col("h").alias(f"h{x}"), F.col("first").alias(f"item_{x}"), F.col("t0").alias(f"from_{x}"), F.col("t1").alias(f"to_{x}"))
+    timed, untimed = classes.filter("cell is not null"), classes.filter("cell is null")
+    # classes near in time lie in one span or in two that touch
+    beside = timed.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
+    apart = F.greatest(F.col("from_b") - F.col("to_a"), F.col("from_a") - F.col("to_b"), F.lit(0))
+    near = side(timed, "a").join(side(beside, "b"), ["band", "cell"]).filter((F.col("item_a") < F.col("item_b")) & (apart <= hours * 3.6e9))
+    any_time = side(untimed, "a").drop("cell").join(side(classes, "b"), "band").filter((F.col("item_a") < F.col("item_b")) | (F.col("cell").isNotNull() & (F.col("item_a") != F.col("item_b"))))
+    both = near.select("ha", "hb", "item_a", "item_b").unionByName(any_time.select("ha", "hb", "item_a", "item_b"))
+    both = both.withColumn("bits", F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))).filter(F.col("bits") <= bits)
+    return both.select(F.least("item_a", "item_b").alias("item_a"), F.greatest("item_a", "item_b").alias("item_b"), "bits")
 
 
 def near_pieces(rows: DataFrame, window: int) -> DataFrame:
@@ -114,3 +125,26 @@ def elect(members: DataFrame, group: str, *tie: str) -> DataFrame:
     judged = members.filter("judged")
     w = Window.partitionBy(group).orderBy(*photographic_order(), *tie)
     return judged.withColumn("n_judged", F.count("*").over(Window.partitionBy(group))).withColumn("_r", F.row_number().over(w)).filter("_r = 1 and n_judged >= 2").drop("_r")
+
+
+def _best(when: Column, *keys: Column) -> Column:
+    """The last of ``keys`` of the member that has the least of them, among those with ``when``."""
+    named = [k.alias(f"k{i}") for i, k in enumerate(keys)]
+    return F.min(F.when(when, F.struct(*named)))[f"k{len(keys) - 1}"]
+
+
+def metadata_keys(path: str) -> list[Column]:
+    """Keys whose least is the member with most pixels, most bytes, an EXIF time and a position; of equals the first path."""
+    pixels = F.coalesce(F.col("width").cast("bigint") * F.col("height").cast("bigint"), F.lit(0))
+    flag = lambda c: F.when(F.coalesce(c, F.lit(False)), 0).otherwise(1)
+    return [-pixels, -F.coalesce(F.col("size_bytes"), F.lit(-1)), flag(F.col("timestamp_source") == "exif"), flag(F.col("lat").isNotNull() & F.col("lon").isNotNull()), F.col(path)]
+
+
+def reelect(members: DataFrame, group: str, path: str, *, measure: str) -> DataFrame:
+    """group, before, keeper, reason: the keeper of every group. If two or more members are judged, the best judged one; else, if two or more have a ``measure`` of sharpness, the one with the largest; else the one by metadata, which is ``before``. Ties go to the keeper by metadata keys. One aggregation with map-side combining."""
+    keys = metadata_keys(path)
+    photographic = [-_rank("sharpness", fixed.SHARPNESS_RANK, 1), -_rank("gaze", fixed.GAZE_RANK, 1), F.coalesce("eyes_closed_count", F.lit(0)), -_rank("composition", fixed.COMPOSITION_RANK, 1), -F.coalesce("aesthetic_score", F.lit(0)), F.when(F.coalesce(F.col("exposure") == "good", F.lit(False)), 0).otherwise(1)]
+    judged, measured = F.coalesce("judged", F.lit(False)), F.col(measure).isNotNull()
+    best = members.groupBy(group).agg(_best(F.lit(True), *keys).alias("before"), _best(judged, *photographic, *keys).alias("_j"), _best(measured, -F.col(measure), *keys).alias("_m"), F.count_if(judged).alias("_nj"), F.count_if(measured).alias("_nm"))
+    by = lambda j, m, other: F.when(F.col("_nj") >= 2, j).when(F.col("_nm") >= 2, m).otherwise(other)
+    return best.select(group, "before", by(F.col("_j"), F.col("_m"), F.col("before")).alias("keeper"), by(F.lit("judged"), F.lit("measured"), F.lit("metadata")).alias("reason"))

@@ -62,7 +62,7 @@ def sessions(items: DataFrame, *, library: str, item: str, ts: str = "taken_ts",
     km = haversine_km(F.col("_last.lat"), F.col("_last.lon"), F.col("_fix.lat"), F.col("_fix.lon"))
     df = df.withColumn("_js", F.coalesce((F.col("_ts") == 0) & (km > jump_km) & (F.col("_gap") >= jump_minutes * 60), F.lit(False)))
     gap = F.col("_ts") == 1
-    reason = F.when(gap & F.col(ts).isNull(), "no timestamp").when(gap, F.concat(F.lit("time gap of "), gap_label(F.col("_gap")))).when(F.col("_js"), F.lit("location jump"))
+    reason = F.when(gap & F.col(ts).isNull(), "no timestamp").when(gap, F.concat(F.lit("time gap "), gap_label(F.col("_gap")))).when(F.col("_js"), F.concat(F.lit("location jump "), F.round(km).cast("bigint").cast("string"), F.lit("km")))
     df = cut(df.withColumn("_new", (gap | F.col("_js")).cast("int")).withColumn("split_reason", reason).select(*columns, *span, "_new", "split_reason"))
     df = df.join(_before(df, ["_l"], "_b", "_new"), span).withColumn("session_no", F.sum("_new").over(sofar) + F.col("_before") + 1)
     return df.select(*columns, "session_no", "split_reason")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions import fixed, geo, text, time
 from ridgeline.operators import classify, duplicates, fusion, resolve, schema_drift, search, sessions, spatial, store
-from ridgeline.session import ensure_checkpoint_dir
+from ridgeline.session import cut, shared_folder
 from ridgeline.sources.tables import spread, table
 from ridgeline.streaming import live
 
@@ -113,7 +111,7 @@ def blacklist_words(spark, sf_dir):
 
 
 def text_rank(spark, sf_dir):
-    """The six pages with most words per language of a model run."""
+    """The six pages with most words of each country."""
     r = _records(spark, sf_dir).select("record_id", "country_code", text.long_words(F.col("visible_text")).alias("words")).filter("words >= 3 and country_code is not null")
     return sessions.top_k(r, ["country_code"], 6, F.desc("words"), "record_id")
 
@@ -134,7 +132,7 @@ def enum_coercion(spark, sf_dir):
 
 
 def versioned_reparse(spark, sf_dir):
-    """Activity of the record: of the payload if its version is current, else of the reply."""
+    """Country of the record: of the payload if its version is current, else of the reply."""
     a = table(spark, sf_dir, "analysis").select("analysis_id", "schema_version", "payload", "raw_response")
     read = lambda c: F.try_variant_get(F.try_parse_json(c), "$.country_code", "string")
     return a.select("analysis_id", F.when(F.col("schema_version") == fixed.SCHEMA_VERSION, read(F.col("payload"))).otherwise(read(schema_drift.reply_object(F.col("raw_response")))).alias("country_code"))
@@ -224,7 +222,7 @@ def search_with_grades(spark, sf_dir):
 
 
 def session_items(spark, sf_dir):
-    return _sessions(spark, sf_dir).select("source_path", F.col("session_no").cast("bigint").alias("session_no"), F.when(F.col("split_reason").startswith("time gap"), "time gap").otherwise(F.col("split_reason")).alias("reason"))
+    return _sessions(spark, sf_dir).select("source_path", F.col("session_no").cast("bigint").alias("session_no"), F.col("split_reason").alias("reason"))
 
 
 def session_summary(spark, sf_dir):
@@ -289,7 +287,7 @@ def merge_into_previous(spark, sf_dir):
 
 
 def folder_names(spark, sf_dir):
-    """Country, region or range, place, activity and date of each record's folder."""
+    """Country, region or range, place and activity of the folder that a record alone would have; event_folders adds the date."""
     r = _records(spark, sf_dir)
     vague = F.lower(text.slug(F.col("mountain_range"))).isin(fixed.VAGUE_REGIONS)
     area = F.coalesce(F.col("region"), F.when(~vague, F.col("mountain_range")))
@@ -307,18 +305,23 @@ def exact_dups(spark, sf_dir):
 
 
 def _hashes(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").filter(F.size("embedding") >= 64)
-    noise = F.transform("embedding", lambda x, i: F.when(i < 56, F.lit(1.0) * F.when((i % 2) == 0, 1).otherwise(-1)).otherwise(x))
-    h = duplicates.sign_bits(noise)
-    return v.select(F.col("vec_id").alias("item"), h.alias("h"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("vec_id") * 600).alias("ts"))
+    """The signs of the first 64 numbers of every photo's latest vector stand for its perceptual hash; the time is the first that a scan gives it."""
+    v = table(spark, sf_dir, "clip_embedding").filter("content_hash is not null and size(vector) >= 64").groupBy("content_hash").agg(F.max(F.struct("made_at", "vector")).alias("r"))
+    taken = table(spark, sf_dir, "photos").groupBy(F.col("content_key").alias("content_hash")).agg(F.min("taken_ts").alias("ts"))
+    return v.select("content_hash", duplicates.sign_bits(F.col("r.vector")).alias("h")).join(taken, "content_hash", "left").select(F.col("content_hash").alias("item"), "h", "ts")
 
 
 def near_dup_pairs(spark, sf_dir):
-    return duplicates.near_pairs(_hashes(spark, sf_dir), item="item", phash="h", ts="ts", bits=2)
+    """Pairs of classes of near duplicates; near_dup_classes has their members."""
+    return duplicates.near_pairs(_hashes(spark, sf_dir), item="item", phash="h", ts="ts")
+
+
+def near_dup_classes(spark, sf_dir):
+    return duplicates.near_members(_hashes(spark, sf_dir), item="item", phash="h", ts="ts")
 
 
 def near_dup_groups(spark, sf_dir):
-    return duplicates.near_groups(_hashes(spark, sf_dir), item="item", phash="h", ts="ts", bits=2)
+    return duplicates.near_groups(_hashes(spark, sf_dir), item="item", phash="h", ts="ts")
 
 
 def keeper_election(spark, sf_dir):
@@ -330,16 +333,53 @@ def keeper_election(spark, sf_dir):
     return duplicates.elect(members, "group_id", "source_path").select("group_id", "source_path", "n_judged")
 
 
+def _group_members(spark, sf_dir):
+    """group_id, kind, source_path of the latest row of each group, each member once."""
+    g = table(spark, sf_dir, "dup_group").filter("group_id is not null").groupBy("group_id").agg(F.max(F.struct("found_at", "kind", "photos")).alias("g"))
+    return g.select("group_id", "g.kind", F.explode(F.array_distinct("g.photos")).alias("source_path")).filter("source_path is not null")
+
+
+def keeper_reelection(spark, sf_dir):
+    """The keeper of every group by the best evidence there is; the scenic score stands for a measure of sharpness."""
+    r = _records(spark, sf_dir).groupBy(F.col("content_hash").alias("content_key")).agg(F.min_by(F.struct("sharpness", "gaze", "eyes_closed_count", "composition", "aesthetic_score", "exposure"), "record_id").alias("a"))
+    members = _group_members(spark, sf_dir).join(_photos(spark, sf_dir), "source_path").join(r, "content_key", "left")
+    members = members.select("group_id", "source_path", "width", "height", "size_bytes", "timestamp_source", "lat", "lon", "scenic_score", "a.*", F.col("a").isNotNull().alias("judged"))
+    return duplicates.reelect(members, "group_id", "source_path", measure="scenic_score").withColumn("changed", F.col("before") != F.col("keeper"))
+
+
+def _near_roles(spark, sf_dir):
+    """source_path, keeper of the members of near groups but the keeper by metadata; of several groups the first."""
+    members = _group_members(spark, sf_dir).filter("kind = 'near'")
+    best = members.join(_photos(spark, sf_dir), "source_path").groupBy("group_id").agg(F.min(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(duplicates.metadata_keys("source_path"))]))["k4"].alias("keeper"))
+    return members.join(best, "group_id").filter("source_path <> keeper").groupBy("source_path").agg(F.min_by("keeper", "group_id").alias("keeper"))
+
+
+def _routes(spark, sf_dir):
+    """source_path, size_bytes, route (rejected, duplicate or normal), folder, name of the copy of each photo."""
+    p = sessions.sessions(_photos(spark, sf_dir, "top_folder", "content_key", "reject_reason", "size_bytes", "timestamp_source", "lat", "lon", "width", "height", "taken_ts"), library="top_folder", item="source_path")
+    start = p.groupBy("top_folder", "session_no").agg(F.min("taken_ts").alias("_start"))
+    named = F.concat(F.coalesce(F.date_format("_start", "yyyy"), F.lit("0000")), F.lit("/"), text.safe_label(F.col("top_folder")), F.lit("_Event"), F.lpad(F.col("session_no").cast("string"), F.greatest(F.lit(3), F.length(F.col("session_no").cast("string"))), F.lit("0")))
+    p = cut(p.join(start, ["top_folder", "session_no"]).withColumn("event", named))
+    exact = duplicates.exact_roles(p).filter("role = 'exact'").select("source_path", F.col("duplicate_of").alias("_exact"))
+    near = _near_roles(spark, sf_dir).select("source_path", F.col("keeper").alias("_near"))
+    p = p.join(exact, "source_path", "left").join(near, "source_path", "left").withColumn("keeper", F.coalesce("_exact", "_near"))
+    p = p.join(p.select(F.col("source_path").alias("keeper"), F.col("event").alias("keeper_event")), "keeper", "left")
+    name = text.base_name(F.col("source_path"))
+    twin = F.concat(text.stem(F.col("source_path")), F.lit("_duplicate"), F.regexp_extract(name, "(?<=.)(\\.[^.]*)$", 1))
+    route = F.when(F.col("reject_reason").isNotNull(), "rejected").when(F.col("keeper").isNotNull(), "duplicate").otherwise("normal")
+    folder = F.when(F.col("route") == "rejected", F.concat(F.lit("rejected/"), "reject_reason")).when(F.col("route") == "duplicate", F.coalesce("keeper_event", "event")).otherwise(F.col("event"))
+    p = p.withColumn("route", route).select("source_path", "size_bytes", "route", folder.alias("folder"), F.when(F.col("route") == "duplicate", twin).otherwise(name).alias("name"))
+    return store.with_free_names(p, ["folder"], "name", "dest_name", F.col("route") == "duplicate", "source_path")
+
+
 def copy_routes(spark, sf_dir):
-    """Where a copy of each photo goes: rejected aside, duplicates beside their keeper."""
-    p = _photos(spark, sf_dir, "top_folder", "content_key", "reject_reason", "size_bytes", "timestamp_source", "lat", "lon", "width", "height", "taken_ts", "camera_model", "scenic_score")
-    roles = duplicates.exact_roles(p)
-    d = p.join(roles, "source_path", "left")
-    year = F.coalesce(F.date_format("taken_ts", "yyyy"), F.lit("0000"))
-    name, stem = text.base_name(F.col("source_path")), text.stem(F.col("source_path"))
-    ext = F.regexp_extract(name, "(?<=.)(\\.[^.]*)$", 1)
-    dest = F.when(F.col("reject_reason").isNotNull(), F.concat(F.lit("rejected/"), F.col("reject_reason"), F.lit("/"), name)).when(F.col("role") == "exact", F.concat(year, F.lit("/"), stem, F.lit("_duplicate"), ext)).otherwise(F.concat(year, F.lit("/"), name))
-    return d.select("source_path", dest.alias("dest"))
+    """Where the copy of each photo goes: rejected ones aside, duplicates beside their keeper, no two to one place."""
+    return _routes(spark, sf_dir).select("source_path", F.concat_ws("/", "folder", "dest_name").alias("dest"))
+
+
+def copy_counters(spark, sf_dir):
+    """Photos and bytes of each route of the copy."""
+    return _routes(spark, sf_dir).groupBy("route").agg(F.count("*").alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
 
 
 # --- names and places ---------------------------------------------------------------
@@ -423,7 +463,7 @@ def embed_tags(spark, sf_dir):
 
 def page_score(spark, sf_dir):
     p = _prompts(spark, sf_dir, 5).tolist()
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(classify.first_share(F.col("embedding"), p, 2, 1.0), 6).alias("score"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(classify.first_share(F.col("embedding"), p, 2, fixed.PAGE_SCALE), 6).alias("score"))
 
 
 # --- store, sinks, streams -------------------------------------------------------------
@@ -450,21 +490,14 @@ def manifest_json(spark, sf_dir):
 
 
 def verified_sink(spark, sf_dir):
-    ensure_checkpoint_dir(spark)
-    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    name = f"{root}/sink-{next(tempfile._get_candidate_names())}"
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     rows = table(spark, sf_dir, "photos").select("scan_row_id", "source_path", "size_bytes", F.coalesce(F.year("taken_ts"), F.lit(0)).alias("year"))
-    return store.verified_write(rows, name, partition=["year"])
+    return store.verified_write(rows, shared_folder(spark, "sink"), partition=["year"])
 
 
 def stream_sessions(spark, sf_dir):
-    ensure_checkpoint_dir(spark)
-    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    name = f"sessions_{next(tempfile._get_candidate_names()).replace('-', '_')}"
     events = live.stream_table(spark, sf_dir, "events.parquet")
     out = live.session_counts(events, key="user_id", ts="ts", gap="12 hours", late="365 days")
-    return live.run_once(out, name, f"{root}/{name}").select("user_id", F.col("start_ts").cast("timestamp_ntz").alias("start_ts"), "n")
+    return live.run_once(out, shared_folder(spark, "sessions")).select("user_id", F.col("start_ts").cast("timestamp_ntz").alias("start_ts"), "n")
 
 
 def preflight(spark, sf_dir):
@@ -478,7 +511,7 @@ QUERIES = {f.__name__: f for f in (
     scan_skip_reasons, survey_by_ext, count_images, filename_datetime, timestamp_fallback, camera_labels, dms_to_degrees, gps_text, season_timeofday, name_normalise, specific_names, route_grades, blacklist_words, text_rank, size_labels,
     json_columns, enum_coercion, versioned_reparse, keywords_builder, safe_text, filter_set, grade_semi_join, pending_keys, multi_get, facets, store_stats, side_counts, search_list_page, search_bm25, search_phrase, search_with_grades,
     session_items, session_summary, small_sessions, trip_merge, topk_scenic, even_sampling, plurality_vote, activity_quorum, name_collisions, dest_collisions, chunk_packing, merge_into_previous, folder_names,
-    exact_dups, near_dup_pairs, near_dup_groups, keeper_election, copy_routes, alias_exact_join, fuzzy_resolve, ngram_in_text, spatial_near, nearest_place, bounds_filter, centroid_bbox,
+    exact_dups, near_dup_pairs, near_dup_classes, near_dup_groups, keeper_election, keeper_reelection, copy_routes, copy_counters, alias_exact_join, fuzzy_resolve, ngram_in_text, spatial_near, nearest_place, bounds_filter, centroid_bbox,
     noisy_or, contradiction_filter, consensus_location, embed_tags, page_score, upsert_latest, pocket_shots, rating_fields, manifest_json, verified_sink, stream_sessions, preflight,
 )}
 

@@ -35,6 +35,8 @@ def _tokens(x: str) -> str:
 _H = "(pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2))"
 _KM = "2 * 6371.0088 * asin(sqrt(CASE WHEN " + _H + " > 1 THEN 1.0 ELSE " + _H + " END))"
 _km = _KM.format
+_tenths = lambda u: f"(round(gap / {u}.0)::BIGINT // 10) || '.' || (round(gap / {u}.0)::BIGINT % 10)"
+_GAP = f"(CASE WHEN gap < 172800 THEN {_tenths(360)} || 'h' WHEN gap < 5184000 THEN {_tenths(8640)} || ' days' ELSE round(gap / 86400.0)::BIGINT || ' days' END)"
 _SESSIONS = f"""{_LP},
 o AS (SELECT *, lag(taken_ts) OVER w AS prev_ts, row_number() OVER w AS rn, max((taken_ts IS NOT NULL)::INT) OVER (PARTITION BY top_folder) AS dated FROM lp WINDOW w AS (PARTITION BY top_folder ORDER BY taken_ts ASC NULLS LAST, source_path)),
 g AS (SELECT *, (epoch_us(taken_ts) - epoch_us(prev_ts)) / 1e6 AS gap FROM o),
@@ -44,7 +46,7 @@ f AS (SELECT *, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN {{'a': lat, '
 l AS (SELECT *, last_value(fix IGNORE NULLS) OVER (PARTITION BY top_folder, seg ORDER BY taken_ts ASC NULLS LAST, source_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lf FROM f),
 j AS (SELECT *, coalesce(NOT tsplit AND {_km("lf.a", "lf.b", "fix.a", "fix.b")} > 15 AND gap >= 1200, false) AS jsplit FROM l),
 sess AS (SELECT *, (sum((tsplit OR jsplit)::INT) OVER (PARTITION BY top_folder ORDER BY taken_ts ASC NULLS LAST, source_path ROWS UNBOUNDED PRECEDING) + 1)::BIGINT AS session_no,
-  CASE WHEN tsplit AND taken_ts IS NULL THEN 'no timestamp' WHEN tsplit THEN 'time gap' WHEN jsplit THEN 'location jump' END AS reason FROM j)"""
+  CASE WHEN tsplit AND taken_ts IS NULL THEN 'no timestamp' WHEN tsplit THEN 'time gap ' || {_GAP} WHEN jsplit THEN 'location jump ' || round({_km("lf.a", "lf.b", "fix.a", "fix.b")})::BIGINT || 'km' END AS reason FROM j)"""
 _SUMMARY = _SESSIONS + """,
 cam AS (SELECT top_folder, session_no, trim(camera_model) AS cam, min({'n': taken_ts IS NULL, 't': taken_ts, 'p': source_path}) AS first_use FROM sess WHERE trim(camera_model) <> '' GROUP BY ALL),
 cams AS (SELECT top_folder, session_no, string_agg(cam, ', ' ORDER BY first_use.n, first_use.t, first_use.p) AS cameras FROM cam GROUP BY ALL),
@@ -61,10 +63,25 @@ bm AS (SELECT record_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-
 _STRENGTH = "least(0.95::DOUBLE, (CASE basis WHEN 'sign_in_scene' THEN 0.92 WHEN 'printed_page' THEN 0.72 WHEN 'landmark_recognition' THEN 0.28 ELSE CASE WHEN basis IS NULL OR basis IN ('none', 'generic_inference', '') THEN 0.28 ELSE 0 END END)::DOUBLE * (CASE confidence WHEN 'high' THEN 1.1 WHEN 'low' THEN 0.9 ELSE 1.0 END)::DOUBLE)"
 _CLAIMS = "claims AS (SELECT record_id, mountain_range AS session, verified_peak AS peak, evidence_basis AS basis, location_confidence AS confidence, verified_lat AS lat, verified_lon AS lon, latitude, longitude FROM photo_analysis WHERE mountain_range IS NOT NULL)"
 _KEEP = "coalesce(width::BIGINT * height, 0) DESC, coalesce(size_bytes, -1) DESC, (coalesce(timestamp_source, '') = 'exif')::INT DESC, (lat IS NOT NULL AND lon IS NOT NULL)::INT DESC, source_path"
-_ROLES = f"{_LP}, k AS (SELECT *, count(*) OVER (PARTITION BY content_key) AS n, first_value(source_path) OVER (PARTITION BY content_key ORDER BY {_KEEP}) AS keeper FROM lp WHERE content_key IS NOT NULL), roles AS (SELECT source_path, CASE WHEN source_path = keeper THEN 'keep' ELSE 'exact' END AS role, CASE WHEN source_path <> keeper THEN keeper END AS duplicate_of FROM k WHERE n > 1)"
+_ONLY_ROLES = f"k AS (SELECT *, count(*) OVER (PARTITION BY content_key) AS n, first_value(source_path) OVER (PARTITION BY content_key ORDER BY {_KEEP}) AS keeper FROM lp WHERE content_key IS NOT NULL), roles AS (SELECT source_path, CASE WHEN source_path = keeper THEN 'keep' ELSE 'exact' END AS role, CASE WHEN source_path <> keeper THEN keeper END AS duplicate_of FROM k WHERE n > 1)"
+_ROLES = f"{_LP}, {_ONLY_ROLES}"
 _SPELL = f"spell AS (SELECT DISTINCT peak_id, elevation, lat, lon, {_normal('name')} AS normal FROM (SELECT peak_id, elevation, lat, lon, unnest(list_concat([peak_name], coalesce(aliases, []))) AS name FROM peaks WHERE coalesce(lat BETWEEN 35 AND 81 AND lon BETWEEN -25 AND 45, true)) WHERE name IS NOT NULL AND {_normal('name')} <> '')"
 _RATIO = "CASE WHEN {0} = {1} THEN 1.0 WHEN len({0}) = 0 OR len({1}) = 0 OR abs(len({0}) - len({1})) / greatest(len({0}), len({1})) > 0.5 THEN 0.0 ELSE 1.0 - levenshtein({0}, {1}) / greatest(len({0}), len({1}))::DOUBLE END"
-_BITS = "SELECT vec_id AS item, list_reduce(list_prepend(0::UBIGINT, [CASE WHEN (CASE WHEN i <= 56 THEN (CASE WHEN i % 2 = 1 THEN 1.0 ELSE -1.0 END) ELSE embedding[i] END) > 0 THEN 1::UBIGINT ELSE 0::UBIGINT END FOR i IN range(1, 65)]), lambda h, x: (h << 1) | x) AS h, epoch_us(make_timestamp((1700000000 + vec_id * 600) * 1000000)) AS t FROM embeddings WHERE len(embedding) >= 64"
+_HASHES = """v AS (SELECT content_hash AS item, arg_max(vector, made_at) AS v FROM clip_embedding WHERE content_hash IS NOT NULL AND len(vector) >= 64 GROUP BY content_hash), tk AS (SELECT content_key, epoch_us(min(taken_ts)) AS t FROM photos GROUP BY content_key),
+hs AS (SELECT item, t, list_reduce(list_prepend(0::UBIGINT, [CASE WHEN x > 0 THEN 1::UBIGINT ELSE 0::UBIGINT END FOR x IN v[1:64]]), lambda h, x: (h << 1) | x) AS h FROM v LEFT JOIN tk ON content_key = item),
+us AS (SELECT *, min(item) OVER (PARTITION BY h, floor(t / 86400000000.0)) AS cl FROM hs WHERE bit_count(h) BETWEEN 12 AND 52)"""
+_MEMBERS = "latest AS (SELECT group_id, arg_max(kind, found_at) AS kind, arg_max(photos, found_at) AS photos FROM dup_group WHERE group_id IS NOT NULL GROUP BY group_id), members AS (SELECT DISTINCT group_id, kind, source_path FROM (SELECT group_id, kind, unnest(photos) AS source_path FROM latest) WHERE source_path IS NOT NULL)"
+_ROUTES = f"""WITH {_SESSIONS}, {_ONLY_ROLES}, {_MEMBERS},
+nk AS (SELECT m.group_id, m.source_path, first_value(m.source_path) OVER (PARTITION BY m.group_id ORDER BY {_KEEP.replace("source_path", "m.source_path")}) AS keeper FROM members m JOIN lp USING (source_path) WHERE kind = 'near'),
+nall AS (SELECT m.group_id, m.source_path, k.keeper FROM members m JOIN (SELECT DISTINCT group_id, keeper FROM nk) k USING (group_id) WHERE kind = 'near' AND m.source_path <> k.keeper), near AS (SELECT source_path, arg_min(keeper, group_id) AS keeper FROM nall GROUP BY source_path),
+ev AS (SELECT source_path, size_bytes, reject_reason, coalesce(strftime(min(taken_ts) OVER (PARTITION BY top_folder, session_no), '%Y'), '0000') || '/' || {_label("top_folder")} || '_Event' || CASE WHEN session_no < 1000 THEN lpad(session_no::VARCHAR, 3, '0') ELSE session_no::VARCHAR END AS event, regexp_extract(source_path, '([^/]*)$', 1) AS base FROM sess),
+kp AS (SELECT ev.*, coalesce(roles.duplicate_of, near.keeper) AS keeper FROM ev LEFT JOIN roles ON roles.source_path = ev.source_path AND role = 'exact' LEFT JOIN near ON near.source_path = ev.source_path),
+rt AS (SELECT kp.*, CASE WHEN kp.reject_reason IS NOT NULL THEN 'rejected' WHEN kp.keeper IS NOT NULL THEN 'duplicate' ELSE 'normal' END AS route, k2.event AS keeper_event FROM kp LEFT JOIN ev k2 ON k2.source_path = kp.keeper),
+nm AS (SELECT source_path, size_bytes, route, CASE route WHEN 'rejected' THEN 'rejected/' || reject_reason WHEN 'duplicate' THEN coalesce(keeper_event, event) ELSE event END AS folder, CASE route WHEN 'duplicate' THEN regexp_replace(base, '(.)\\.[^.]*$', '\\1') || '_duplicate' || regexp_extract(base, '.(\\.[^.]*)$', 1) ELSE base END AS name FROM rt),
+pt AS (SELECT *, regexp_extract(name, '^(.*?)(\\.[^.]*)?$', 1) AS st, regexp_extract(name, '^(.*?)(\\.[^.]*)?$', 2) AS ex, row_number() OVER (PARTITION BY folder, lower(name) ORDER BY route = 'duplicate', source_path) AS n FROM nm),
+cl AS (SELECT folder, regexp_extract(lower(st), '^(.*)_([1-9][0-9]{{0,8}})$', 1) AS s0, lower(ex) AS e0, try_cast(regexp_extract(lower(st), '^(.*)_([1-9][0-9]{{0,8}})$', 2) AS BIGINT) AS t FROM pt),
+tn AS (SELECT folder, s0, e0, list_sort(list(DISTINCT t)) AS ts FROM cl WHERE t >= 2 GROUP BY ALL),
+routes AS (SELECT pt.source_path, size_bytes, route, pt.folder || '/' || CASE WHEN n = 1 THEN name ELSE st || '_' || list_reduce(list_prepend(n, coalesce(ts, [])), lambda x, t: CASE WHEN t <= x THEN x + 1 ELSE x END) || ex END AS dest FROM pt LEFT JOIN tn ON tn.folder = pt.folder AND s0 = lower(st) AND e0 = lower(ex))"""
 
 SQL: dict[str, str] = {
     "scan_skip_reasons": f"WITH {_PATHS} SELECT reason, count(*) AS n FROM judged WHERE reason IS NOT NULL GROUP BY reason",
@@ -110,9 +127,12 @@ SQL: dict[str, str] = {
     "merge_into_previous": f"WITH {_SUMMARY} SELECT top_folder, session_no, max(CASE WHEN session_no = 1 OR items >= 3 THEN session_no END) OVER (PARTITION BY top_folder ORDER BY session_no ROWS UNBOUNDED PRECEDING) AS surviving FROM summary",
     "folder_names": f"WITH r AS (SELECT record_id, country_code, coalesce(region, CASE WHEN lower({_slug('mountain_range')}) NOT IN ({_list(fixed.VAGUE_REGIONS)}) THEN mountain_range END) AS area, verified_peak, CASE WHEN activity NOT IN ('unknown', 'none') THEN activity END AS act FROM photo_analysis), p AS (SELECT record_id, concat_ws('_', nullif({_slug('country_code')}, ''), nullif({_slug('area')}, ''), nullif({_slug('verified_peak')}, '')) AS parts, {_slug('act')} AS a FROM r) SELECT record_id, substring(CASE WHEN a <> '' AND NOT contains(lower(parts), lower(a)) THEN concat_ws('_', nullif(parts, ''), a) ELSE parts END, 1, 60) AS folder FROM p",
     "exact_dups": f"WITH {_ROLES} SELECT * FROM roles",
-    "copy_routes": f"WITH {_ROLES}, d AS (SELECT lp.*, role, regexp_extract(lp.source_path, '([^/]*)$', 1) AS name, coalesce(strftime(taken_ts, '%Y'), '0000') AS y FROM lp LEFT JOIN roles USING (source_path)) SELECT source_path, CASE WHEN reject_reason IS NOT NULL THEN 'rejected/' || reject_reason || '/' || name WHEN role = 'exact' THEN y || '/' || regexp_replace(name, '(.)\\.[^.]*$', '\\1') || '_duplicate' || regexp_extract(name, '.(\\.[^.]*)$', 1) ELSE y || '/' || name END AS dest FROM d",
-    "near_dup_pairs": f"WITH h AS ({_BITS}), u AS (SELECT *, h >> 48 AS band FROM h WHERE bit_count(h) BETWEEN 12 AND 52) SELECT a.item AS item_a, b.item AS item_b, bit_count(xor(a.h, b.h))::INT AS bits FROM u a JOIN u b ON a.band = b.band AND a.item < b.item WHERE bit_count(xor(a.h, b.h)) <= 2 AND abs(a.t - b.t) <= 86400000000",
+    "copy_routes": f"{_ROUTES} SELECT source_path, dest FROM routes",
+    "copy_counters": f"{_ROUTES} SELECT route, count(*) AS n, coalesce(sum(size_bytes), 0)::BIGINT AS bytes FROM routes GROUP BY route",
+    "near_dup_pairs": f"WITH {_HASHES}, c AS (SELECT h, h >> 48 AS band, cl, min(t) AS t0, max(t) AS t1 FROM us GROUP BY h, cl) SELECT a.cl AS item_a, b.cl AS item_b, bit_count(xor(a.h, b.h))::INT AS bits FROM c a JOIN c b ON a.band = b.band AND a.cl < b.cl WHERE bit_count(xor(a.h, b.h)) <= 4 AND (a.t0 IS NULL OR b.t0 IS NULL OR greatest(b.t0 - a.t1, a.t0 - b.t1) <= 86400000000)",
+    "near_dup_classes": f"WITH {_HASHES} SELECT item, cl AS first FROM us",
     "keeper_election": f"WITH {_LP}, g AS (SELECT DISTINCT group_id, unnest(photos) AS source_path FROM dup_group), r AS (SELECT * FROM photo_analysis QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY record_id) = 1), m AS (SELECT g.group_id, g.source_path, r.*, count(*) OVER (PARTITION BY g.group_id) AS n_judged FROM g JOIN lp USING (source_path) JOIN r ON r.content_hash = lp.content_key) SELECT group_id, source_path, n_judged FROM m WHERE n_judged >= 2 QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY CASE sharpness WHEN 'sharp' THEN 3 WHEN 'acceptable' THEN 2 WHEN 'blurry' THEN 0 ELSE 1 END DESC, CASE gaze WHEN 'all_facing' THEN 3 WHEN 'some_facing' THEN 2 WHEN 'none_facing' THEN 0 ELSE 1 END DESC, coalesce(eyes_closed_count, 0), CASE composition WHEN 'good' THEN 3 WHEN 'ordinary' THEN 2 WHEN 'poor' THEN 0 ELSE 1 END DESC, coalesce(aesthetic_score, 0) DESC, coalesce(exposure = 'good', false)::INT DESC, source_path) = 1",
+    "keeper_reelection": f"WITH {_LP}, {_MEMBERS}, r AS (SELECT * FROM photo_analysis QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY record_id) = 1), m AS (SELECT m.group_id, lp.*, r.record_id, sharpness, gaze, eyes_closed_count, composition, aesthetic_score, exposure FROM members m JOIN lp USING (source_path) LEFT JOIN r ON r.content_hash = lp.content_key), k AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY {_KEEP}) AS k FROM m), j AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY CASE sharpness WHEN 'sharp' THEN 3 WHEN 'acceptable' THEN 2 WHEN 'blurry' THEN 0 ELSE 1 END DESC, CASE gaze WHEN 'all_facing' THEN 3 WHEN 'some_facing' THEN 2 WHEN 'none_facing' THEN 0 ELSE 1 END DESC, coalesce(eyes_closed_count, 0), CASE composition WHEN 'good' THEN 3 WHEN 'ordinary' THEN 2 WHEN 'poor' THEN 0 ELSE 1 END DESC, coalesce(aesthetic_score, 0) DESC, coalesce(exposure = 'good', false)::INT DESC, k) AS jr, row_number() OVER (PARTITION BY group_id ORDER BY scenic_score DESC NULLS LAST, k) AS mr FROM k), g AS (SELECT group_id, arg_min(source_path, k) AS before, arg_min(source_path, jr) FILTER (record_id IS NOT NULL) AS jp, arg_min(source_path, mr) FILTER (scenic_score IS NOT NULL) AS mp, count(record_id) AS nj, count(scenic_score) AS nm FROM j GROUP BY group_id), o AS (SELECT group_id, before, CASE WHEN nj >= 2 THEN jp WHEN nm >= 2 THEN mp ELSE before END AS keeper, CASE WHEN nj >= 2 THEN 'judged' WHEN nm >= 2 THEN 'measured' ELSE 'metadata' END AS reason FROM g) SELECT *, before <> keeper AS changed FROM o",
     "alias_exact_join": f"WITH {_SPELL} SELECT DISTINCT name, peak_id FROM (SELECT DISTINCT peak_name AS name, {_normal('peak_name')} AS normal FROM photo_analysis WHERE peak_name IS NOT NULL) JOIN spell USING (normal) WHERE normal <> ''",
     "fuzzy_resolve": f"""WITH {_SPELL}, asked AS (SELECT DISTINCT name, {_normal('name')} AS q FROM (SELECT substring(peak_name, 1, 2) || substring(peak_name, 4) AS name FROM photo_analysis WHERE peak_name IS NOT NULL) WHERE {_normal('name')} <> ''),
 ex AS (SELECT name, peak_id, elevation, 1.0::DOUBLE AS score FROM asked JOIN spell ON q = normal), op AS (SELECT *, list_distinct({_tokens('q')}) AS qt FROM asked WHERE name NOT IN (SELECT name FROM ex)), sp AS (SELECT *, list_distinct({_tokens('normal')}) AS ct FROM spell),
@@ -133,7 +153,7 @@ SELECT doc_id, normal, n_words, position, row_number() OVER (PARTITION BY doc_id
 sz AS (SELECT session, seed, count(*) AS agreeing FROM pr GROUP BY ALL), tot AS (SELECT session, count(*) AS considered FROM p GROUP BY session), b AS (SELECT * FROM sz QUALIFY row_number() OVER (PARTITION BY session ORDER BY agreeing DESC, seed) = 1), ch AS (SELECT * FROM b JOIN tot USING (session) WHERE agreeing >= 2 AND agreeing / considered >= 0.4),
 mem AS (SELECT ch.session, agreeing, considered, other, a, o FROM ch JOIN pr ON pr.session = ch.session AND pr.seed = ch.seed), co AS (SELECT x.session, x.agreeing, x.considered, x.other, x.a, x.o, sum({_km('x.a', 'x.o', 'y.a', 'y.o')}) AS d FROM mem x JOIN mem y USING (session) GROUP BY ALL)
 SELECT session, a AS lat, o AS lon, agreeing, considered FROM co QUALIFY row_number() OVER (PARTITION BY session ORDER BY CASE WHEN agreeing <= 2 THEN 0 ELSE round(d, 9) END, other) = 1""",
-    "page_score": "WITH p AS (SELECT row_number() OVER (ORDER BY vec_id) AS k, embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 5), s AS (SELECT e.vec_id, k, list_dot_product(e.embedding::DOUBLE[], p.v) AS s FROM embeddings e, p), x AS (SELECT vec_id, k, exp(s - max(s) OVER (PARTITION BY vec_id)) AS e FROM s) SELECT vec_id, round(sum(e) FILTER (k <= 2) / sum(e), 6) AS score FROM x GROUP BY vec_id",
+    "page_score": "WITH p AS (SELECT row_number() OVER (ORDER BY vec_id) AS k, embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 5), s AS (SELECT e.vec_id, k, 100 * list_dot_product(e.embedding::DOUBLE[], p.v) AS s FROM embeddings e, p), x AS (SELECT vec_id, k, exp(s - max(s) OVER (PARTITION BY vec_id)) AS e FROM s) SELECT vec_id, round(sum(e) FILTER (k <= 2) / sum(e), 6) AS score FROM x GROUP BY vec_id",
     "upsert_latest": "SELECT content_hash, max(analysis_id) AS analysis_id, arg_min(size_bytes, analysis_id) AS size_bytes, arg_max(model, analysis_id) AS model, arg_max(len(raw_response), analysis_id) FILTER (raw_response IS NOT NULL) AS reply_chars FROM analysis WHERE content_hash IS NOT NULL GROUP BY content_hash",
     "pocket_shots": "SELECT record_id FROM photo_analysis WHERE coalesce(peak_name, '') = '' AND coalesce(crag_name, '') = '' AND coalesce(verified_peak, '') = '' AND coalesce(visible_text, '') = '' AND coalesce(len(landmarks), 0) = 0 AND coalesce(len(place_names_visible), 0) = 0 AND coalesce(len(caption), 0) <= 60 AND coalesce(people_count, 0) = 0 AND activity IN ('none', 'unknown') AND scene IN ('other', 'unknown') AND sharpness = 'blurry' AND aesthetic_score <= 1",
     "rating_fields": "SELECT record_id, least(5, greatest(1, aesthetic_score)) AS rating, CASE sharpness WHEN 'sharp' THEN 'keep' WHEN 'blurry' THEN 'check' END AS label FROM photo_analysis WHERE aesthetic_score IS NOT NULL",

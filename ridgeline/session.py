@@ -4,6 +4,7 @@ that decides where lineage is cut."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,12 +27,22 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names in spark.checkpoint.dir; a
-    machine-local folder is set only where none is named (tests, one machine)."""
+    """Use the shared folder that the cluster names in spark.checkpoint.dir. Where
+    none is named, one machine gets a folder of its own; a cluster is an error,
+    as its executors share no local folder."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ridgeline-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and context.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ridgeline-"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name beside the checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
