@@ -8,6 +8,11 @@ bound falls below the k-th best lower bound of both rows are dropped, survivors
 are recomputed in double precision from the vectors as given, and the best k per
 row and task are merged. The result is exact: recall 1 against brute force.
 
+Where the codes cannot tell rows apart (bursts of nearly equal or parallel
+vectors), most pairs of a tile would survive. A tile of which more than
+``CROWDED`` pairs a row do is computed in double precision at once and keeps the
+k best of each of its rows, so that memory stays bounded whatever the data.
+
 A row goes to as many tasks as there are groups; groups hold up to
 ``group_rows`` rows, so the copies grow with n / group_rows and the work with
 n**2 / 2, as the problem asks for every vector. Exactly equal vectors are one
@@ -30,6 +35,8 @@ from pyspark.sql import functions as F
 from ridgeline.session import cut
 
 TILE = 2048
+#: Pairs a row that may survive in a tile before it is computed at once.
+CROWDED = 32
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -55,6 +62,15 @@ def _keep_best(kth: np.ndarray, rows: np.ndarray, lower: np.ndarray, k: int) ->
     kth[rows] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
 
 
+def _best_of_tile(cos: np.ndarray, k: int) -> np.ndarray:
+    """Which pairs are among the k best of their row, ties to the first columns."""
+    if cos.shape[1] <= k:
+        return np.ones(cos.shape, bool)
+    least = np.partition(cos, cos.shape[1] - k, axis=1)[:, -k, None]
+    above, tie = cos > least, cos == least
+    return above | (tie & (np.cumsum(tie, axis=1) <= k - above.sum(1, keepdims=True)))
+
+
 def best_pairs(a: np.ndarray, b: np.ndarray | None, k: int, decimals: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """left, right, cosine of the pairs of rows of ``a`` and ``b`` (of ``a`` with itself, left < right, if ``b`` is None) that may be among the k best of either row."""
     same = b is None
@@ -84,7 +100,15 @@ def best_pairs(a: np.ndarray, b: np.ndarray | None, k: int, decimals: int = 9) -
                 _keep_best(low_a, hit_a + i, lower(hit_a, slice(None)), k)
             if len(hit_b):
                 _keep_best(low_b, hit_b + j, lower(slice(None), hit_b).T, k)
-            x, y = np.nonzero((cos >= low_a[ra].min(1)[:, None]) | (cos >= low_b[rb].min(1)[None, :]))
+            good = (cos >= low_a[ra].min(1)[:, None]) | (cos >= low_b[rb].min(1)[None, :])
+            if good.sum() > CROWDED * min(cos.shape):
+                full = np.round((a[ra].astype(np.float64) @ b[rb].astype(np.float64).T) / (la[ra, None] * lb[None, rb]), decimals)
+                if same and i == j:
+                    np.fill_diagonal(full, -4)
+                good = _best_of_tile(full, k) | _best_of_tile(full.T, k).T
+                if same and i == j:
+                    good = np.triu(good | good.T, 1)
+            x, y = np.nonzero(good)
             found.append(((x + i).astype(np.int32), (y + j).astype(np.int32), cos[x, y]))
     left, right, upper = (np.concatenate(p) for p in zip(*found))
     alive = (upper >= low_a.min(1)[left]) | (upper >= low_b.min(1)[right])
@@ -133,7 +157,7 @@ def _tiles(table: pa.Table, k: int, decimals: int) -> pa.Table:
 NEAR = pa.list_(pa.struct([("cos", pa.float64()), ("cid", pa.string())]))
 
 
-def nearest(rows: DataFrame, k: int = 5, *, decimals: int = 9, group_rows: int = 32_768, spread: int = 8, small: int = 4096) -> DataFrame:
+def nearest(rows: DataFrame, k: int = 5, *, decimals: int = 9, group_rows: int = 32_768, spread: int = 6, small: int = 4096) -> DataFrame:
     """content_hash, near: its k most similar keys of the same model, as array of (cos, content_hash), best first. ``rows`` as of :func:`usable`.
 
     Groups: n / group_rows, but at least ``spread`` once a model has ``spread * small`` rows, so that all cores take part.

@@ -53,7 +53,41 @@ def test_bounds_hold():
     assert (np.abs(a @ a.T - product) <= slack).all()
 
 
-def test_all_ties_lose_nothing(monkeypatch):
+def best(a, b, k, same):
+    cos = np.round(a.astype(float) @ b.astype(float).T / np.linalg.norm(a.astype(float), axis=1)[:, None] / np.linalg.norm(b.astype(float), axis=1)[None, :], 9)
+    pick = lambda c, r: sorted((j for j in range(c.shape[1]) if not (same and j == r)), key=lambda j: (-c[r, j], j))[:k]
+    rows = {(r, j) for r in range(len(a)) for j in pick(cos, r)}
+    return {(min(p), max(p)) for p in rows} if same else rows | {(j, r) for r in range(len(b)) for j in pick(cos.T, r)}
+
+
+@pytest.mark.parametrize("crowded", [0, 1, 32])
+@pytest.mark.parametrize("kind", ["equal", "burst", "parallel", "apart"])
+def test_all_data_keep_the_best(monkeypatch, kind, crowded):
     monkeypatch.setattr(N, "TILE", 7)
-    left, right, cos = N.best_pairs(np.ones((30, 4), np.float32), None, 5)
-    assert len(left) == 30 * 29 // 2 and (cos == 1).all()
+    monkeypatch.setattr(N, "CROWDED", crowded)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=8)
+    make = {"equal": lambda n: np.tile(base, (n, 1)), "burst": lambda n: base + rng.normal(scale=1e-4, size=(n, 8)), "parallel": lambda n: base * rng.uniform(0.5, 9, (n, 1)), "apart": lambda n: rng.normal(size=(n, 8))}[kind]
+    a, b = make(40).astype(np.float32), make(30).astype(np.float32)
+    for other in (None, b):
+        left, right, cos = N.best_pairs(a, other, 4)
+        got = set(zip(left.tolist(), right.tolist()))
+        assert len(got) == len(left) and best(a, a if other is None else b, 4, other is None) <= got
+
+
+def test_bursts_stay_small(monkeypatch):
+    monkeypatch.setattr(N, "TILE", 256)
+    rng = np.random.default_rng(4)
+    burst = (np.ones(16) + rng.normal(scale=1e-4, size=(2000, 16))).astype(np.float32)
+    left, _, _ = N.best_pairs(burst, None, 5)
+    assert len(left) <= 2000 * 8 * 32
+
+
+def test_bursts(spark):
+    """Nearly equal and parallel vectors, beside others."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=12)
+    rows = [(f"{rng.integers(1e12):012d}", "2024", "m", 12, [float(x) for x in v], "x") for v in [base + rng.normal(scale=1e-4, size=12) for _ in range(90)] + [base * s for s in rng.uniform(0.5, 9, 60)] + list(rng.normal(size=(80, 12)))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.hash_a, r.hash_b) for r in N.pairs(N.nearest(N.usable(df), 5, spread=3, small=40)).collect()}
+    assert got == brute(rows, 5)
