@@ -133,6 +133,8 @@ SQL = {
 UNION ALL SELECT group_id, 'position', position FROM f WHERE position IS NOT NULL
 UNION ALL SELECT group_id, 'camera_model', camera_model FROM f WHERE camera_model IS NOT NULL
 UNION ALL SELECT group_id, 'taken_ts', taken_ts FROM f WHERE taken_ts IS NOT NULL""",
+    "p5_golden": _P5 + """SELECT f.group_id, record AS record_from, position AS position_from, f.camera_model AS camera_model_from, f.taken_ts AS taken_ts_from, a.size_bytes, a.width, a.height, b.lat, b.lon, c.camera_model, d.taken_ts
+FROM f JOIN s a ON a.source_path = record LEFT JOIN s b ON b.source_path = position LEFT JOIN s c ON c.source_path = f.camera_model LEFT JOIN s d ON d.source_path = f.taken_ts""",
     "p6_found": _P6 + "SELECT content_hash, group_hash FROM labels",
     "p6_sizes": _P6 + "SELECT size, count(*) AS groups FROM (SELECT count(*) AS size FROM labels GROUP BY group_hash) GROUP BY size",
 }

@@ -44,14 +44,18 @@ def latest_scans(photos: DataFrame, paths: DataFrame | None = None) -> DataFrame
     return last.select("source_path", *[F.col(f"s.{c}").alias(c) for c in fields])
 
 
-def _first(has: Column, before: list[Column], rank: list[Column], path: Column) -> Column:
-    """Path of the first member that has the field."""
+def _first(has: Column, before: list[Column], rank: list[Column], *carried: str) -> Column:
+    """Path of the first member that has the field, and what it carries: paths differ, so the values decide nothing."""
     keys = [c.alias(f"k{i}") for i, c in enumerate([*before, *rank])]
-    return F.min(F.when(has, F.struct(*keys, path.alias("path"))))
+    return F.min(F.when(has, F.struct(*keys, F.col("source_path").alias("path"), *carried)))
 
 
-def survivors(groups: DataFrame, photos: DataFrame) -> DataFrame:
-    """group_id, field_name, source_path: for the record and each of its fields the member that supplies it."""
+#: Fields of a record and what each supplies.
+FIELDS = {"record": ["size_bytes", "width", "height"], "position": ["lat", "lon"], "camera_model": ["camera_model"], "taken_ts": ["taken_ts"]}
+
+
+def _best(groups: DataFrame, photos: DataFrame) -> DataFrame:
+    """group_id and, for the record and each field, a struct of the member's path and the values of FIELDS: one aggregation."""
     members = latest_groups(groups)
     rows = members.join(latest_scans(photos, members), "source_path")
     flag = lambda c: F.when(c, 0).otherwise(1)
@@ -62,23 +66,17 @@ def survivors(groups: DataFrame, photos: DataFrame) -> DataFrame:
     for i, s in reversed(list(enumerate(TIME_SOURCES))):
         origin = F.when(F.col("timestamp_source") == s, i).otherwise(origin)
     named = F.coalesce(F.length(F.trim("camera_model")) > 0, F.lit(False))
-    path = F.col("source_path")
-    best = rows.groupBy("group_id").agg(
-        _first(F.lit(True), [], rank, path).alias("record"),
-        _first(placed, [], rank, path).alias("position"),
-        _first(named, [], rank, path).alias("camera_model"),
-        _first(F.col("taken_ts").isNotNull(), [origin], rank, path).alias("taken_ts"),
-    )
-    names = ["record", "position", "camera_model", "taken_ts"]
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("field_name"), F.col(f"{n}.path").alias("source_path")) for n in names]))
-    return best.select("group_id", each.alias("f")).select("group_id", "f.*").filter("source_path is not null")
+    has = {"record": (F.lit(True), []), "position": (placed, []), "camera_model": (named, []), "taken_ts": (F.col("taken_ts").isNotNull(), [origin])}
+    return rows.groupBy("group_id").agg(*[_first(when, before, rank, *FIELDS[f]).alias(f"_{f}") for f, (when, before) in has.items()])
+
+
+def survivors(groups: DataFrame, photos: DataFrame) -> DataFrame:
+    """group_id, field_name, source_path: for the record and each of its fields the member that supplies it."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"_{f}.path").alias("source_path")) for f in FIELDS]))
+    return _best(groups, photos).select("group_id", each.alias("f")).select("group_id", "f.*").filter("source_path is not null")
 
 
 def golden_records(groups: DataFrame, photos: DataFrame) -> DataFrame:
-    """One built record per group: every field from the member that supplies it."""
-    chosen = survivors(groups, photos)
-    wide = chosen.groupBy("group_id").agg(*[F.max(F.when(F.col("field_name") == n, F.col("source_path"))).alias(f"{n}_from") for n in ("record", "position", "camera_model", "taken_ts")])
-    values = chosen.join(latest_scans(photos, chosen), "source_path")
-    of = lambda name, column: F.max(F.when(F.col("field_name") == name, F.col(column))).alias(column)
-    built = values.groupBy("group_id").agg(of("record", "size_bytes"), of("record", "width"), of("record", "height"), of("position", "lat"), of("position", "lon"), of("camera_model", "camera_model"), of("taken_ts", "taken_ts"))
-    return wide.join(built, "group_id")
+    """One built record per group: every field from the member that supplies it, carried through the one aggregation."""
+    best = _best(groups, photos).filter("_record is not null")
+    return best.select("group_id", *[F.col(f"_{f}.path").alias(f"{f}_from") for f in FIELDS], *[F.col(f"_{f}.{c}").alias(c) for f, columns in FIELDS.items() for c in columns])
