@@ -32,8 +32,8 @@ EXIF_FORM = r"^(\d{4})([:-])(\d{2})[:-](\d{2}) (\d{2}:\d{2})(:\d{2})?$"
 
 
 def exif_datetime(raw: Column) -> Column:
-    """One of three written forms; NULs are cut, year zero is null."""
-    clean = F.trim(F.replace(raw, F.lit("\x00"), F.lit("")))
+    """One of three written forms; NULs and white space at either end are cut, year zero is null."""
+    clean = F.regexp_replace(raw, r"^[\s\x00]+|[\s\x00]+$", "")
     shaped = F.regexp_replace(clean, EXIF_FORM, "$1-$3-$4 $5$6")
     same = F.substring(clean, 5, 1) == F.substring(clean, 8, 1)
     return F.when(clean.rlike(EXIF_FORM) & same & ~clean.startswith("0000"), shaped).try_cast("timestamp_ntz")

@@ -5,9 +5,11 @@ value contributes likelihood to every component under which it is a valid
 moment; most have one, slash dates with two small numbers have two. Per source
 (one export file and field) the mixture weights are fitted by
 expectation-maximisation over the counts of each set of valid components, with
-a Dirichlet prior that carries what is known of the source's zone. Posteriors
-choose the reading; a reading whose posterior stays below ``sure`` is marked
-``ambiguous`` and still reported with its probability.
+a Dirichlet prior that carries what is known of the source's zone. A known zone
+fixes the order of its slash dates, so the prior is decisive there; a source of
+unknown zone, whose values may still name an offset, is fitted from its own
+certain dates. Posteriors choose the reading; a reading whose posterior stays
+below ``sure`` is marked ``ambiguous`` and still reported with its probability.
 
 All parsing is built-in expressions (one regular expression per component, in
 code generation); only the weights of each source are fitted in an Arrow UDF,
@@ -140,7 +142,7 @@ def fit_weights(masks: np.ndarray, counts: np.ndarray, prior: np.ndarray, rounds
     return weights
 
 
-def source_weights(readings: DataFrame, sources: DataFrame, keys: list[str], strength: float = 1e6) -> DataFrame:
+def source_weights(readings: DataFrame, sources: DataFrame, keys: list[str], strength: float = 1e6, rounds: int = 50) -> DataFrame:
     """Mixture weights per source. ``sources`` has the keys' first column and ``home_zone``; the prior puts ``strength`` pseudo-counts on the slash order that the zone uses, as a whole file shares one."""
     day, month = NAMES.index("slash_day_first"), NAMES.index("slash_month_first")
 
@@ -151,7 +153,7 @@ def source_weights(readings: DataFrame, sources: DataFrame, keys: list[str], str
             prior = np.ones(len(NAMES))
             if z is not None:
                 prior[month if str(z).startswith("America/") else day] += strength
-            out.append(fit_weights(np.array([r["mask"] for r in rows], dtype=np.int64), np.array([r["n"] for r in rows], dtype=float), prior))
+            out.append(fit_weights(np.array([r["mask"] for r in rows], dtype=np.int64), np.array([r["n"] for r in rows], dtype=float), prior, rounds))
         return pd.Series(out)
 
     # one row per source holds at most 2 ** len(NAMES) masks, whatever the number of its values
@@ -161,7 +163,7 @@ def source_weights(readings: DataFrame, sources: DataFrame, keys: list[str], str
     return stats.join(sources.select(keys[0], "home_zone"), keys[0], "left").select(*keys, weights("stats", "home_zone").alias("weights"))
 
 
-def normalise(values: DataFrame, sources: DataFrame, *, source: str = "export_file", field: str = "field_name", value: str = "value", sure: float = 0.99) -> DataFrame:
+def normalise(values: DataFrame, sources: DataFrame, *, source: str = "export_file", field: str = "field_name", value: str = "value", sure: float = 0.99, rounds: int = 50) -> DataFrame:
     """Adds status, component, posterior and utc_micros to ``values``.
 
     ``sources`` maps ``source`` to ``home_zone``. status is ``resolved``, ``ambiguous`` (resolved to the likelier reading, posterior below ``sure``), ``no_zone``, ``date_only`` or ``none``.
@@ -170,7 +172,7 @@ def normalise(values: DataFrame, sources: DataFrame, *, source: str = "export_fi
     zones = sorted(spark._jvm.java.time.ZoneId.getAvailableZoneIds())
     sources = sources.select(source, "home_zone").dropDuplicates([source])
     readings = with_readings(values, value)
-    fitted = source_weights(readings.select(source, field, "mask"), sources, [source, field])
+    fitted = source_weights(readings.select(source, field, "mask"), sources, [source, field], rounds=rounds)
     # sources and weights are far smaller than the values: they meet first, the values are shuffled once
     side = fitted.groupBy(source).agg(F.map_from_entries(F.collect_list(F.struct(F.col(field), F.col("weights")))).alias("_w"))
     side = sources.join(side, source, "left")

@@ -83,6 +83,31 @@ cl AS (SELECT folder, regexp_extract(lower(st), '^(.*)_([1-9][0-9]{{0,8}})$', 1)
 tn AS (SELECT folder, s0, e0, list_sort(list(DISTINCT t)) AS ts FROM cl WHERE t >= 2 GROUP BY ALL),
 routes AS (SELECT pt.source_path, size_bytes, route, pt.folder || '/' || CASE WHEN n = 1 THEN name ELSE st || '_' || list_reduce(list_prepend(n, coalesce(ts, [])), lambda x, t: CASE WHEN t <= x THEN x + 1 ELSE x END) || ex END AS dest FROM pt LEFT JOIN tn ON tn.folder = pt.folder AND s0 = lower(st) AND e0 = lower(ex))"""
 
+
+
+def _tags() -> str:
+    """Tags from the softmax of each facet's prompts: labels share their prompts' probabilities, the first of the most probable ones counts from its threshold on."""
+    n = sum(len(x) for _, x in fixed.FACETS.values()) + 2 * len(fixed.BINARY)
+    at, facets = 1, []
+    for name, (threshold, labels) in fixed.FACETS.items():
+        part = f"s[{at}:{at + len(labels) - 1}]"
+        shares = [f"list_sum([e_{name}[k] FOR k IN {[k for k, x in enumerate(labels, 1) if x == label]}]) / list_sum(e_{name})" for label in dict.fromkeys(labels)]
+        values = [f"'{label}'" if label else "NULL" for label in dict.fromkeys(labels)]
+        facets.append((name, f"[exp(x - list_max({part})) FOR x IN {part}] AS e_{name}", f"[{', '.join(shares)}] AS p_{name}", f"CASE WHEN list_max(p_{name}) >= {threshold}::DOUBLE THEN ([{', '.join(values)}])[list_position(p_{name}, list_max(p_{name}))] END AS {name}"))
+        at += len(labels)
+    pairs = []
+    for k, (name, threshold) in enumerate(fixed.BINARY.items()):
+        pairs.append(f"CASE WHEN 1 / (1 + exp(s[{at + 2 * k + 1}] - s[{at + 2 * k}])) >= {threshold}::DOUBLE THEN '{name}' END")
+    return f"""WITH p AS (SELECT row_number() OVER (ORDER BY vec_id) AS k, embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT {n}),
+a AS (SELECT e.vec_id, list({fixed.SOFTMAX_SCALE}::DOUBLE * list_dot_product(e.embedding::DOUBLE[], p.v) ORDER BY k) AS s FROM embeddings e, p GROUP BY e.vec_id),
+b AS (SELECT *, {", ".join(f[1] for f in facets)} FROM a), c AS (SELECT *, {", ".join(f[2] for f in facets)} FROM b), d AS (SELECT vec_id, {", ".join(f[3] for f in facets)}, list_filter([{", ".join(pairs)}], lambda x: x IS NOT NULL) AS weather FROM c),
+f AS (SELECT vec_id, subject, coalesce(subject IN ({_list(fixed.DOCUMENT_TAGS)}), false) AS paper, people, activity, terrain, weather FROM d),
+g AS (SELECT vec_id, CASE WHEN paper THEN NULL ELSE people END AS people, CASE WHEN paper OR people IS NULL THEN NULL ELSE activity END AS activity, CASE WHEN paper THEN NULL ELSE terrain END AS terrain, subject, CASE WHEN paper OR terrain = 'indoors' THEN [] ELSE weather END AS weather FROM f),
+h AS (SELECT vec_id, people, list_filter(list_concat([activity, terrain, subject], weather), lambda x: x IS NOT NULL) AS l FROM g),
+i AS (SELECT vec_id, CASE WHEN people IS NOT NULL AND NOT list_contains(l, 'portrait') THEN list_append(l, people) ELSE l END AS l FROM h)
+SELECT vec_id, array_to_string(list_filter(l, lambda x, k: list_position(l, x) = k)[1:{fixed.MAX_TAGS}], ',') AS tags FROM i"""
+
+
 SQL: dict[str, str] = {
     "scan_skip_reasons": f"WITH {_PATHS} SELECT reason, count(*) AS n FROM judged WHERE reason IS NOT NULL GROUP BY reason",
     "survey_by_ext": f"WITH {_PATHS} SELECT ext, count(*) AS n, sum(size_bytes)::BIGINT AS bytes FROM judged GROUP BY ext",
@@ -153,10 +178,25 @@ SELECT doc_id, normal, n_words, position, row_number() OVER (PARTITION BY doc_id
 sz AS (SELECT session, seed, count(*) AS agreeing FROM pr GROUP BY ALL), tot AS (SELECT session, count(*) AS considered FROM p GROUP BY session), b AS (SELECT * FROM sz QUALIFY row_number() OVER (PARTITION BY session ORDER BY agreeing DESC, seed) = 1), ch AS (SELECT * FROM b JOIN tot USING (session) WHERE agreeing >= 2 AND agreeing / considered >= 0.4),
 mem AS (SELECT ch.session, agreeing, considered, other, a, o FROM ch JOIN pr ON pr.session = ch.session AND pr.seed = ch.seed), co AS (SELECT x.session, x.agreeing, x.considered, x.other, x.a, x.o, sum({_km('x.a', 'x.o', 'y.a', 'y.o')}) AS d FROM mem x JOIN mem y USING (session) GROUP BY ALL)
 SELECT session, a AS lat, o AS lon, agreeing, considered FROM co QUALIFY row_number() OVER (PARTITION BY session ORDER BY CASE WHEN agreeing <= 2 THEN 0 ELSE round(d, 9) END, other) = 1""",
+    "embed_tags": _tags(),
     "page_score": "WITH p AS (SELECT row_number() OVER (ORDER BY vec_id) AS k, embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 5), s AS (SELECT e.vec_id, k, 100 * list_dot_product(e.embedding::DOUBLE[], p.v) AS s FROM embeddings e, p), x AS (SELECT vec_id, k, exp(s - max(s) OVER (PARTITION BY vec_id)) AS e FROM s) SELECT vec_id, round(sum(e) FILTER (k <= 2) / sum(e), 6) AS score FROM x GROUP BY vec_id",
     "upsert_latest": "SELECT content_hash, max(analysis_id) AS analysis_id, arg_min(size_bytes, analysis_id) AS size_bytes, arg_max(model, analysis_id) AS model, arg_max(len(raw_response), analysis_id) FILTER (raw_response IS NOT NULL) AS reply_chars FROM analysis WHERE content_hash IS NOT NULL GROUP BY content_hash",
     "pocket_shots": "SELECT record_id FROM photo_analysis WHERE coalesce(peak_name, '') = '' AND coalesce(crag_name, '') = '' AND coalesce(verified_peak, '') = '' AND coalesce(visible_text, '') = '' AND coalesce(len(landmarks), 0) = 0 AND coalesce(len(place_names_visible), 0) = 0 AND coalesce(len(caption), 0) <= 60 AND coalesce(people_count, 0) = 0 AND activity IN ('none', 'unknown') AND scene IN ('other', 'unknown') AND sharpness = 'blurry' AND aesthetic_score <= 1",
     "rating_fields": "SELECT record_id, least(5, greatest(1, aesthetic_score)) AS rating, CASE sharpness WHEN 'sharp' THEN 'keep' WHEN 'blurry' THEN 'check' END AS label FROM photo_analysis WHERE aesthetic_score IS NOT NULL",
     "stream_sessions": "WITH g AS (SELECT user_id, ts, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) > 43200000000, false) AS s FROM events WHERE ts IS NOT NULL), n AS (SELECT user_id, ts, sum(s::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start_ts, count(*) AS n FROM n GROUP BY user_id, k",
+    "trip_merge": f"""WITH RECURSIVE {_SESSIONS}, ky AS (SELECT sess.top_folder, session_no, sess.taken_ts, record_id, verified_peak, mountain_range, evidence_basis FROM sess LEFT JOIN photo_analysis r ON r.content_hash = sess.content_key),
+pl AS (SELECT top_folder, session_no, verified_peak AS place FROM (SELECT top_folder, session_no, verified_peak, count(*) AS n, min(record_id) AS f FROM ky WHERE verified_peak <> '' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY top_folder, session_no ORDER BY n DESC, f) = 1),
+ar AS (SELECT top_folder, session_no, mountain_range AS area FROM (SELECT top_folder, session_no, mountain_range, count(*) AS n, min(record_id) AS f FROM ky WHERE mountain_range <> '' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY top_folder, session_no ORDER BY n DESC, f) = 1),
+rd AS (SELECT top_folder, session_no, coalesce(bool_or(evidence_basis = 'sign_in_scene'), false) AS rd, min(taken_ts) AS a, max(taken_ts) AS b FROM ky GROUP BY ALL),
+x AS (SELECT rd.*, place, area, row_number() OVER (PARTITION BY top_folder ORDER BY a ASC NULLS LAST, session_no) AS rn FROM rd LEFT JOIN pl USING (top_folder, session_no) LEFT JOIN ar USING (top_folder, session_no)),
+tr AS (SELECT top_folder, session_no, rn, 1::BIGINT AS trip_no, a AS s, b AS e, place AS p, area AS r, rd AS read FROM x WHERE rn = 1
+  UNION ALL SELECT top_folder, session_no, rn, CASE WHEN j THEN trip_no ELSE trip_no + 1 END, CASE WHEN j THEN s ELSE a END, CASE WHEN j THEN greatest(b, e) ELSE b END, CASE WHEN NOT j THEN place WHEN read THEN p WHEN rd THEN place END, CASE WHEN j THEN coalesce(r, area) ELSE area END, CASE WHEN j THEN read OR rd ELSE rd END
+  FROM (SELECT x.*, trip_no, s, e, p, r, read, coalesce(epoch_us(a) - epoch_us(e) BETWEEN 0 AND 64800000000 AND epoch_us(greatest(b, e)) - epoch_us(s) <= 259200000000, false) AND NOT coalesce(p <> place, false) AND NOT coalesce(r <> area, false) AND coalesce(p, place, r, area) IS NOT NULL AS j FROM tr JOIN x ON x.top_folder = tr.top_folder AND x.rn = tr.rn + 1))
+SELECT top_folder, session_no, trip_no FROM tr""",
+    "chunk_packing": f"""WITH RECURSIVE {_LP}, x AS (SELECT top_folder, source_path, coalesce(size_bytes, 0) AS b, row_number() OVER (PARTITION BY top_folder ORDER BY source_path) AS rn FROM lp),
+c AS (SELECT top_folder, source_path, rn, 1::BIGINT AS chunk_no, 1::BIGINT AS n, b::BIGINT AS total FROM x WHERE rn = 1 UNION ALL SELECT x.top_folder, x.source_path, x.rn, CASE WHEN total + b > 209715200 OR n + 1 > 50 THEN chunk_no + 1 ELSE chunk_no END, CASE WHEN total + b > 209715200 OR n + 1 > 50 THEN 1 ELSE n + 1 END, CASE WHEN total + b > 209715200 OR n + 1 > 50 THEN b ELSE total + b END FROM c JOIN x ON x.top_folder = c.top_folder AND x.rn = c.rn + 1)
+SELECT source_path, chunk_no FROM c""",
+    "verified_sink": "SELECT coalesce(year(taken_ts), 0)::INT AS year, count(*) AS n, count(*) AS n_read, true AS verified FROM photos GROUP BY 1",
+    "manifest_json": f"""WITH {_SUMMARY} SELECT top_folder, '{{"session_no":' || session_no || coalesce(',"start_ts":"' || strftime(start_ts, '%Y-%m-%dT%H:%M:%S.%g') || '"', '') || coalesce(',"end_ts":"' || strftime(end_ts, '%Y-%m-%dT%H:%M:%S.%g') || '"', '') || ',"items":' || items || ',"cameras":' || to_json(cameras)::VARCHAR || '}}' AS json FROM summary""",
     "preflight": "SELECT 'paths are there' AS name, count(*) = 0 AS ok, count(*) AS broken FROM photos WHERE source_path IS NULL UNION ALL SELECT 'sizes are not negative', count(*) = 0, count(*) FROM photos WHERE size_bytes < 0 UNION ALL SELECT 'latitudes are possible', count(*) = 0, count(*) FROM photos WHERE abs(lat) > 90 UNION ALL SELECT 'row ids are unique', count(*) = count(DISTINCT scan_row_id), count(*) - count(DISTINCT scan_row_id) FROM photos",
 }

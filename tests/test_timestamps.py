@@ -78,3 +78,20 @@ def test_weights_follow_certain_values():
     assert w[month] > 0.85 > 0.1 > w[day]
     assert abs(w.sum() - 1) < 1e-9
     assert abs(T.fit_weights(np.array([], dtype=int), np.array([]), np.ones(3)).sum() - 1) < 1e-9
+
+
+def test_sources_of_unknown_zone_are_fitted(spark):
+    """Their values name offsets; certain dates of the same source decide the order of the others."""
+    values = [("month", f"0{d % 9 + 1}/{d + 13}/2021 10:00 +00:00") for d in range(15)] + [("month", "03/04/2021 10:00 +00:00")]
+    values += [("day", f"{d + 13}/0{d % 9 + 1}/2021 10:00 +00:00") for d in range(15)] + [("day", "03/04/2021 10:00 +00:00"), ("alone", "03/04/2021 10:00 +00:00"), ("zoned", "03/04/2021 10:00")]
+    # a known zone settles the order, whatever the source's certain dates say
+    values += [("zoned", f"{d + 13}/0{d % 9 + 1}/2021 10:00") for d in range(15)]
+    df = spark.createDataFrame([(f, "taken_at", v) for f, v in values], "export_file string, field_name string, value string")
+    files = spark.createDataFrame([("month", None), ("day", None), ("alone", None), ("zoned", "America/New_York")], "export_file string, home_zone string")
+    read = lambda rounds: {r.export_file: r for r in T.normalise(df, files, rounds=rounds, sure=0.9).filter("value LIKE '03/04/2021 10:00%'").collect()}
+    fitted, unfitted = read(50), read(0)
+    april, march = micros("2021-04-03T10:00:00"), micros("2021-03-04T10:00:00")
+    assert (fitted["month"].utc_micros, fitted["day"].utc_micros, fitted["alone"].utc_micros) == (march, april, april)
+    assert [fitted[f].status for f in ("month", "day", "alone", "zoned")] == ["resolved", "resolved", "ambiguous", "resolved"]
+    assert fitted["zoned"].component == "slash_month_first"
+    assert unfitted["month"].utc_micros == april and unfitted["month"].status == "ambiguous"
