@@ -43,10 +43,10 @@ PAPERWORK_THRESHOLD = 0.90
 MAX_TAGS = 12
 
 # Words of summit names that tell nothing.
-STOPWORDS = "le la les l du de des d der die das il lo gli dei del della di da mont monte mount piz pizzo punta pointe cima spitze spitz berg kogel horn kopf gipfel aiguille dent tete grand grande gross grosse petit petite klein kleine vrch stit maly".split()
+STOPWORDS = ["le", "la", "les", "l", "du", "de", "des", "d", "der", "die", "das", "il", "lo", "gli", "dei", "del", "della", "di", "da", "mont", "monte", "mount", "piz", "pizzo", "punta", "pointe", "cima", "spitze", "spitz", "berg", "kogel", "horn", "kopf", "gipfel", "aiguille", "dent", "tete", "grand", "grande", "gross", "grosse", "petit", "petite", "klein", "kleine", "vrch", "stit", "maly"]
 # Articles and generic words of place names.
-ARTICLES = "le la les der die das den dem il lo gli the am auf im in de du des del al el aux zum zur sur sous".split()
-GENERIC = "toit nid puy berg dent pointe cima punta mont col tete tour roc pic haus hut alp see val hof bach wald feld kopf horn stein cresta croix".split()
+ARTICLES = ["le", "la", "les", "der", "die", "das", "den", "dem", "il", "lo", "gli", "the", "am", "auf", "im", "in", "de", "du", "des", "del", "al", "el", "aux", "zum", "zur", "sur", "sous"]
+GENERIC = ["toit", "nid", "puy", "berg", "dent", "pointe", "cima", "punta", "mont", "col", "tete", "tour", "roc", "pic", "haus", "hut", "alp", "see", "val", "hof", "bach", "wald", "feld", "kopf", "horn", "stein", "cresta", "croix"]
 
 # Extensions of images.
 STANDARD_IMAGES = [".jpg", ".jpeg", ".png", ".tif", ".tiff", ".webp", ".heic", ".heif"]

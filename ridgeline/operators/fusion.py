@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import fixed
 from ridgeline.functions.geo import haversine_km, valid_position
+from ridgeline.operators.spatial import near
 
 
 def _choice(column: Column, table: dict[str, float], default: float) -> Column:
@@ -48,19 +49,16 @@ def contradicted(claims: DataFrame, anchors: DataFrame, session: str, claim: str
 def consensus(points: DataFrame, session: str, order: str, *, agreement_km: float = fixed.AGREEMENT_KM, least: int = fixed.MIN_AGREEING, share: float = fixed.MIN_FRACTION) -> DataFrame:
     """session, lat, lon, agreeing, considered: the medoid of the largest neighbourhood of estimates, if enough of them agree; of equal ones the first by ``order``.
 
-    Equal positions are one point with a weight. Neighbours are met within cells of the agreement distance, not all against all.
+    Equal positions are one point with a weight. Neighbours are met within cells of a grid, not all against all; only the largest neighbourhood's own distances are summed.
     """
     p = points.filter(valid_position(F.col("lat"), F.col("lon"))).groupBy(session, "lat", "lon").agg(F.count("*").alias("w"), F.min(order).alias("first"))
-    band = agreement_km / 111.0
-    lat_cell = F.floor(F.col("lat") / band).cast("bigint")
-    a = p.select(session, F.col("lat").alias("la"), F.col("lon").alias("lo"), F.col("first").alias("fa"), lat_cell.alias("c"))
-    b = p.select(session, F.col("lat").alias("lb"), F.col("lon").alias("ob"), F.col("w").alias("wb"), F.col("first").alias("fb"), F.explode(F.array(lat_cell - 1, lat_cell, lat_cell + 1)).alias("c"))
-    pairs = a.join(b, [session, "c"]).withColumn("km", haversine_km(F.col("la"), F.col("lo"), F.col("lb"), F.col("ob"))).filter(F.col("km") <= agreement_km)
-    size = pairs.groupBy(session, "la", "lo", "fa").agg(F.sum("wb").alias("n"))
-    best = size.groupBy(session).agg(F.min(F.struct((-F.col("n")).alias("n"), "fa", "la", "lo")).alias("s"))
+    weights = p.select(session, F.col("first").alias("other"), F.col("lat").alias("lb"), F.col("lon").alias("ob"), F.col("w").alias("wb"))
+    pairs = near(p, p.withColumnRenamed("first", "other"), agreement_km, point=("first", "lat", "lon"), target=("other", "lat", "lon"), by=session).select(session, "first", "other")
+    size = pairs.join(weights.select(session, "other", "wb"), [session, "other"]).groupBy(session, "first").agg(F.sum("wb").alias("n"))
+    best = size.groupBy(session).agg(F.min(F.struct((-F.col("n")).alias("n"), "first")).alias("s"))
     total = p.groupBy(session).agg(F.sum("w").alias("considered"))
-    chosen = best.join(total, session).filter((-F.col("s.n") >= least) & (-F.col("s.n") / F.col("considered") >= share)).select(session, F.col("s.la").alias("la"), F.col("s.lo").alias("lo"), (-F.col("s.n")).alias("agreeing"), "considered")
-    members = chosen.join(pairs.select(session, "la", "lo", "lb", "ob", "wb", "fb"), [session, "la", "lo"]).select(session, "lb", "ob", "wb", "fb", "agreeing", "considered")
+    chosen = best.join(total, session).filter((-F.col("s.n") >= least) & (-F.col("s.n") / F.col("considered") >= share)).select(session, F.col("s.first").alias("first"), (-F.col("s.n")).alias("agreeing"), "considered")
+    members = chosen.join(pairs, [session, "first"]).drop("first").join(weights, [session, "other"]).select(session, "lb", "ob", "wb", F.col("other").alias("fb"), "agreeing", "considered")
     # the medoid: distances within one neighbourhood, of distinct positions
     x = members.select(session, F.col("lb").alias("x1"), F.col("ob").alias("y1"), F.col("fb").alias("f1"), "agreeing", "considered")
     y = members.select(session, F.col("lb").alias("x2"), F.col("ob").alias("y2"), F.col("wb").alias("w2"))

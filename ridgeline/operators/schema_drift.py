@@ -301,13 +301,13 @@ def changes(rows: DataFrame, files: DataFrame, threshold: float = 0.65, prof: Da
 
 # --- one consistent table -------------------------------------------------
 
-_STRINGS = "country country_code region mountain_range locality peak_name crag_name route_name location_confidence evidence_basis activity scene season time_of_day visible_text sharpness exposure composition gaze caption reasoning weather rock_type notes model verified_peak verified_country rejected_peak runner_up_peak"
-_DOUBLES = "latitude longitude verified_lat verified_lon peak_probability runner_up_probability"
-_INTS = "elevation_m people_count aesthetic_score eyes_closed_count schema_version peak_agreement peak_considered"
-_BOOLEANS = "is_indoor is_guidebook_page is_personal_document"
-_ARRAYS = "climbing_grades keywords place_names_visible landmarks gear_visible"
+_STRINGS = ["country", "country_code", "region", "mountain_range", "locality", "peak_name", "crag_name", "route_name", "location_confidence", "evidence_basis", "activity", "scene", "season", "time_of_day", "visible_text", "sharpness", "exposure", "composition", "gaze", "caption", "reasoning", "weather", "rock_type", "notes", "model", "verified_peak", "verified_country", "rejected_peak", "runner_up_peak"]
+_DOUBLES = ["latitude", "longitude", "verified_lat", "verified_lon", "peak_probability", "runner_up_probability"]
+_INTS = ["elevation_m", "people_count", "aesthetic_score", "eyes_closed_count", "schema_version", "peak_agreement", "peak_considered"]
+_BOOLEANS = ["is_indoor", "is_guidebook_page", "is_personal_document"]
+_ARRAYS = ["climbing_grades", "keywords", "place_names_visible", "landmarks", "gear_visible"]
 #: Fields that the consistent schema always has, and their types where no document fills them.
-TARGET = {n: t for names, t in ((_STRINGS, "string"), (_DOUBLES, "double"), (_INTS, "int"), (_BOOLEANS, "boolean"), (_ARRAYS, "array<string>")) for n in names.split()}
+TARGET = {n: t for names, t in ((_STRINGS, "string"), (_DOUBLES, "double"), (_INTS, "int"), (_BOOLEANS, "boolean"), (_ARRAYS, "array<string>")) for n in names}
 
 
 #: Most columns besides those of TARGET; the values of further fields stand in other_fields.

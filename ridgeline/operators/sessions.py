@@ -88,13 +88,23 @@ def top_k(rows: DataFrame, keys: list[str], k: int, *order) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def even_sample(rows: DataFrame, keys: list[str], k: int, *order) -> DataFrame:
-    """``k`` rows per key at even steps: of n rows those at floor(i * n / k)."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    df = rows.select("*", n.alias("_n"), at.alias("_at"))
-    picked = F.when(F.col("_n") <= k, True).otherwise(F.exists(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * F.col("_n") / k) == F.col("_at")))
-    return df.filter(picked).drop("_n", "_at")
+def even_sample(rows: DataFrame, key: str, k: int, ts: str, item: str, *, bucket_days: int = 30) -> DataFrame:
+    """``k`` rows per key at even steps of time, then item (undated ones last): of n rows those at floor(i * n / k), all of k or less.
+
+    Rows are counted per span of ``bucket_days``; only spans that hold a place of the sample are ordered, so no key is one window. A null key is a key.
+    """
+    columns = rows.columns
+    df = rows.withColumn("_k", F.coalesce(F.col(key).cast("string"), F.lit("\x00"))).withColumn("_b", F.coalesce(F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (86_400_000_000 * bucket_days)), F.lit(1 << 40)))
+    sizes = df.groupBy("_k", "_b").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("_k")
+    ends = sizes.select("_k", "_b", "_n", F.sum("_n").over(w).alias("_all"), F.coalesce(F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_from"))
+    steps = F.sequence(F.lit(0), F.lit(k - 1))
+    at = F.when(F.col("_all") > k, F.transform(steps, lambda i: F.floor(i * F.col("_all") / k)))
+    places = F.transform(F.filter(at, lambda x: (x >= F.col("_from")) & (x < F.col("_from") + F.col("_n"))), lambda x: x - F.col("_from"))
+    spans = ends.select("_k", "_b", places.alias("_at")).filter("_at is null or size(_at) > 0")
+    place = F.row_number().over(Window.partitionBy("_k", "_b").orderBy(F.col(ts).asc_nulls_last(), item)) - 1
+    picked = df.join(spans, ["_k", "_b"]).withColumn("_p", place.cast("bigint"))
+    return picked.filter(F.col("_at").isNull() | F.array_contains("_at", F.col("_p"))).select(*columns)
 
 
 def merge_flags(rows: DataFrame, keys: list[str], order: str, flag: str) -> DataFrame:

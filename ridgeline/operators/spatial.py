@@ -66,13 +66,14 @@ def _lon_cell(lon: Column, steps: Column) -> Column:
     return F.pmod(F.floor((lon + 180.0) / 360.0 * steps), steps)
 
 
-def near(points: DataFrame, targets: DataFrame, radius_km: float, *, point: tuple[str, str, str], target: tuple[str, str, str], salts: int = 1) -> DataFrame:
-    """point id, target id, distance_km of every pair within ``radius_km`` (inclusive). ``point`` and ``target`` name id, latitude and longitude. With ``salts`` > 1, cells are split so many times (targets are repeated), for data in which a few cells hold most points and the targets are too many to broadcast."""
+def near(points: DataFrame, targets: DataFrame, radius_km: float, *, point: tuple[str, str, str], target: tuple[str, str, str], salts: int = 1, by: str | None = None) -> DataFrame:
+    """point id, target id, distance_km of every pair within ``radius_km`` (inclusive). ``point`` and ``target`` name id, latitude and longitude. With ``by``, only pairs that agree in that column, which the result has too. With ``salts`` > 1, cells are split so many times (targets are repeated), for data in which a few cells hold most points and the targets are too many to broadcast."""
     degrees = math.degrees(radius_km / EARTH_KM) * (1 + 1e-9) + 1e-12
     # a cell is a bit wider than the radius, so that a circle meets few cells
     cell = max(degrees * 1.5, 180.0 / 2**20)
-    p = points.select(F.col(point[0]).alias("_pid"), F.col(point[1]).alias("_plat"), F.col(point[2]).alias("_plon")).filter(valid_position(F.col("_plat"), F.col("_plon")))
-    t = targets.select(F.col(target[0]).alias("_tid"), F.col(target[1]).alias("_tlat"), F.col(target[2]).alias("_tlon")).filter(valid_position(F.col("_tlat"), F.col("_tlon")))
+    own = [F.col(by).alias("_by")] if by else []
+    p = points.select(F.col(point[0]).alias("_pid"), F.col(point[1]).alias("_plat"), F.col(point[2]).alias("_plon"), *own).filter(valid_position(F.col("_plat"), F.col("_plon")))
+    t = targets.select(F.col(target[0]).alias("_tid"), F.col(target[1]).alias("_tlat"), F.col(target[2]).alias("_tlon"), *own).filter(valid_position(F.col("_tlat"), F.col("_tlon")))
     band = lambda lat: F.floor(lat / cell).cast("bigint")
     p = p.withColumn("_band", band(F.col("_plat"))).withColumn("_cell", _lon_cell(F.col("_plon"), _lon_steps(F.col("_band"), cell)))
     t = t.withColumn("_band", F.explode(F.sequence(band(F.greatest(F.col("_tlat") - degrees, F.lit(-90.0))), band(F.least(F.col("_tlat") + degrees, F.lit(90.0))))))
@@ -83,13 +84,13 @@ def near(points: DataFrame, targets: DataFrame, radius_km: float, *, point: tupl
     first = F.floor((F.col("_tlon") - width + 180.0) / 360.0 * steps).cast("bigint")
     last = F.floor((F.col("_tlon") + width + 180.0) / 360.0 * steps).cast("bigint")
     t = t.withColumn("_cell", F.explode(F.array_distinct(F.transform(F.sequence(first, F.least(last, first + steps - 1)), lambda x: F.pmod(x, steps)))))
-    keys = ["_band", "_cell"]
+    keys = ["_band", "_cell", *(["_by"] if by else [])]
     if salts > 1:
         p = p.withColumn("_salt", F.pmod(F.xxhash64("_pid"), F.lit(salts)))
         t = t.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
         keys.append("_salt")
     pairs = p.join(t, keys).withColumn("distance_km", haversine_km(F.col("_plat"), F.col("_plon"), F.col("_tlat"), F.col("_tlon")))
-    return pairs.filter(F.col("distance_km") <= radius_km).select(F.col("_pid").alias(point[0]), F.col("_tid").alias(target[0]), "distance_km")
+    return pairs.filter(F.col("distance_km") <= radius_km).select(*([F.col("_by").alias(by)] if by else []), F.col("_pid").alias(point[0]), F.col("_tid").alias(target[0]), "distance_km")
 
 
 # --- regions --------------------------------------------------------------

@@ -251,7 +251,7 @@ def topk_scenic(spark, sf_dir):
 
 def even_sampling(spark, sf_dir):
     rows = _photos(spark, sf_dir, "top_folder", "taken_ts")
-    return sessions.even_sample(rows, ["top_folder"], 5, F.col("taken_ts").asc_nulls_last(), "source_path").select("source_path")
+    return sessions.even_sample(rows, "top_folder", 5, "taken_ts", "source_path").select("source_path")
 
 
 def plurality_vote(spark, sf_dir):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ridgeline import session
 from ridgeline.functions import pixels, time
-from ridgeline.operators import duplicates, events, index, search, store
+from ridgeline.operators import duplicates, events, index, search, sessions, store
 
 T0 = datetime(2025, 7, 12, 8)
 
@@ -108,6 +108,17 @@ def test_event_without_records(spark):
     assert events.summaries(df.limit(0), ["k"], "i").count() == 0
 
 
+def test_even_samples(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), f"p{i:03d}", None if rng.random() < 0.1 else T0 + timedelta(days=rng.choice([0, 5, 400, 401, 900]), minutes=rng.randrange(5))) for i in range(200)] + [("c", "x", None), ("c", "y", T0)]
+    got = {(r.k, r.item) for r in sessions.even_sample(spark.createDataFrame(rows, "k string, item string, ts timestamp_ntz"), "k", 5, "ts", "item").collect()}
+    want = set()
+    for key in ("a", "b", "c", None):
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: (r[2] is None, r[2] or T0, r[1]))
+        want |= {(key, mine[i][1]) for i in (range(len(mine)) if len(mine) <= 5 else {j * len(mine) // 5 for j in range(5)})}
+    assert got == want
+
+
 def test_a_cluster_needs_a_shared_folder(monkeypatch):
     class Nothing:
         def __getattr__(self, name):
