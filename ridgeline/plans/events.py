@@ -10,6 +10,7 @@ from ridgeline.functions import fixed, geo, pixels, text, time
 from ridgeline.operators import classify, duplicates, events, index, resolve, schema_drift, search, sessions, spatial, store
 from ridgeline.plans import library
 from ridgeline.session import cut, shared_folder
+from ridgeline.sources import files
 from ridgeline.sources.tables import spread, table
 from ridgeline.streaming import live
 
@@ -217,6 +218,16 @@ def numbers_of_text(spark, sf_dir):
     return a.select("analysis_id", F.get_json_object("payload", "$.latitude").try_cast("double").alias("lat"), F.get_json_object("payload", "$.elevation_m").try_cast("double").alias("elevation")).filter("lat is not null or elevation is not null")
 
 
+def content_keys(spark, sf_dir):
+    """Identity of texts by their bytes, as of files."""
+    return table(spark, sf_dir, "ocr_text").filter("text is not null").select("read_id", files.content_key(F.encode("text", "UTF-8")).alias("key"))
+
+
+def file_survey(spark, sf_dir):
+    """The files of the folder of tables itself, by what they are."""
+    return files.survey(files.walk(spark, sf_dir))
+
+
 # --- pixels (vectors of the embeddings table stand for pictures) -----------------
 
 
@@ -350,7 +361,7 @@ def gazetteer_roundtrip(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     event_summary, event_locations, event_folders, region_fill, event_times, plan_rollup, edited_events, verified_claims, promoted_claims, text_anchors, ocr_named,
-    unique_photos, dedupe_stats, choice_reasons, country_filter, names_a_place, timestamp_sources, specific_best, natural_places, rounded_positions, exif_times, unplaceable_photos, clock_tags, clean_lists, json_maps, numbers_of_text,
+    unique_photos, dedupe_stats, choice_reasons, country_filter, names_a_place, timestamp_sources, specific_best, natural_places, rounded_positions, exif_times, unplaceable_photos, clock_tags, clean_lists, json_maps, numbers_of_text, content_keys, file_survey,
     frame_stats, difference_hashes, scenic_scores, text_reads, embedding_reads, tag_rows_read, pages_by_score, paperwork_scores, result_lines, reclaimed_results, reply_records, stored_columns,
     facets_all, match_count, search_page, search_index, stream_merge, gazetteer_roundtrip,
 )}

@@ -98,6 +98,7 @@ SQL: dict[str, str] = {
     "clean_lists": "SELECT record_id, array_to_string(list_filter([trim(x) FOR x IN gear_visible], lambda x: x IS NOT NULL AND x <> '')[1:3], ';') AS gear FROM photo_analysis",
     "json_maps": "WITH k AS (SELECT props::JSON AS j, unnest(json_keys(props)) AS key FROM events) SELECT key, count(*) AS n, sum(try_cast(json_extract_string(j, '$.' || key) AS BIGINT))::BIGINT AS total FROM k GROUP BY key",
     "numbers_of_text": "WITH j AS (SELECT analysis_id, payload::JSON AS p FROM analysis WHERE json_valid(payload)), v AS (SELECT analysis_id, try_cast(p->>'$.latitude' AS DOUBLE) AS lat, try_cast(p->>'$.elevation_m' AS DOUBLE) AS elevation FROM j) SELECT * FROM v WHERE lat IS NOT NULL OR elevation IS NOT NULL",
+    "content_keys": "WITH b AS (SELECT read_id, encode(text) AS b FROM ocr_text WHERE text IS NOT NULL) SELECT read_id, sha256(encode(octet_length(b)::VARCHAR) || b[1:131072] || CASE WHEN octet_length(b) > 262144 THEN b[octet_length(b) - 131071:octet_length(b)] ELSE ''::BLOB END) AS key FROM b",
     "frame_stats": f"WITH {_PX.format(n=64)}, s AS (SELECT vec_id, {_mean('px')} AS m, {_sd('px')} AS s, {_EDGES} AS e FROM px) SELECT vec_id, round(m, 6) AS mean, round(s, 6) AS stddev, round(e, 6) AS edges, CASE WHEN s <= 8 THEN CASE WHEN m <= 24 THEN 'black' WHEN m >= 232 THEN 'white' ELSE 'blank' END END AS reason FROM s",
     "difference_hashes": f"WITH {_PX.format(n=72)}, b AS (SELECT vec_id, [CASE WHEN px[(i // 8) * 9 + i % 8 + 1] > px[(i // 8) * 9 + i % 8 + 2] THEN 1 ELSE 0 END FOR i IN range(0, 64)] AS b FROM px) SELECT vec_id, (list_sum([(b[i + 1]::HUGEINT << (63 - i)) FOR i IN range(1, 64)])::HUGEINT - b[1]::HUGEINT * 9223372036854775808)::BIGINT AS h FROM b",
     "scenic_scores": f"WITH {_PX.format(n=64)}, s AS (SELECT vec_id, greatest(0.0, ({_mean('px[1:16]')} - {_mean('px[17:64]')}) / 128.0) AS br, greatest(0.0, ({_sd('px[17:64]')} - {_sd('px[1:16]')}) / 64.0) AS sm, {_EDGES} AS e FROM px) SELECT vec_id, round(2.0 * least(1.0, br + sm * 0.6::DOUBLE) + greatest(0.0, least(1.0, e / 18.0)) * CASE WHEN e > 26 THEN 0.6::DOUBLE ELSE 1 END + 0.35::DOUBLE, 6) AS score FROM s",
