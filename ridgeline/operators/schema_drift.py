@@ -397,7 +397,7 @@ def _cast(value: Column, kind: str) -> Column:
     if kind != "array<string>":
         return got
     text = F.when(~F.schema_of_variant(value).startswith("OBJECT"), F.try_variant_get(value, "$", "string"))
-    return F.coalesce(got, F.when(F.trim(text) == "", F.array().cast(kind)).otherwise(F.transform(F.split(text, r"\s*[,;]\s*"), F.trim)))
+    return F.coalesce(got, F.when(F.trim(text) == "", F.array().cast(kind)).otherwise(F.transform(F.split(text, r"\s*[,;]\s*"), lambda x: F.trim(x))))
 
 
 def _cell(document: str, keys: list[str], kind: str) -> Column:

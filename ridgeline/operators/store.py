@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ def clean_text(value: Column) -> Column:
 
 def clean_list(values: Column, most: int = 20) -> Column:
     """Trimmed entries without blanks, at most ``most``."""
-    return F.slice(F.filter(F.transform(values, F.trim), lambda x: x.isNotNull() & (x != "")), 1, most)
+    return F.slice(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")), 1, most)
 
 
 def merge_latest(base: DataFrame, changes: DataFrame, key: str, seq: str, *, keep_first: list[str] = (), keep_known: list[str] = ()) -> DataFrame:
@@ -50,22 +52,24 @@ def missing(keys: DataFrame, store: DataFrame, key: str) -> DataFrame:
 
 
 def keywords(order: list[Column], most: int = 40) -> Column:
-    """Distinct words in the given order; 'unknown' and 'none' tell nothing."""
+    """Distinct words in the given order, trimmed; 'unknown' and 'none' tell nothing."""
     parts = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in order])
-    good = F.filter(F.transform(parts, lambda x: F.trim(F.translate(x, "_", " "))), lambda x: x.isNotNull() & (x != "") & ~x.isin("unknown", "none"))
+    good = F.filter(F.transform(F.filter(parts, lambda x: ~x.isin("unknown", "none")), lambda x: F.trim(x)), lambda x: x != "")
     return F.slice(F.array_distinct(good), 1, most)
 
 
-def pocket_shot() -> Column:
-    """A frame taken by accident: nothing in it has a name, and it is blurred and rated 1 at most."""
+def pocket_signs() -> list[Column]:
+    """What tells a frame taken by accident: nothing in it has a name, nobody is in it, and it is blurred and rated 1 at most."""
     none_of = lambda *cs: [F.coalesce(F.col(c) == "", F.lit(True)) for c in cs]
     empty = lambda c: F.coalesce(F.size(c) == 0, F.lit(True)) | F.col(c).isNull()
     parts = [*none_of("peak_name", "crag_name", "verified_peak", "visible_text"), empty("landmarks"), empty("place_names_visible"), F.coalesce(F.length("caption") <= 60, F.lit(True)), F.coalesce(F.col("people_count") == 0, F.lit(True))]
     parts += [F.coalesce(F.col("activity").isin("none", "unknown"), F.lit(False)), F.coalesce(F.col("scene").isin("other", "unknown"), F.lit(False)), F.coalesce((F.col("sharpness") == "blurry") & (F.col("aesthetic_score") <= 1), F.lit(False))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out & p
-    return out
+    return parts
+
+
+def pocket_shot() -> Column:
+    """A frame with all signs of :func:`pocket_signs`."""
+    return reduce(lambda a, b: a & b, pocket_signs())
 
 
 #: Fields of a reply and what they hold.

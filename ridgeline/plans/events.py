@@ -191,7 +191,10 @@ def exif_times(spark, sf_dir):
 
 
 def unplaceable_photos(spark, sf_dir):
-    tags = F.concat(F.coalesce("keywords", F.array().cast("array<string>")), F.array(F.translate("scene", "_", " ")))
+    """Records whose keywords or scene say that the frame cannot be placed."""
+    scene = F.col("scene")
+    said = F.when(scene == "document_or_screen", "document").when(scene == "interior", "indoors").when(scene == "people_portrait", "portrait").otherwise(scene)
+    tags = F.concat(F.coalesce("keywords", F.array().cast("array<string>")), F.array(said))
     return library._records(spark, sf_dir).filter(classify.unplaceable(tags)).select("record_id")
 
 

@@ -93,7 +93,7 @@ SQL: dict[str, str] = {
     "natural_places": f"WITH n AS (SELECT peak_id, kind, {_normal('peak_name')} AS normal FROM peaks WHERE kind NOT IN ('saddle', 'ridge', 'arete')) SELECT normal, peak_id FROM n WHERE normal <> '' QUALIFY row_number() OVER (PARTITION BY normal ORDER BY CASE kind WHEN 'peak' THEN 0 WHEN 'massif' THEN 1 ELSE 2 END, peak_id) = 1",
     "rounded_positions": "SELECT 'offline:' || round(lat * 100)::BIGINT || ',' || round(lon * 100)::BIGINT AS key, count(*) AS n FROM photos WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY key",
     "exif_times": f"WITH t AS (SELECT analysis_id, regexp_replace(taken_at, '^[\\s\\x00]+|[\\s\\x00]+$', '', 'g') AS t FROM analysis), m AS (SELECT analysis_id, try_cast(regexp_replace(t, '{EXIF_FORM}', '\\1-\\3-\\4 \\5\\6') AS TIMESTAMP) AS ts FROM t WHERE regexp_matches(t, '{EXIF_FORM}') AND regexp_extract(t, '^....(.)', 1) = regexp_extract(t, '^.......(.)', 1) AND t NOT LIKE '0000%') SELECT * FROM m WHERE ts IS NOT NULL",
-    "unplaceable_photos": f"SELECT record_id FROM photo_analysis WHERE list_has_any(list_concat(coalesce(keywords, []), [replace(scene, '_', ' ')]), [{_list(fixed.UNPLACEABLE)}])",
+    "unplaceable_photos": f"SELECT record_id FROM photo_analysis WHERE list_has_any(list_concat(coalesce(keywords, []), [CASE scene WHEN 'document_or_screen' THEN 'document' WHEN 'interior' THEN 'indoors' WHEN 'people_portrait' THEN 'portrait' ELSE scene END]), [{_list(fixed.UNPLACEABLE)}])",
     "clock_tags": f"WITH t AS (SELECT content_key, min(taken_ts) AS ts FROM photos GROUP BY content_key), r AS (SELECT record_id, coalesce(keywords, []) AS kw, CASE WHEN month(ts) IN (12, 1, 2) THEN 'winter' WHEN month(ts) < 6 THEN 'spring' WHEN month(ts) < 9 THEN 'summer' WHEN month(ts) < 12 THEN 'autumn' END AS sn, CASE WHEN hour(ts) < 6 OR hour(ts) > 20 THEN 'night' WHEN hour(ts) < 9 THEN 'early morning' WHEN hour(ts) > 17 THEN 'evening' END AS pt FROM photo_analysis JOIN t ON content_key = content_hash), l AS (SELECT record_id, CASE WHEN list_has_any(kw, [{_list(fixed.DOCUMENT_TAGS)}]) THEN kw ELSE list_concat(kw, list_filter([sn, pt], lambda x: x IS NOT NULL)) END AS l, list_has_any(kw, [{_list(fixed.DOCUMENT_TAGS)}]) AS doc FROM r) SELECT record_id, array_to_string(CASE WHEN doc THEN l ELSE list_filter(l, lambda x, i: list_position(l, x) = i)[1:{fixed.MAX_TAGS}] END, ';') AS tags FROM l",
     "clean_lists": "SELECT record_id, array_to_string(list_filter([trim(x) FOR x IN gear_visible], lambda x: x IS NOT NULL AND x <> '')[1:3], ';') AS gear FROM photo_analysis",
     "json_maps": "WITH k AS (SELECT props::JSON AS j, unnest(json_keys(props)) AS key FROM events) SELECT key, count(*) AS n, sum(try_cast(json_extract_string(j, '$.' || key) AS BIGINT))::BIGINT AS total FROM k GROUP BY key",

@@ -140,7 +140,9 @@ def versioned_reparse(spark, sf_dir):
 
 def keywords_builder(spark, sf_dir):
     one = lambda c: F.when(F.col(c).isNotNull(), F.array(c))
-    order = [one("activity"), one("scene"), one("season"), one("verified_peak"), one("mountain_range"), F.col("keywords"), F.col("climbing_grades")]
+    peak = F.coalesce(F.when(F.col("verified_peak") != "", F.col("verified_peak")), F.col("peak_name"))
+    order = [*map(one, ("activity", "scene", "season", "time_of_day", "mountain_range")), F.when(peak.isNotNull(), F.array(peak)), *map(one, ("crag_name", "route_name", "region", "country", "rock_type", "weather")), F.col("climbing_grades"), F.col("keywords")]
+    order += [F.when(F.col("is_guidebook_page"), F.array(F.lit("guidebook"))), F.when(F.col("is_personal_document"), F.array(F.lit("personal-document")))]
     return _records(spark, sf_dir).select("record_id", F.array_join(store.keywords(order), ";").alias("tags"))
 
 
@@ -479,6 +481,12 @@ def pocket_shots(spark, sf_dir):
     return _records(spark, sf_dir).filter(store.pocket_shot()).select("record_id")
 
 
+def pocket_evidence(spark, sf_dir):
+    """How many signs of a frame taken by accident each record has."""
+    signs = [s.cast("int") for s in store.pocket_signs()]
+    return _records(spark, sf_dir).select("record_id", sum(signs[1:], signs[0]).alias("signs"))
+
+
 def rating_fields(spark, sf_dir):
     r = _records(spark, sf_dir).filter("aesthetic_score is not null")
     return r.select("record_id", store.rating(F.col("aesthetic_score")).alias("rating"), F.when(F.col("sharpness") == "sharp", "keep").when(F.col("sharpness") == "blurry", "check").alias("label"))
@@ -512,7 +520,7 @@ QUERIES = {f.__name__: f for f in (
     json_columns, enum_coercion, versioned_reparse, keywords_builder, safe_text, filter_set, grade_semi_join, pending_keys, multi_get, facets, store_stats, side_counts, search_list_page, search_bm25, search_phrase, search_with_grades,
     session_items, session_summary, small_sessions, trip_merge, topk_scenic, even_sampling, plurality_vote, activity_quorum, name_collisions, dest_collisions, chunk_packing, merge_into_previous, folder_names,
     exact_dups, near_dup_pairs, near_dup_classes, near_dup_groups, keeper_election, keeper_reelection, copy_routes, copy_counters, alias_exact_join, fuzzy_resolve, ngram_in_text, spatial_near, nearest_place, bounds_filter, centroid_bbox,
-    noisy_or, contradiction_filter, consensus_location, embed_tags, page_score, upsert_latest, pocket_shots, rating_fields, manifest_json, verified_sink, stream_sessions, preflight,
+    noisy_or, contradiction_filter, consensus_location, embed_tags, page_score, upsert_latest, pocket_shots, pocket_evidence, rating_fields, manifest_json, verified_sink, stream_sessions, preflight,
 )}
 
 from ridgeline.plans.library_sql import SQL  # noqa: E402, F401

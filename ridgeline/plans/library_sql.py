@@ -127,7 +127,7 @@ SQL: dict[str, str] = {
     "json_columns": "WITH j AS (SELECT analysis_id, payload::JSON AS p FROM analysis WHERE json_valid(payload)) SELECT analysis_id, p->>'$.rock_type' AS rock, p->>'$.crag_name' AS crag, p->>'$.locality' AS locality, p->>'$.evidence_basis' AS basis FROM j",
     "enum_coercion": f"WITH v AS (SELECT regexp_replace(lower(trim(activity)), '\\s+', '_', 'g') AS a, regexp_replace(lower(trim(evidence_basis)), '\\s+', '_', 'g') AS b, regexp_replace(lower(trim(location_confidence)), '\\s+', '_', 'g') AS c FROM photo_analysis) SELECT CASE WHEN a IN ({_list(fixed.ACTIVITIES)}) THEN a ELSE 'unknown' END AS activity, CASE WHEN b = 'text_in_image' THEN 'printed_page' WHEN b IN ({_list(fixed.EVIDENCE_BASIS)}) THEN b ELSE 'none' END AS basis, CASE WHEN c IN ({_list(fixed.CONFIDENCE)}) THEN c ELSE 'low' END AS confidence, count(*) AS n FROM v GROUP BY ALL",
     "versioned_reparse": "WITH a AS (SELECT analysis_id, schema_version, CASE WHEN json_valid(payload) THEN payload::JSON END AS p, CASE WHEN json_valid(raw_response) THEN raw_response::JSON END AS r FROM analysis), t AS (SELECT *, coalesce((r->>'$.response.candidates[0].content.parts[0].text'), (r->>'$.candidates[0].content.parts[0].text')) AS w, ((r->'$.response') IS NOT NULL OR (r->'$.candidates') IS NOT NULL) AS wrapped FROM a), u AS (SELECT *, CASE WHEN w IS NOT NULL THEN regexp_replace(w, '^\\s*```[A-Za-z]*\\s*|\\s*```\\s*$', '', 'g') WHEN NOT wrapped THEN r::VARCHAR END AS o FROM t) SELECT analysis_id, CASE WHEN schema_version = 4 THEN (p->>'$.country_code') ELSE ((CASE WHEN json_valid(o) THEN o::JSON END)->>'$.country_code') END AS country_code FROM u",
-    "keywords_builder": "WITH a AS (SELECT record_id, list_concat(CASE WHEN activity IS NOT NULL THEN [activity] ELSE [] END, CASE WHEN scene IS NOT NULL THEN [scene] ELSE [] END, CASE WHEN season IS NOT NULL THEN [season] ELSE [] END, CASE WHEN verified_peak IS NOT NULL THEN [verified_peak] ELSE [] END, CASE WHEN mountain_range IS NOT NULL THEN [mountain_range] ELSE [] END, coalesce(keywords, []), coalesce(climbing_grades, [])) AS l FROM photo_analysis), b AS (SELECT record_id, list_filter([trim(replace(x, '_', ' ')) FOR x IN l], lambda x: x IS NOT NULL AND x <> '' AND x NOT IN ('unknown', 'none')) AS l FROM a), c AS (SELECT record_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM b) SELECT record_id, array_to_string(l[1:40], ';') AS tags FROM c",
+    "keywords_builder": "WITH a AS (SELECT record_id, list_concat([activity, scene, season, time_of_day, mountain_range, coalesce(nullif(verified_peak, ''), peak_name), crag_name, route_name, region, country, rock_type, weather], coalesce(climbing_grades, []), coalesce(keywords, []), CASE WHEN is_guidebook_page THEN ['guidebook'] ELSE [] END, CASE WHEN is_personal_document THEN ['personal-document'] ELSE [] END) AS l FROM photo_analysis), b AS (SELECT record_id, list_filter([trim(x) FOR x IN l IF x NOT IN ('unknown', 'none')], lambda x: x <> '') AS l FROM a), c AS (SELECT record_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM b) SELECT record_id, array_to_string(l[1:40], ';') AS tags FROM c",
     "safe_text": "WITH j AS (SELECT record_id, is_personal_document, array_to_string(list_filter(list_concat(coalesce(place_names_visible, []), [visible_text]), lambda x: x IS NOT NULL), chr(10)) AS s FROM photo_analysis) SELECT record_id, CASE WHEN NOT coalesce(is_personal_document, false) AND s <> '' THEN s END AS shown FROM j",
     "filter_set": f"WITH {_PUBLIC} SELECT record_id, activity, aesthetic_score FROM pub WHERE activity = 'hiking' AND aesthetic_score >= 3",
     "grade_semi_join": f"WITH {_PUBLIC} SELECT record_id FROM pub WHERE list_contains(climbing_grades, '6b')",
@@ -182,6 +182,7 @@ SELECT session, a AS lat, o AS lon, agreeing, considered FROM co QUALIFY row_num
     "page_score": "WITH p AS (SELECT row_number() OVER (ORDER BY vec_id) AS k, embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 5), s AS (SELECT e.vec_id, k, 100 * list_dot_product(e.embedding::DOUBLE[], p.v) AS s FROM embeddings e, p), x AS (SELECT vec_id, k, exp(s - max(s) OVER (PARTITION BY vec_id)) AS e FROM s) SELECT vec_id, round(sum(e) FILTER (k <= 2) / sum(e), 6) AS score FROM x GROUP BY vec_id",
     "upsert_latest": "SELECT content_hash, max(analysis_id) AS analysis_id, arg_min(size_bytes, analysis_id) AS size_bytes, arg_max(model, analysis_id) AS model, arg_max(len(raw_response), analysis_id) FILTER (raw_response IS NOT NULL) AS reply_chars FROM analysis WHERE content_hash IS NOT NULL GROUP BY content_hash",
     "pocket_shots": "SELECT record_id FROM photo_analysis WHERE coalesce(peak_name, '') = '' AND coalesce(crag_name, '') = '' AND coalesce(verified_peak, '') = '' AND coalesce(visible_text, '') = '' AND coalesce(len(landmarks), 0) = 0 AND coalesce(len(place_names_visible), 0) = 0 AND coalesce(len(caption), 0) <= 60 AND coalesce(people_count, 0) = 0 AND activity IN ('none', 'unknown') AND scene IN ('other', 'unknown') AND sharpness = 'blurry' AND aesthetic_score <= 1",
+    "pocket_evidence": "SELECT record_id, (coalesce(peak_name, '') = '')::INT + (coalesce(crag_name, '') = '')::INT + (coalesce(verified_peak, '') = '')::INT + (coalesce(visible_text, '') = '')::INT + (coalesce(len(landmarks), 0) = 0)::INT + (coalesce(len(place_names_visible), 0) = 0)::INT + (coalesce(len(caption), 0) <= 60)::INT + (coalesce(people_count, 0) = 0)::INT + coalesce(activity IN ('none', 'unknown'), false)::INT + coalesce(scene IN ('other', 'unknown'), false)::INT + coalesce(sharpness = 'blurry' AND aesthetic_score <= 1, false)::INT AS signs FROM photo_analysis",
     "rating_fields": "SELECT record_id, least(5, greatest(1, aesthetic_score)) AS rating, CASE sharpness WHEN 'sharp' THEN 'keep' WHEN 'blurry' THEN 'check' END AS label FROM photo_analysis WHERE aesthetic_score IS NOT NULL",
     "stream_sessions": "WITH g AS (SELECT user_id, ts, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) > 43200000000, false) AS s FROM events WHERE ts IS NOT NULL), n AS (SELECT user_id, ts, sum(s::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start_ts, count(*) AS n FROM n GROUP BY user_id, k",
     "trip_merge": f"""WITH RECURSIVE {_SESSIONS}, ky AS (SELECT sess.top_folder, session_no, sess.taken_ts, record_id, verified_peak, mountain_range, evidence_basis FROM sess LEFT JOIN photo_analysis r ON r.content_hash = sess.content_key),

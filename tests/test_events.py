@@ -32,6 +32,12 @@ def test_edits_are_read_back(spark):
     assert got == {1: ("Tour_A_b", False), 2: (None, True), 3: (None, True), 4: ("Zurich", False)}
 
 
+def test_words_of_lists_stay_whole(spark):
+    df = spark.createDataFrame([(["0a", " 1b ", "", None, "none", "unknown", "5c", "0a", "7d "],)], "w array<string>")
+    row = df.select(store.clean_list(F.col("w"), 4).alias("c"), store.keywords([F.col("w"), F.lit(None).cast("array<string>")]).alias("k")).first()
+    assert row.c == ["0a", "1b", "none", "unknown"] and row.k == ["0a", "1b", "5c", "7d"]
+
+
 def test_labels_and_texts_of_times(spark):
     seconds = {45_000.0: "12.5h", 172_799.0: "48.0h", 172_800.0: "2.0 days", 5_183_999.0: "60.0 days", 5_184_000.0: "60 days"}
     df = spark.createDataFrame([(s,) for s in seconds], "s double")

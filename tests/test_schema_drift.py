@@ -95,6 +95,13 @@ def test_fields_that_the_payload_lacks_come_from_the_reply(spark):
     assert out[3].from_doc == "reply" and out[3].scene == "hut" and out[3].other_fields == {"odd": "1", "extra": "2"}
 
 
+def test_words_of_a_list_stay_whole(spark):
+    """A trim that is handed a word's place in the list would cut that digit off."""
+    a = spark.createDataFrame([(1, '{"keywords": " 0a0, 1b1;2c ", "climbing_grades": "6a"}', None)], "analysis_id long, payload string, raw_response string")
+    row = D.consistent(a, {}).first()
+    assert row.keywords == ["0a0", "1b1", "2c"] and row.climbing_grades == ["6a"]
+
+
 def test_long_chains_of_renames_are_followed(spark):
     chain = ["caption", *(f"caption_{i}" for i in range(1, 8))]
     renames = spark.createDataFrame(list(zip(chain, chain[1:])), "field_name string, new_value string")
