@@ -316,9 +316,19 @@ MORE_COLUMNS = 400
 _ABOUT = ("from_doc", "from_reply", "other_fields")
 
 
-def _links(renames: DataFrame, limit: int) -> dict[str, dict[str, int]]:
+def _believed(renames: DataFrame, prof: DataFrame) -> DataFrame:
+    """field_name, new_value, count of the renames between keys that do not stand beside each other, as two fields of a file, more often than the one was taken for the other."""
+    docs = prof.filter("key = ''").select("export_file", "doc_kind", F.col("n").alias("docs"))
+    has = prof.filter("key <> ''").join(docs, ["export_file", "doc_kind"]).filter("n * 2 > docs").select("export_file", "doc_kind", "key")
+    pairs = cut(renames.groupBy("field_name", "new_value").count())
+    beside = pairs.select("field_name", "new_value").join(has.select("export_file", "doc_kind", F.col("key").alias("field_name")), "field_name")
+    beside = beside.join(has.select("export_file", "doc_kind", F.col("key").alias("new_value")), ["export_file", "doc_kind", "new_value"], "left_semi").groupBy("field_name", "new_value").agg(F.count("*").alias("beside"))
+    return pairs.join(beside, ["field_name", "new_value"], "left").filter("beside is null or beside <= count").drop("beside")
+
+
+def _links(counted: DataFrame, limit: int) -> dict[str, dict[str, int]]:
     """How often each key is one with each other key, either way."""
-    pairs = renames.groupBy("field_name", "new_value").count().limit(limit + 1).collect()
+    pairs = counted.select("field_name", "new_value", "count").limit(limit + 1).collect()
     if len(pairs) > limit:
         raise ValueError(f"more than {limit} pairs of renamed keys: the renames are no schema changes")
     links: dict[str, dict[str, int]] = {}
@@ -351,7 +361,7 @@ def _follow(links: dict[str, dict[str, int]], names: dict[str, str], rounds: int
 
 def aliases(renames: DataFrame, target: dict[str, str] | None = None, rounds: int | None = None, limit: int = 20_000) -> dict[str, list[str]]:
     """Other keys under which each field of ``target`` was found, by following renames either way, through ``rounds`` renames or to the end; a key that leads to several fields goes to the one it leads to most often. One row per pair of keys is read by the driver: there are no more than pairs of field names, and more than ``limit`` is an error."""
-    return _follow(_links(renames, limit), target or TARGET, rounds)
+    return _follow(_links(renames.groupBy("field_name", "new_value").count(), limit), target or TARGET, rounds)
 
 
 def _kind(n: dict[str, int], default: str) -> str:
@@ -366,9 +376,9 @@ def _kind(n: dict[str, int], default: str) -> str:
 def schema(prof: DataFrame, renames: DataFrame, reserved: list[str], rounds: int | None = None, limit: int = 20_000) -> tuple[dict[str, str], dict[str, list[str]]]:
     """The consistent schema and the other keys of its fields: those of TARGET and every other field with a value that the profile has, each with the type of most of its values under all its keys.
 
-    Renamed keys are one field, named as TARGET does, else by its most frequent key. No column have keys that are no plain names or equal but for case a column or a name in ``reserved``, and fields beyond the ``MORE_COLUMNS`` most frequent; ``consistent`` keeps their values in other_fields. At most the ``limit`` most frequent keys are read by the driver.
+    Renamed keys are one field, named as TARGET does, else by its most frequent key, unless both stand beside each other in more files than the rename was found in. No column have keys that are no plain names or equal but for case a column or a name in ``reserved``, and fields beyond the ``MORE_COLUMNS`` most frequent; ``consistent`` keeps their values in other_fields. At most the ``limit`` most frequent keys are read by the driver.
     """
-    links = _links(renames, limit)
+    links = _links(_believed(renames, prof), limit)
     other = _follow(links, TARGET, rounds)
     sums = prof.filter("key <> ''").groupBy("key").agg(F.sum("filled").alias("filled"), *[F.sum(f"n_{t}").alias(t) for t in TYPES])
     counts = {r["key"]: r.asDict() for r in sums.filter("filled > 0").orderBy(F.desc("filled"), "key").limit(limit).collect()}

@@ -95,6 +95,14 @@ def test_fields_that_the_payload_lacks_come_from_the_reply(spark):
     assert out[3].from_doc == "reply" and out[3].scene == "hut" and out[3].other_fields == {"odd": "1", "extra": "2"}
 
 
+def test_fields_beside_each_other_are_two(spark):
+    docs = [{"camera_tilt_deg": i, "tile_count": 7 * i, "haze_level": i} for i in range(4)]
+    a = spark.createDataFrame([(f"f{k}", json.dumps(d), None) for k in range(3) for d in docs], "export_file string, payload string, raw_response string")
+    renames = spark.createDataFrame([("camera_tilt_deg", "tile_count"), ("haze_level", "haze")], "field_name string, new_value string")
+    target, names = D.schema(D.profile(D.documents(a)), renames, [])
+    assert {"camera_tilt_deg", "tile_count", "haze_level"} <= set(target) and names == {"haze_level": ["haze"]}
+
+
 def test_words_of_a_list_stay_whole(spark):
     """A trim that is handed a word's place in the list would cut that digit off."""
     a = spark.createDataFrame([(1, '{"keywords": " 0a0, 1b1;2c ", "climbing_grades": "6a"}', None)], "analysis_id long, payload string, raw_response string")
