@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ridgeline.llm import neighbours as N
@@ -91,3 +92,45 @@ def test_bursts(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = {(r.hash_a, r.hash_b) for r in N.pairs(N.nearest(N.usable(df), 5, spread=3, small=40)).collect()}
     assert got == brute(rows, 5)
+
+
+def clustered(rng, groups, size, dims):
+    """Groups of like vectors, of any length, beside some vectors of their own."""
+    near = np.repeat(rng.normal(size=(groups, dims)), size, axis=0) + rng.normal(scale=0.2, size=(groups * size, dims))
+    return (np.concatenate([near, rng.normal(size=(groups, dims))]) * rng.uniform(0.1, 9, (groups * size + groups, 1))).astype(np.float32)
+
+
+@pytest.mark.parametrize("kind", ["clustered", "apart", "burst", "equal"])
+def test_balls_lose_nothing(kind):
+    rng = np.random.default_rng(5)
+    make = {"clustered": lambda: clustered(rng, 25, 12, 16), "apart": lambda: rng.normal(size=(300, 16)), "burst": lambda: np.ones(16) + rng.normal(scale=1e-4, size=(300, 16)), "equal": lambda: np.repeat(rng.normal(size=(60, 16)), 5, axis=0)}[kind]
+    vectors = make().astype(np.float32)
+    vectors = np.concatenate([vectors, vectors[::3] + rng.normal(scale=0.05, size=vectors[::3].shape)]).astype(np.float32)
+    vectors, keys, k = vectors[rng.permutation(len(vectors))], [f"{i:05d}" for i in range(len(vectors))], 5
+    half = len(vectors) // 2
+    a, b = N.Block(pa.array(keys[:half]), vectors[:half], k, 9), N.Block(pa.array(keys[half:]), vectors[half:], k, 9)
+    assert kind == "apart" or len(a.centre)
+    found = {}
+    for row, other, cos in [*zip(a.rank[a.owner], a.other, a.cos), *zip(b.rank[b.owner] + half, b.other + half, b.cos)]:
+        found.setdefault(int(row), []).append((-cos, int(other)))
+    for (x, y, at, to) in ((a, b, 0, half), (b, a, half, 0)):
+        for row, other, cos in zip(*N.scan(x, y, k, 9)):
+            found.setdefault(int(x.rank[row]) + at, []).append((-cos, int(other) + to))
+    got = {(min(r, c), max(r, c)) for r, near in found.items() for _, c in sorted(near)[:k]}
+    assert got == best(vectors, vectors, k, True)
+
+
+def test_vectors_are_not_copied_for_each_pair_of_blocks(spark):
+    vectors = clustered(np.random.default_rng(6), 60, 19, 128)
+    rows = [(f"{i * 7919 % 100003:06d}", "2024", "m", 128, [float(x) for x in v], "x") for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, SCHEMA).select("content_hash", "made_at", "model", "dims", "vector")
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).head().totalShuffleWrite()
+
+    before = written()
+    got = {(r.hash_a, r.hash_b) for r in N.pairs(N.nearest(N.usable(df), 5, group_rows=100)).collect()}
+    assert written() - before < 6 * vectors.nbytes
+    assert got == brute(rows, 5)
